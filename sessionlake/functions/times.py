@@ -1,4 +1,4 @@
-"""Column functions on times. All of them floor to whole seconds."""
+"""Column functions on times, in whole seconds: fractions are cut off before subtracting."""
 
 from __future__ import annotations
 
@@ -21,12 +21,12 @@ def parse_play_time(text: Column) -> Column:
 
 
 def epoch_second(time: Column) -> Column:
-    """Whole seconds since 1970, floored; takes both kinds of timestamp."""
+    """Whole seconds since 1970, the fraction cut off; takes both kinds of timestamp."""
     return F.unix_timestamp(time)
 
 
 def seconds_between(earlier: Column, later: Column) -> Column:
-    """Difference of the floored seconds; null if either time is null."""
+    """Difference of the whole seconds; null if either time is null."""
     return epoch_second(later) - epoch_second(earlier)
 
 

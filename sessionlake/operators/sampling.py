@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Slices per user in the first of the two rounds.
+# Groups of input partitions per user in the first of the two rounds.
 SLICES = 64
 
 
@@ -24,13 +24,16 @@ def first_n_per_user(
 ) -> DataFrame:
     """Whole rows of each user's ``n`` earliest plays; without a time sorts first.
 
-    Two rounds: the first keeps the first ``n`` of each of 64 slices of a user, so
-    the leftovers of a user who occurs in every input file do not meet in one
-    task; the second gets at most ``64 * n`` rows per user. Which of several plays
-    at the same time survive is open unless ``tie_breakers`` name columns for it.
+    Spark keeps ``n`` rows per user in every input partition before the shuffle.
+    For a user who occurs in all of them that is still ``n`` rows per partition, so
+    two rounds bring them together: first within 64 groups of partitions, then, of
+    at most ``64 * n`` rows, per user. The group only decides which task looks at a
+    row, never whether it is kept.
+
+    Which of several plays at the same time survive is open unless
+    ``tie_breakers`` name columns for it.
     """
-    order_columns = [ts, *tie_breakers]
-    order = [F.col(c) for c in order_columns]
-    sliced = plays.withColumn("_slice", F.pmod(F.xxhash64(*order_columns), F.lit(SLICES)))
-    per_slice = _keep_first(sliced, [user, "_slice"], order, n)
-    return _keep_first(per_slice, [user], order, n).drop("_slice")
+    order = [F.col(c) for c in (ts, *tie_breakers)]
+    sliced = plays.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(SLICES)))
+    per_slice = _keep_first(sliced, [user, "_slice"], order, n).drop("_slice")
+    return _keep_first(per_slice, [user], order, n)

@@ -12,15 +12,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionlake.functions.times import seconds_between, tile_of
+from sessionlake.functions.times import epoch_second, seconds_between, tile_of
 
 DEFAULT_GAP = 900
 
-# Per-play steps sort the plays of one user and tile, so their tiles are narrower.
-MAX_PLAY_TILE = 3600
+# Plays of one user and tile that a per-play step may leave to one task.
+HOT_TILE = 1_000_000
 
 
 def _whole_gap(gap: float) -> int:
@@ -29,25 +29,30 @@ def _whole_gap(gap: float) -> int:
     return math.floor(gap)
 
 
-def _session_tiles(plays: DataFrame, user: str, ts: str, gap: int, width: int) -> DataFrame:
+def _tile_key(user: str) -> Column:
+    # In a struct a null user equals a null user, in grouping and joining alike.
+    return F.struct(F.col(user).alias("user"), F.col("_tile").alias("tile")).alias("_key")
+
+
+def _session_tiles(tiled: DataFrame, user: str, ts: str, gap: int) -> DataFrame:
     """One row per user and tile: its extent, the play before it, and its session.
 
     Plays without a time share the null tile, which sorts first. Each of them
     counts as a session start, so that tile's session number is its play count
     and the user's first timed session gets the number after it.
     """
-    tiles = plays.groupBy(F.col(user), tile_of(F.col(ts), width).alias("tile")).agg(
+    tiles = tiled.groupBy(user, "_tile").agg(
         F.min(ts).alias("start_time"),
         F.max(ts).alias("end_time"),
         F.count("*").alias("plays"),
     )
-    history = Window.partitionBy(user).orderBy("tile")
+    history = Window.partitionBy(user).orderBy("_tile")
     idle = seconds_between(F.col("previous_end"), F.col("start_time"))
     return (
         tiles.withColumn("previous_end", F.lag("end_time").over(history))
         .withColumn(
             "starts",
-            F.when(F.col("tile").isNull(), F.col("plays"))
+            F.when(F.col("_tile").isNull(), F.col("plays"))
             .when(F.coalesce(idle > gap, F.lit(True)), F.lit(1))
             .otherwise(F.lit(0)),
         )
@@ -73,9 +78,10 @@ def session_summary(
     gap = _whole_gap(gap)
     if drop_null_ts:
         plays = plays.where(F.col(ts).isNotNull())
-    tiles = _session_tiles(plays, user, ts, gap, gap + 1)
+    tiled = plays.select(user, ts, tile_of(F.col(ts), gap + 1).alias("_tile"))
     return (
-        tiles.groupBy(user, "session_id")
+        _session_tiles(tiled, user, ts, gap)
+        .groupBy(user, "session_id")
         .agg(
             F.min("start_time").alias("start_time"),
             F.max("end_time").alias("end_time"),
@@ -92,63 +98,87 @@ def session_summary(
     )
 
 
+def _tiled(plays: DataFrame, user: str, ts: str, width: int, hot_tile: int | None) -> DataFrame:
+    """The plays with their tile; a tile of more than ``hot_tile`` plays is cut into seconds.
+
+    There is at most one such tile per ``hot_tile`` plays, about a million in a
+    trillion, so the list of them is small enough to broadcast, and the plays
+    need not move to be matched with it.
+    """
+    tiled = plays.withColumn("_tile", tile_of(F.col(ts), width))
+    if hot_tile is None:
+        return tiled
+    spread = seconds_between(F.min(ts), F.max(ts))
+    hot = (
+        tiled.groupBy(user, "_tile")
+        .agg(F.count("*").alias("plays"), spread.alias("spread"))
+        .where((F.col("plays") > hot_tile) & (F.col("spread") > 0))
+        .select(_tile_key(user), F.lit(True).alias("_hot"))
+    )
+    second = F.when(F.col("_hot"), epoch_second(F.col(ts)))
+    return (
+        tiled.withColumn("_key", _tile_key(user))
+        .join(F.broadcast(hot), "_key", "left")
+        .withColumn("_tile", F.coalesce(second, F.col("_tile")))
+        .drop("_key", "_hot")
+    )
+
+
 def sessionize(
     plays: DataFrame,
     user: str = "userid",
     ts: str = "timestamp",
     gap: float = DEFAULT_GAP,
     drop_null_ts: bool = False,
-    max_tile: int = MAX_PLAY_TILE,
+    hot_tile: int | None = HOT_TILE,
 ) -> DataFrame:
     """Every play with previous_time, time_diff, is_new_session and session_id.
 
     Plays are shuffled once, by user and tile. The previous play is found inside
     the tile; for a tile's first play it comes from the tile table, joined on the
-    same key, so the plays are not moved again. A busy user is spread over as many
-    tasks as there are tiles in the history; lower ``max_tile`` to spread further.
+    same key, so the plays are not moved again. A task sorts at most ``hot_tile``
+    plays of one tile, or those of one second; None saves the pass over users and
+    times that finds fuller tiles.
+
     Columns that are not selected cost nothing: asking for session_id alone leaves
     a plain join without a window.
     """
     gap = _whole_gap(gap)
-    width = min(gap + 1, max_tile)
-    # A struct key treats a null user as a user, in grouping and joining alike.
-    key = F.struct(F.col(user).alias("user"), F.col("tile").alias("tile")).alias("tile_key")
-    tiles = _session_tiles(plays, user, ts, gap, width).select(key, "previous_end", "session_id")
-
-    in_tile = Window.partitionBy("tile_key").orderBy(ts)
-    timed = (
-        plays.where(F.col(ts).isNotNull())
-        .withColumn("tile", tile_of(F.col(ts), width))
-        .withColumn("tile_key", key)
-        .withColumn("previous_in_tile", F.lag(ts).over(in_tile))
-        .join(tiles, "tile_key")
-        .withColumn("previous_time", F.coalesce("previous_in_tile", "previous_end"))
-    )
-    out = _with_flags(timed, plays.columns, ts, gap)
-    if drop_null_ts:
-        return out
-
-    # No window here: without a time there is no previous play, and the session
-    # number is the same for all of them. A busy user is split by the skew join.
-    untimed = (
-        plays.where(F.col(ts).isNull())
-        .withColumn("tile", F.lit(None).cast("bigint"))
-        .withColumn("tile_key", key)
-        .join(tiles, "tile_key")
-        .withColumn("previous_time", F.col(ts))
+    tiled = _tiled(plays, user, ts, gap + 1, hot_tile)
+    tiles = _session_tiles(tiled, user, ts, gap).select(
+        _tile_key(user), "previous_end", "session_id"
     )
-    return out.unionByName(_with_flags(untimed, plays.columns, ts, gap))
+    # The key carries the user through the shuffle, so the column itself need not.
+    others = [c for c in plays.columns if c != user]
+    keyed = tiled.select(*others, _tile_key(user))
+
+    def finished(joined: DataFrame) -> DataFrame:
+        idle = seconds_between(F.col("previous_time"), F.col(ts))
+        return joined.withColumn(user, F.col("_key.user")).select(
+            *plays.columns,
+            "previous_time",
+            idle.alias("time_diff"),
+            F.coalesce(idle > gap, F.lit(True)).cast("int").alias("is_new_session"),
+            "session_id",
+        )
 
+    in_tile = Window.partitionBy("_key").orderBy(ts)
+    timed = finished(
+        keyed.where(F.col(ts).isNotNull())
+        .withColumn("_previous_in_tile", F.lag(ts).over(in_tile))
+        .join(tiles, "_key")
+        .withColumn("previous_time", F.coalesce("_previous_in_tile", "previous_end"))
+    )
+    if drop_null_ts:
+        return timed
 
-def _with_flags(plays: DataFrame, columns: list[str], ts: str, gap: int) -> DataFrame:
-    idle = seconds_between(F.col("previous_time"), F.col(ts))
-    return plays.select(
-        *columns,
-        "previous_time",
-        idle.alias("time_diff"),
-        F.coalesce(idle > gap, F.lit(True)).cast("int").alias("is_new_session"),
-        "session_id",
+    # Without a time there is no previous play, and all such plays of a user have
+    # the same session number: a join without a window, which Spark splits by itself
+    # where one user has very many.
+    untimed = finished(
+        keyed.where(F.col(ts).isNull()).join(tiles, "_key").withColumn("previous_time", F.col(ts))
     )
+    return timed.unionByName(untimed)
 
 
 def number_within_user(sessions: DataFrame, user: str = "userid") -> DataFrame:
