@@ -32,6 +32,12 @@ def split_at(sessions: DataFrame, threshold: Column | float) -> DataFrame:
     )
 
 
+def long_sessions(sessions: DataFrame, threshold: Column | float) -> DataFrame:
+    """The sessions from the threshold on, the threshold included."""
+    limit = threshold if isinstance(threshold, Column) else F.lit(threshold)
+    return sessions.where(F.col("session_duration") >= limit)
+
+
 def long_session_users(
     sessions: DataFrame,
     quantile: float = DEFAULT_QUANTILE,
@@ -40,21 +46,58 @@ def long_session_users(
 ) -> DataFrame:
     """The users with at least one long session.
 
-    A user qualifies by the longest session, so grouping by user replaces the
-    filter and the distinct, and keeps the partitioning the sessions have. The
-    threshold enters as a scalar subquery of the same plan.
+    The threshold enters as a scalar subquery of the same plan, and the sessions
+    are still partitioned by user, so that finding the distinct ones needs no
+    further shuffle.
     """
     threshold = long_threshold(sessions, quantile, error).scalar()
-    return (
-        sessions.groupBy(user)
-        .agg(F.max("session_duration").alias("longest"))
-        .where(F.col("longest") >= threshold)
-        .select(user)
+    return long_sessions(sessions, threshold).select(user).distinct()
+
+
+def _result(counts: DataFrame) -> DataFrame:
+    """The result row, its shares computed from the counts."""
+    short, long = F.col("total_short_sessions"), F.col("total_long_sessions")
+    return counts.select(
+        "users_with_long_session_count",
+        "total_users",
+        F.try_divide("users_with_long_session_count", "total_users").alias(
+            "proportion_with_long_sessions"
+        ),
+        "long_session_threshold",
+        "total_short_sessions",
+        "total_long_sessions",
+        F.try_divide(long, short + long).alias("long_session_ratio"),
     )
 
 
+def summarize_at(
+    sessions: DataFrame, threshold: Column | float, user: str = "userid"
+) -> DataFrame:
+    """The whole result, one row, for a threshold found in any other way.
+
+    Such as a known one, or ``interpolated_quantile(...).scalar()``.
+    """
+    limit = threshold if isinstance(threshold, Column) else F.lit(threshold)
+    duration = F.col("session_duration")
+    users = sessions.groupBy(user).agg(
+        F.max(duration).alias("longest"),
+        F.count_if(duration < limit).alias("short"),
+        F.count_if(duration >= limit).alias("long"),
+    )
+    counts = users.agg(
+        F.count_if(F.col("longest") >= limit).alias("users_with_long_session_count"),
+        F.count("*").alias("total_users"),
+        F.coalesce(F.sum("short"), F.lit(0)).alias("total_short_sessions"),
+        F.coalesce(F.sum("long"), F.lit(0)).alias("total_long_sessions"),
+    )
+    return _result(counts.withColumn("long_session_threshold", limit.cast("double")))
+
+
 def summarize_sessions(
-    sessions: DataFrame, quantile: float = DEFAULT_QUANTILE, user: str = "userid"
+    sessions: DataFrame,
+    quantile: float = DEFAULT_QUANTILE,
+    user: str = "userid",
+    error: float = 0.0,
 ) -> DataFrame:
     """The whole result, one row, in a single pass over the sessions.
 
@@ -63,7 +106,11 @@ def summarize_sessions(
     histogram then gives all the counts: sessions below it are short, and users
     counted below it have no long session. Always one row, also for no sessions
     (zero counts, null threshold and shares).
+
+    An ``error`` above 0 takes the threshold from a sketch with that rank error.
     """
+    if error:
+        return summarize_at(sessions, long_threshold(sessions, quantile, error).scalar(), user)
     longest_first = Window.partitionBy(user).orderBy(F.col("session_duration").desc_nulls_last())
     counted = (
         sessions.withColumn("longest", F.row_number().over(longest_first) == 1)
@@ -84,26 +131,18 @@ def summarize_sessions(
         F.max("n_below").alias("n_below"),
         F.max("users_below").alias("users_below"),
     )
-    counts = both.select(
-        F.coalesce(F.col("total_users") - F.col("users_below"), F.lit(0)).alias(
-            "users_with_long_session_count"
-        ),
-        "total_users",
-        "long_session_threshold",
-        F.coalesce("n_below", F.lit(0)).alias("total_short_sessions"),
-        F.coalesce(F.col("sessions") - F.col("n_below"), F.lit(0)).alias("total_long_sessions"),
-    )
-    short, long = F.col("total_short_sessions"), F.col("total_long_sessions")
-    return counts.select(
-        "users_with_long_session_count",
-        "total_users",
-        F.try_divide("users_with_long_session_count", "total_users").alias(
-            "proportion_with_long_sessions"
-        ),
-        "long_session_threshold",
-        "total_short_sessions",
-        "total_long_sessions",
-        F.try_divide(long, short + long).alias("long_session_ratio"),
+    return _result(
+        both.select(
+            F.coalesce(F.col("total_users") - F.col("users_below"), F.lit(0)).alias(
+                "users_with_long_session_count"
+            ),
+            "total_users",
+            "long_session_threshold",
+            F.coalesce("n_below", F.lit(0)).alias("total_short_sessions"),
+            F.coalesce(F.col("sessions") - F.col("n_below"), F.lit(0)).alias(
+                "total_long_sessions"
+            ),
+        )
     )
 
 
@@ -146,9 +185,11 @@ def long_session_share(
     user: str = "userid",
     ts: str = "timestamp",
     drop_null_ts: bool = False,
+    error: float = 0.0,
 ) -> DataFrame:
     """From plays to the one-row answer, as a single lazy plan."""
-    return summarize_sessions(session_summary(plays, user, ts, gap, drop_null_ts), quantile, user)
+    sessions = session_summary(plays, user, ts, gap, drop_null_ts)
+    return summarize_sessions(sessions, quantile, user, error)
 
 
 def prepare_plays(raw: DataFrame, profiles: DataFrame, strict: bool = True) -> DataFrame:

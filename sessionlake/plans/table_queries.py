@@ -129,10 +129,11 @@ def tsv_job(spark: SparkSession, sf_dir: str) -> DataFrame:
         fresh_path(spark, "result"),
         GAP,
         QUANTILE,
+        strict=False,
     )
 
 
-def sample_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sample_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File to sample file: the first 30 plays of every user."""
     sample = plans.sample_job(spark, _log_file(spark, sf_dir), fresh_path(spark, "sample"))
     return _log_rows(readers.parse_plays(sample))
@@ -253,6 +254,11 @@ def session_split_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.split_at(found, plans.long_threshold(found, QUANTILE).scalar())
 
 
+def long_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sessions(spark, sf_dir)
+    return plans.long_sessions(found, plans.long_threshold(found, QUANTILE).scalar())
+
+
 def long_session_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.long_session_users(sessions(spark, sf_dir), QUANTILE, "user_id")
 
@@ -265,6 +271,14 @@ def long_session_share_quarter_hour(spark: SparkSession, sf_dir: str) -> DataFra
     return plans.summarize_sessions(sessions(spark, sf_dir, 900), QUANTILE, "user_id")
 
 
+def long_session_share_interpolated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cross-check: the same result around the interpolated threshold."""
+    found = sessions(spark, sf_dir)
+    threshold = interpolated_quantile(found, "session_duration", QUANTILE).scalar()
+    result = plans.summarize_at(found, threshold, "user_id")
+    return result.withColumn("long_session_threshold", F.round("long_session_threshold", 6))
+
+
 def long_session_share_missing_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.long_session_share(_damaged_plays(spark, sf_dir), quantile=QUANTILE, **EVENT)
 
@@ -302,14 +316,15 @@ def expected_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     listed = [
         scan_schema_tsv, scan_positional_tsv, scan_header_tsv, rejected_rows,
-        tsv_job, sample_job, summary_sink, summary_sink_csv,
+        tsv_job, sample_sink, summary_sink, summary_sink_csv,
         play_gaps, session_flags, session_ids, sessionize_missing_times,
         sessions_missing_times, sessions_timed_only,
         session_global_number, session_user_number, ordered_sessions, session_preview,
         order_sessions, order_session_ids,
         long_threshold_exact, long_threshold_interpolated, long_threshold_approx,
-        session_split, session_split_at, long_session_users,
-        long_session_share, long_session_share_quarter_hour, long_session_share_missing_times,
+        session_split, session_split_at, long_sessions, long_session_users,
+        long_session_share, long_session_share_quarter_hour, long_session_share_interpolated,
+        long_session_share_missing_times,
         distinct_users, user_coverage, user_orphans, calibration_report, schema_report,
         expected_cardinality,
     ]
@@ -393,7 +408,7 @@ WHERE place <= 30"""
   count(*) FILTER (WHERE event_type = 'error') AS missing,
   count(*) FILTER (WHERE event_type = 'signup') AS unparseable FROM events""",
         "tsv_job": _share_sql(source=WHOLE_SECONDS) + RESULT_SQL,
-        "sample_job": f"""SELECT CAST(user_id AS VARCHAR) AS userid,
+        "sample_sink": f"""SELECT CAST(user_id AS VARCHAR) AS userid,
   CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS played_at,
   CAST(event_id AS VARCHAR) AS artistid, event_type AS artistname, props AS traname
 FROM ({first})""",
@@ -436,10 +451,14 @@ FROM sessions""",
 FROM split""",
         "session_split_at": share
         + "SELECT short AS total_short_sessions, long AS total_long_sessions FROM split",
+        "long_sessions": share
+        + f"SELECT {columns} FROM sessions, cut WHERE session_duration >= threshold",
         "long_session_users": share
         + "SELECT DISTINCT user_id FROM sessions, cut WHERE session_duration >= threshold",
         "long_session_share": result,
         "long_session_share_quarter_hour": _share_sql(gap=900) + RESULT_SQL,
+        "long_session_share_interpolated": share.replace("quantile_disc", "quantile_cont")
+        + RESULT_SQL.replace("threshold AS", "round(threshold, 6) AS"),
         "long_session_share_missing_times": _share_sql(source=DAMAGED) + RESULT_SQL,
         "distinct_users": "SELECT count(*) AS users FROM (SELECT DISTINCT user_id FROM events)",
         "user_coverage": """WITH f AS (SELECT DISTINCT o_custkey AS id FROM orders),

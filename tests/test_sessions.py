@@ -11,8 +11,16 @@ from pyspark.sql import functions as F
 
 import brute
 from sessionlake.operators.numbering import number_globally
+from sessionlake.operators.quantiles import interpolated_quantile
 from sessionlake.operators.sessions import number_within_user, session_summary, sessionize
-from sessionlake.plans.long_sessions import long_session_share, long_session_users, split_at
+from sessionlake.plans.long_sessions import (
+    long_session_share,
+    long_session_users,
+    long_sessions,
+    split_at,
+    summarize_at,
+    summarize_sessions,
+)
 from sessionlake.sources.readers import parse_plays
 
 EPOCH = datetime(1970, 1, 1)
@@ -262,3 +270,23 @@ def test_numbers(spark):
     for user in {r.userid for r in rows}:
         own = [r.user_session_number for r in in_order if r.userid == user]
         assert own == list(range(1, len(own) + 1))
+
+
+def test_result_at_another_threshold(spark):
+    plays = random_plays(71)
+    sessions = session_summary(timeline(spark, plays)).cache()
+    exact = summarize_sessions(sessions).first()
+    assert summarize_at(sessions, exact.long_session_threshold).first() == exact
+    # So fine a sketch is exact here.
+    assert summarize_sessions(sessions, error=0.0001).first() == exact
+
+    between = interpolated_quantile(sessions, "session_duration", 0.9)
+    row = summarize_at(sessions, between.scalar()).first()
+    durations = [s[4] for s in brute.summarized(plays, 900) if s[4] is not None]
+    cut = between.first().threshold
+    assert row.long_session_threshold == cut
+    assert row.total_long_sessions == sum(d >= cut for d in durations)
+    assert long_sessions(sessions, cut).count() == row.total_long_sessions
+
+    nobody = summarize_at(sessions.where("false"), 900).first()
+    assert tuple(nobody) == (0, 0, None, 900.0, 0, 0, None)
