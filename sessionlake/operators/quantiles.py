@@ -54,7 +54,8 @@ def at_ranks(
 
     ``values`` is a histogram; it may carry more counters than ``n``. One row per
     distinct rank: rank, value, and for each counter its sum below that value
-    (``<c>_below``) and overall (``<c>_total``). No row if ``n`` sums to 0.
+    (``<c>_below``) and overall (``<c>_total``). A histogram of null alone gives its
+    null; an empty one gives no row.
     """
     values = values.withColumn("bin", F.col("value") - F.pmod("value", F.lit(BIN)))
 
@@ -63,19 +64,21 @@ def at_ranks(
     so_far = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bins = values.groupBy("bin").agg(*[F.sum(c).alias(c) for c in counters])
     bins = bins.select(
-        "bin",
+        F.col("bin").alias("hit_bin"),
         F.col("n").alias("n_in_bin"),
         *[(F.sum(c).over(so_far) - F.col(c)).alias(f"{c}_before") for c in counters],
         *[F.sum(c).over(whole).alias(f"{c}_total") for c in counters],
     )
-    rank = F.col("rank")
-    hits = bins.withColumn(
-        "rank", F.explode(F.array_distinct(F.array(*ranks(F.col("n_total")))))
-    ).where((F.col("n_before") < rank) & (rank <= F.col("n_before") + F.col("n_in_bin")))
+
+    def holds_rank(below: str, here: str) -> Column:
+        rank, below = F.col("rank"), F.col(below)
+        return ((below < rank) & (rank <= below + F.col(here))) | (F.col("n_total") == 0)
+
+    ranked = F.explode(F.array_distinct(F.array(*ranks(F.col("n_total")))))
+    hits = bins.withColumn("rank", ranked).where(holds_rank("n_before", "n_in_bin"))
 
     # As many rows as ranks, so safe to broadcast. Null-safe so that no filter is
     # derived for the histogram side: it stays the same plan as above and is reused.
-    hits = hits.withColumnRenamed("bin", "hit_bin")
     inside = values.join(F.broadcast(hits), F.col("bin").eqNullSafe(F.col("hit_bin")))
     in_bin = (
         Window.partitionBy("rank", "bin")
@@ -91,7 +94,7 @@ def at_ranks(
             for c in counters
         ],
         *[f"{c}_total" for c in counters],
-    ).where((F.col("n_below") < rank) & (rank <= F.col("n_below") + F.col("n")))
+    ).where(holds_rank("n_below", "n"))
 
 
 def exact_quantile(df: DataFrame, column: str, quantile: float, name: str = "threshold") -> DataFrame:

@@ -117,31 +117,22 @@ def summarize_sessions(
         .groupBy(F.col("session_duration").alias("value"))
         .agg(F.count("session_duration").alias("n"), F.count_if("longest").alias("users"))
     )
+    # One row or, for no sessions at all, none: the aggregate makes that one row.
     cut = at_ranks(counted, discrete_rank(quantile), counters=("n", "users"))
-
-    # Zero or one row from the cut, one from the totals: a union, then one aggregate.
-    # Both use all columns of the histogram, so it is computed once and reused.
-    totals = counted.agg(F.sum("n").alias("sessions"), F.sum("users").alias("total_users"))
-    both = totals.unionByName(
-        cut.select("value", "n_below", "users_below"), allowMissingColumns=True
-    ).agg(
-        F.coalesce(F.max("sessions"), F.lit(0)).alias("sessions"),
-        F.coalesce(F.max("total_users"), F.lit(0)).alias("total_users"),
-        F.max("value").cast("double").alias("long_session_threshold"),
-        F.max("n_below").alias("n_below"),
-        F.max("users_below").alias("users_below"),
-    )
+    has_long = F.col("n_total") > 0
     return _result(
-        both.select(
-            F.coalesce(F.col("total_users") - F.col("users_below"), F.lit(0)).alias(
-                "users_with_long_session_count"
-            ),
-            "total_users",
+        cut.agg(
+            F.max(F.when(has_long, F.col("users_total") - F.col("users_below"))).alias("with_long"),
+            F.max("users_total").alias("users"),
+            F.max("value").cast("double").alias("long_session_threshold"),
+            F.max("n_below").alias("short"),
+            F.max(F.col("n_total") - F.col("n_below")).alias("long"),
+        ).select(
+            F.coalesce("with_long", F.lit(0)).alias("users_with_long_session_count"),
+            F.coalesce("users", F.lit(0)).alias("total_users"),
             "long_session_threshold",
-            F.coalesce("n_below", F.lit(0)).alias("total_short_sessions"),
-            F.coalesce(F.col("sessions") - F.col("n_below"), F.lit(0)).alias(
-                "total_long_sessions"
-            ),
+            F.coalesce("short", F.lit(0)).alias("total_short_sessions"),
+            F.coalesce("long", F.lit(0)).alias("total_long_sessions"),
         )
     )
 
