@@ -22,6 +22,10 @@ DEFAULT_GAP = 900
 # Plays of one user and tile that a per-play step may leave to one task.
 HOT_TILE = 1_000_000
 
+# Of the tiles above that, the largest so many are cut. Any other tile then holds
+# less than one part in so many of all plays.
+MAX_HOT_TILES = 100_000
+
 
 def _whole_gap(gap: float) -> int:
     if gap < 0:
@@ -101,9 +105,9 @@ def session_summary(
 def _tiled(plays: DataFrame, user: str, ts: str, width: int, hot_tile: int | None) -> DataFrame:
     """The plays with their tile; a tile of more than ``hot_tile`` plays is cut into seconds.
 
-    There is at most one such tile per ``hot_tile`` plays, about a million in a
-    trillion, so the list of them is small enough to broadcast, and the plays
-    need not move to be matched with it.
+    The list of such tiles has at most ``MAX_HOT_TILES`` rows however many plays
+    there are, so it can be broadcast, and the plays need not move to be matched
+    with it. Results do not depend on which tiles are cut.
     """
     tiled = plays.withColumn("_tile", tile_of(F.col(ts), width))
     if hot_tile is None:
@@ -113,6 +117,8 @@ def _tiled(plays: DataFrame, user: str, ts: str, width: int, hot_tile: int | Non
         tiled.groupBy(user, "_tile")
         .agg(F.count("*").alias("plays"), spread.alias("spread"))
         .where((F.col("plays") > hot_tile) & (F.col("spread") > 0))
+        .orderBy(F.col("plays").desc())
+        .limit(MAX_HOT_TILES)
         .select(_tile_key(user), F.lit(True).alias("_hot"))
     )
     second = F.when(F.col("_hot"), epoch_second(F.col(ts)))

@@ -180,9 +180,10 @@ def test_summary_and_share_match_plain_python(spark, seed, gap):
     assert tuple(long_session_share(frame, gap=gap).first()) == brute.share(plays, gap, 0.9)
 
 
-@pytest.mark.parametrize("hot_tile", [None, 2, 1_000_000])
+@pytest.mark.parametrize("hot_tile,listed", [(None, 0), (2, 100_000), (2, 1), (1_000_000, 100_000)])
 @pytest.mark.parametrize("gap", [900, 21600])
-def test_sessionize_matches_plain_python(spark, gap, hot_tile):
+def test_sessionize_matches_plain_python(spark, monkeypatch, gap, hot_tile, listed):
+    monkeypatch.setattr("sessionlake.operators.sessions.MAX_HOT_TILES", listed)
     plays = random_plays(11, gap=gap)
     found = [
         (r.userid, micros(r.timestamp), micros(r.previous_time), r.time_diff, r.is_new_session, r.session_id)
