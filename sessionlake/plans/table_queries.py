@@ -245,6 +245,20 @@ def long_threshold_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.long_threshold(sessions(spark, sf_dir), QUANTILE, error=0.001)
 
 
+def approx_threshold_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Does the approximate threshold's rank lie within the error asked for?"""
+    found, error = sessions(spark, sf_dir), 0.001
+    threshold = plans.long_threshold(found, QUANTILE, error).scalar()
+    duration, total = F.col("session_duration"), F.count("session_duration")
+    return found.agg(
+        total.alias("sessions"),
+        (
+            (F.count_if(duration < threshold) <= (QUANTILE + error) * total)
+            & (F.count_if(duration <= threshold) >= (QUANTILE - error) * total)
+        ).alias("within_error"),
+    )
+
+
 def session_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.session_split(sessions(spark, sf_dir), QUANTILE, "user_id")
 
@@ -322,6 +336,7 @@ def queries() -> dict[str, Query]:
         session_global_number, session_user_number, ordered_sessions, session_preview,
         order_sessions, order_session_ids,
         long_threshold_exact, long_threshold_interpolated, long_threshold_approx,
+        approx_threshold_error,
         session_split, session_split_at, long_sessions, long_session_users,
         long_session_share, long_session_share_quarter_hour, long_session_share_interpolated,
         long_session_share_missing_times,
@@ -445,6 +460,8 @@ FROM sessions""",
         "long_threshold_interpolated": plays
         + f"""SELECT round(quantile_cont(session_duration, {QUANTILE}), 6) AS long_session_threshold
 FROM sessions""",
+        "approx_threshold_error": plays
+        + "SELECT count(session_duration) AS sessions, true AS within_error FROM sessions",
         "session_split": share
         + """SELECT short AS total_short_sessions, long AS total_long_sessions,
   short / (short + long) AS short_session_ratio, long / (short + long) AS long_session_ratio

@@ -10,6 +10,8 @@ from sessionlake.session import fresh_path, freeze
 from sessionlake.sources import readers, sinks
 from test_sessions import E1, EPOCH, log, random_plays, timeline
 
+pytestmark = pytest.mark.usefixtures("fixed_plans")
+
 ODD = 'u1\t2009-01-01T00:00:00Z\ta\t"Weird\tb\tT1\nu2\t2009-01-01T00:00:00Z\n'
 
 

@@ -5,6 +5,9 @@ from sessionlake.plans.long_sessions import prepare_plays
 from sessionlake.sources.readers import PLAY_COLUMNS, parse_plays
 
 
+pytestmark = pytest.mark.usefixtures("fixed_plans")
+
+
 def plays(spark, users, columns=PLAY_COLUMNS):
     rows = [tuple(u if c == "userid" else "2009-01-01T00:00:00Z" for c in columns) for u in users]
     return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))

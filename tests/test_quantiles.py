@@ -13,6 +13,9 @@ from sessionlake.operators.quantiles import (
 from sessionlake.plans.long_sessions import calibration_report, session_split, summarize_sessions
 
 
+pytestmark = pytest.mark.usefixtures("fixed_plans")
+
+
 def numbers(spark, values):
     return spark.createDataFrame([(v,) for v in values], "d bigint")
 

@@ -23,6 +23,8 @@ from sessionlake.plans.long_sessions import (
 )
 from sessionlake.sources.readers import parse_plays
 
+pytestmark = pytest.mark.usefixtures("fixed_plans")
+
 EPOCH = datetime(1970, 1, 1)
 
 
