@@ -38,18 +38,22 @@ def _tile_key(user: str) -> Column:
     return F.struct(F.col(user).alias("user"), F.col("_tile").alias("tile")).alias("_key")
 
 
-def _session_tiles(tiled: DataFrame, user: str, ts: str, gap: int) -> DataFrame:
-    """One row per user and tile: its extent, the play before it, and its session.
+def _extents(tiled: DataFrame, user: str, ts: str) -> DataFrame:
+    """One row per user and tile, combined before the shuffle."""
+    return tiled.groupBy(user, "_tile").agg(
+        F.min(ts).alias("start_time"),
+        F.max(ts).alias("end_time"),
+        F.count("*").alias("plays"),
+    )
+
+
+def _in_sessions(tiles: DataFrame, user: str, gap: int) -> DataFrame:
+    """The tiles with the end of the tile before them and the number of their session.
 
     Plays without a time share the null tile, which sorts first. Each of them
     counts as a session start, so that tile's session number is its play count
     and the user's first timed session gets the number after it.
     """
-    tiles = tiled.groupBy(user, "_tile").agg(
-        F.min(ts).alias("start_time"),
-        F.max(ts).alias("end_time"),
-        F.count("*").alias("plays"),
-    )
     history = Window.partitionBy(user).orderBy("_tile")
     idle = seconds_between(F.col("previous_end"), F.col("start_time"))
     return (
@@ -84,7 +88,7 @@ def session_summary(
         plays = plays.where(F.col(ts).isNotNull())
     tiled = plays.select(user, ts, tile_of(F.col(ts), gap + 1).alias("_tile"))
     return (
-        _session_tiles(tiled, user, ts, gap)
+        _in_sessions(_extents(tiled, user, ts), user, gap)
         .groupBy(user, "session_id")
         .agg(
             F.min("start_time").alias("start_time"),
@@ -102,31 +106,33 @@ def session_summary(
     )
 
 
-def _tiled(plays: DataFrame, user: str, ts: str, width: int, hot_tile: int | None) -> DataFrame:
-    """The plays with their tile; a tile of more than ``hot_tile`` plays is cut into seconds.
+def _cut_crowded(
+    tiled: DataFrame, tiles: DataFrame, user: str, ts: str, hot_tile: int
+) -> tuple[DataFrame, DataFrame]:
+    """Plays and tiles with every tile of more than ``hot_tile`` plays cut into seconds.
 
     The list of such tiles has at most ``MAX_HOT_TILES`` rows however many plays
     there are, so it can be broadcast, and the plays need not move to be matched
-    with it. Results do not depend on which tiles are cut.
+    with it. Its order is total, so that every use of the list sees the same one.
+    Results do not depend on which tiles are cut. If none is, as usual, Spark finds
+    the list empty at run time and drops all that follows from it.
     """
-    tiled = plays.withColumn("_tile", tile_of(F.col(ts), width))
-    if hot_tile is None:
-        return tiled
-    spread = seconds_between(F.min(ts), F.max(ts))
-    hot = (
-        tiled.groupBy(user, "_tile")
-        .agg(F.count("*").alias("plays"), spread.alias("spread"))
-        .where((F.col("plays") > hot_tile) & (F.col("spread") > 0))
-        .orderBy(F.col("plays").desc())
+    spread = seconds_between(F.col("start_time"), F.col("end_time"))
+    crowded = F.broadcast(
+        tiles.where((F.col("plays") > hot_tile) & (spread > 0))
+        .orderBy(F.col("plays").desc(), user, "_tile")
         .limit(MAX_HOT_TILES)
         .select(_tile_key(user), F.lit(True).alias("_hot"))
     )
     second = F.when(F.col("_hot"), epoch_second(F.col(ts)))
-    return (
+    cut = (
         tiled.withColumn("_key", _tile_key(user))
-        .join(F.broadcast(hot), "_key", "left")
+        .join(crowded, "_key", "left")
         .withColumn("_tile", F.coalesce(second, F.col("_tile")))
-        .drop("_key", "_hot")
+    )
+    whole = tiles.withColumn("_key", _tile_key(user)).join(crowded, "_key", "left_anti")
+    return cut.drop("_key", "_hot"), whole.drop("_key").unionByName(
+        _extents(cut.where("_hot"), user, ts)
     )
 
 
@@ -143,17 +149,19 @@ def sessionize(
     Plays are shuffled once, by user and tile. The previous play is found inside
     the tile; for a tile's first play it comes from the tile table, joined on the
     same key, so the plays are not moved again. A task sorts at most ``hot_tile``
-    plays of one tile, or those of one second; None saves the pass over users and
-    times that finds fuller tiles.
+    plays of one tile, or those of one second; with None a tile is never cut.
 
     Columns that are not selected cost nothing: asking for session_id alone leaves
     a plain join without a window.
     """
     gap = _whole_gap(gap)
-    tiled = _tiled(plays, user, ts, gap + 1, hot_tile)
-    tiles = _session_tiles(tiled, user, ts, gap).select(
-        _tile_key(user), "previous_end", "session_id"
-    )
+    if drop_null_ts:
+        plays = plays.where(F.col(ts).isNotNull())
+    tiled = plays.withColumn("_tile", tile_of(F.col(ts), gap + 1))
+    tiles = _extents(tiled, user, ts)
+    if hot_tile is not None:
+        tiled, tiles = _cut_crowded(tiled, tiles, user, ts, hot_tile)
+    tiles = _in_sessions(tiles, user, gap).select(_tile_key(user), "previous_end", "session_id")
     # The key carries the user through the shuffle, so the column itself need not.
     others = [c for c in plays.columns if c != user]
     keyed = tiled.select(*others, _tile_key(user))

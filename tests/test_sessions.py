@@ -194,6 +194,17 @@ def test_sessionize_matches_plain_python(spark, monkeypatch, gap, hot_tile, list
     assert by_text(found) == by_text(brute.sessionized(plays, gap))
 
 
+def test_sessionize_without_untimed_plays_matches_plain_python(spark):
+    plays = random_plays(12)
+    found = [
+        (r.userid, micros(r.timestamp), micros(r.previous_time), r.time_diff, r.is_new_session, r.session_id)
+        for r in sessionize(timeline(spark, plays), drop_null_ts=True).collect()
+    ]
+    timed = [p for p in plays if p[1] is not None]
+    assert len(timed) < len(plays)
+    assert by_text(found) == by_text(brute.sessionized(timed, 900))
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(
     plays=st.lists(
