@@ -30,6 +30,9 @@ def first_n_per_user(
     at most ``64 * n`` rows, per user. The group only decides which task looks at a
     row, never whether it is kept.
 
+    For ``n`` above 1000 raise ``spark.sql.optimizer.windowGroupLimitThreshold``
+    along, or Spark limits only after the shuffle.
+
     Which of several plays at the same time survive is open unless
     ``tie_breakers`` name columns for it.
     """

@@ -498,10 +498,9 @@ WHERE c_custkey NOT IN (SELECT user_id FROM events)""",
   abs(short / (short + long) - {QUANTILE}) < 0.001 AS within_tolerance
 FROM split""",
         "schema_report": """SELECT
-  (SELECT string_agg(column_name, ',' ORDER BY column_index) FROM duckdb_columns()
-    WHERE table_name = 'events')
+  (SELECT string_agg(column_name, ',') FROM (DESCRIBE SELECT * FROM events))
     = 'event_id,ts,user_id,event_type,value,props' AS columns_match,
-  (SELECT data_type FROM duckdb_columns() WHERE table_name = 'events' AND column_name = 'ts')
+  (SELECT column_type FROM (DESCRIBE SELECT * FROM events) WHERE column_name = 'ts')
     = 'TIMESTAMP' AS time_is_timestamp,
   count(*) AS total_rows, count(*) FILTER (WHERE ts IS NULL) AS rows_without_time FROM events""",
         "expected_cardinality": """SELECT count(*) AS users, CAST(150 AS BIGINT) AS expected,

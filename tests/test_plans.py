@@ -129,6 +129,32 @@ def test_a_crowded_tile_is_spread(spark, events):
     assert "BroadcastHashJoin" in final_plan(found)
 
 
+def test_many_untimed_plays_of_one_user_are_split(spark, events):
+    small = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {key: spark.conf.get(key) for key in small}
+    number = F.col("id")
+    plays = spark.range(0, 60_000, 1, 8).select(
+        F.when(number % 3 == 0, "a").otherwise(F.concat(F.lit("u"), number % 999)).alias("userid"),
+        F.when(number % 3 != 0, F.timestamp_seconds(number * 7)).alias("timestamp"),
+        F.sha2(number.cast("string"), 256).alias("track"),
+    )
+    try:
+        for key, value in small.items():
+            spark.conf.set(key, value)
+        found = sessionize(plays)
+        plan = final_plan(found)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert "SortMergeJoin(skew=true)" in plan
+    assert found.count() == 60_000
+    assert found.where("timestamp IS NULL").agg(F.min("session_id"), F.max("session_id")).first()[:] == (20_000, 20_000)
+
+
 def test_sampling_limits_before_both_shuffles(events):
     plan = final_plan(first_n_per_user(events, 30, "user_id", "ts", ("event_id",)))
     assert len(re.findall(r"WindowGroupLimit .*Partial", plan)) == 2
