@@ -9,6 +9,7 @@ from sessionlake.operators import quality
 from sessionlake.operators.quantiles import at_ranks, discrete_rank, quantile_of
 from sessionlake.operators.sampling import first_n_per_user
 from sessionlake.operators.sessions import DEFAULT_GAP, session_summary
+from sessionlake.session import freeze
 from sessionlake.sources import readers, sinks
 
 DEFAULT_QUANTILE = 0.9
@@ -203,20 +204,21 @@ def run_job(
 ) -> DataFrame:
     """Reads the two files, checks and summarizes them, and writes the result row.
 
-    Returns the written row, read back. ``strict`` also checks the calibration,
-    from the written shares and not by a second pass.
+    Returns the written row, read back. ``strict`` also checks the calibration, on
+    the finished row and before it replaces an earlier result.
     """
     plays = prepare_plays(
         readers.load(spark, "track_sessions", play_log),
         readers.load(spark, "userid_profiles", profiles),
         strict,
     )
-    written = sinks.write_summary(long_session_share(plays, gap, quantile), result)
+    summary = long_session_share(plays, gap, quantile)
     if strict:
+        summary = freeze(summary)
         off = F.abs(1 - F.col("long_session_ratio") - F.lit(float(quantile)))
         within = F.coalesce(off < CALIBRATION_TOLERANCE, F.lit(False))
-        quality.enforce(written.withColumn("within_tolerance", within), "within_tolerance")
-    return written
+        quality.enforce(summary.withColumn("within_tolerance", within), "within_tolerance")
+    return sinks.write_summary(summary, result)
 
 
 def sample_job(spark: SparkSession, play_log: str, result: str, n: int = 30) -> DataFrame:

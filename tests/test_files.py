@@ -75,6 +75,7 @@ def test_job(spark, folder):
     # Four sessions cannot be cut at nine tenths.
     with pytest.raises(QualityError, match="within_tolerance"):
         run_job(spark, log_file, users, result)
+    assert not (folder.path / "result").exists()
     row = run_job(spark, log_file, users, result, strict=False).first()
     assert tuple(row) == (1, 3, 1 / 3, 900.0, 3, 1, 0.25)
     # Three quarters of them are short at quantile 0.75.
