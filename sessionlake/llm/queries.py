@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.llm import quality_rules, secret_scan, url_filter, warc
+from sessionlake.llm import ngram_jaccard, quality_rules, secret_scan, url_filter, warc
 from sessionlake.llm.common import table
 
 URL_RULES = [
@@ -18,6 +18,11 @@ URL_RULES = [
 ]
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_jaccard.jaccard_join(docs, n=4, num=85, den=100)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality_rules.judge_quality(docs, drop=("text",))
