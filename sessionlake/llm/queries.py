@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.llm import ngram_jaccard, quality_rules, secret_scan, url_filter, warc
+from sessionlake.llm import (
+    byte_bpe,
+    chat_format,
+    decontaminate,
+    gru_lm,
+    license_scan,
+    ngram_jaccard,
+    quality_rules,
+    secret_scan,
+    url_filter,
+    warc,
+)
 from sessionlake.llm.common import table
 
 URL_RULES = [
@@ -23,6 +35,15 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_join(docs, n=4, num=85, den=100)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: by source, thousand and hundred; every tenth is a licence file."""
+    name = "CASE WHEN doc_id % 10 = 0 THEN concat('LICENSE-', doc_id) ELSE concat(doc_id, '.txt') END"
+    files = table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "text", f"concat_ws('/', source, doc_id div 1000, doc_id div 100, {name}) AS path"
+    )
+    return license_scan.scan_licences(files).withColumn("score", F.round("score", 6))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality_rules.judge_quality(docs, drop=("text",))
@@ -58,12 +79,38 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return coded.select(
+        "doc_id",
+        (F.octet_length("packed") / 4).cast("long").alias("n_tokens"),
+        F.sha2("packed", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     rules = spark.createDataFrame(URL_RULES, "rule string, action string")
     return url_filter.judge_urls(pages, rules).drop("url")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return gru_lm.score_corpus(docs, "crc32(CAST(doc_id AS string)) % 7 = 2")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -94,6 +141,27 @@ ORACLE_SQL = {
             page_id AS captured, true AS stored_ok
         FROM k
     """,
+    "op7_chat_format": """
+        WITH t AS (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+        p AS (
+            SELECT conv_id, count(*) OVER (PARTITION BY conv_id) AS n_turns,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS pos,
+                CASE WHEN role IS NULL THEN '-' ELSE role || ':' END || length(text) || ':' || text AS exact,
+                '<|im_start|>' || coalesce(role, '') || chr(10) || text || '<|im_end|>' || chr(10) AS piece
+            FROM t
+        ), h AS (
+            SELECT *, md5(string_agg(md5(exact), '') OVER (
+                PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS prefix
+            FROM p
+        ), ends AS (
+            SELECT prefix, n_turns, min(conv_id) AS conv_id, count(*) AS copies FROM h WHERE pos = n_turns GROUP BY ALL
+        ), kept AS (
+            SELECT * FROM ends e
+            WHERE NOT EXISTS (FROM h WHERE h.prefix = e.prefix AND h.pos = e.n_turns AND h.pos < h.n_turns)
+        )
+        SELECT kept.conv_id, kept.n_turns, copies, string_agg(piece, '' ORDER BY pos) AS chat
+        FROM kept JOIN h USING (conv_id) GROUP BY ALL
+    """,
     "op8_url_filter": f"""
         WITH p AS (
             SELECT page_id,
