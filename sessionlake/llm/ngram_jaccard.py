@@ -9,7 +9,8 @@ that two linked texts must agree exactly on a part that is not empty: they diffe
 D n-grams, and there are more than D parts beside the empty ones. In the space of one part
 every occurring subset is a pivot, its region are the texts with that subset, and two regions
 are further apart than a linked pair can be, so no text needs to be in two of them. Texts are
-compared only within such a region. Regions that overlap are united into components.
+compared only if they share such a region, in as many parts as a linked pair must have in
+common. Pairs and regions that overlap are united into components.
 
 *Regions.* A component of up to ``limit`` texts is joined in one task. A larger one is split by
 pivots drawn from it. Each text has its home in the Voronoi region of its nearest pivot, and
@@ -33,12 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlake.llm.common import refuse, text_of
+from sessionlake.llm.common import beside, restored, text_of
 from sessionlake.llm.components import components
 from sessionlake.session import freeze
 
 #: Texts that one task joins.
 LIMIT = 600
+#: Texts of a part's region that are paired with each other; a larger region is kept whole.
+SMALL = 16
 #: Pivots of one split, and splits before a region is cut into blocks.
 PIVOTS = 8
 DEPTH = 3
@@ -111,12 +114,17 @@ def size_classes(num: int, den: int, largest: int) -> tuple[np.ndarray, np.ndarr
     low = np.array(bounds, np.int64)
     most = low[1:] - 1
     differing = (most + most * den // num) * (den - num) // (den + num)
-    spare = np.maximum(1, differing // 6)
+    spare = np.maximum(1, differing // 3)
     return low, np.where(differing > 0, differing + 1 + spare, 0), spare
 
 
-def signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, index of the set) for every part that a set has something in."""
+def signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every part that a set has something in: signature, index of the set, agreements needed.
+
+    A linked pair agrees in ``spare + 1`` parts at least, less those empty in both. So it has
+    as many signatures in common as one of its sets needs. Where more parts than the spare ones
+    are empty nothing is certain, and the set has signatures for one more seed.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
     low, parts, spare = size_classes(num, den, int(sizes.max(initial=1)))
     own = np.searchsorted(low, sizes, "right") - 1
@@ -131,10 +139,10 @@ def signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray,
         jobs.append(np.flatnonzero(fits))
         classes.append(c[fits])
     if not jobs:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     job, cls = np.concatenate(jobs), np.concatenate(classes)
     job, cls = job[parts[cls] > 0], cls[parts[cls] > 0]
-    found, owners = [], []
+    found, owners, needs = [], [], []
     for seed in range(SEEDS):
         if not len(job):
             break
@@ -155,28 +163,72 @@ def signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray,
         take = full if seed < SEEDS - 1 else full | (empty > spare[cls])[owner]
         found.append(mixed(content * GOLDEN + label)[take])
         owners.append(job[owner[take]])
+        needs.append(np.maximum(0, spare[cls] + 1 - empty)[owner[take]])
         again = empty > spare[cls]
         job, cls = job[again], cls[again]
     if not found:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate(found), np.concatenate(owners)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(found), np.concatenate(owners), np.concatenate(needs)
+
+
+#: In place of a need: the node leads a large region, which stays a large one.
+LEADS = -1
+PART = np.dtype([("key", "<u8"), ("node", "<i8"), ("need", "<i4")])
+EDGE = np.dtype([("a", "<i8"), ("b", "<i8"), ("n", "<i8"), ("need", "<i4")])
+
+
+def by_key(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct parts by key and node, and where each key starts and how often it occurs."""
+    parts = parts[np.lexsort((parts["need"], parts["node"], parts["key"]))]
+    new = np.ones(len(parts), bool)
+    new[1:] = (parts["key"][1:] != parts["key"][:-1]) | (parts["node"][1:] != parts["node"][:-1])
+    parts = parts[new]
+    starts = np.flatnonzero(np.concatenate([[True], parts["key"][1:] != parts["key"][:-1]])) if len(parts) else np.empty(0, int)
+    return parts, starts, np.diff(np.append(starts, len(parts)))
+
 
+def edges_of(a: np.ndarray, b: np.ndarray, need: np.ndarray) -> np.ndarray:
+    edges = np.zeros(len(a), EDGE)
+    edges["a"], edges["b"], edges["n"], edges["need"] = a, b, 1, need
+    return edges
 
-def led(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One (key, smallest node) per key, and (node, smallest node) for the others."""
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
-    opens = np.ones(len(keys), bool)
-    opens[1:] = keys[1:] != keys[:-1]
-    lead = nodes[opens][np.cumsum(opens) - 1]
-    rest = nodes != lead
-    edges = np.unique(np.stack([nodes[rest], lead[rest]], 1), axis=0)
-    return keys[opens], nodes[opens], edges[:, 0], edges[:, 1]
+
+def stars(parts: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Edges from the smallest node of each region to all others; no agreement more is asked for."""
+    lead = np.repeat(parts["node"][starts], sizes)
+    mine = np.concatenate([np.arange(a, a + n) for a, n in zip(starts.tolist(), sizes.tolist())] or [np.empty(0, int)])
+    edges = edges_of(lead, parts["node"][mine], np.zeros(len(mine), int))
+    return edges[edges["a"] != edges["b"]]
+
+
+def pairs(parts: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Edges between all nodes of small regions."""
+    found = [np.empty(0, EDGE)]
+    for i in range(SMALL - 1):
+        for j in range(i + 1, SMALL):
+            at = starts[sizes > j]
+            if not len(at):
+                break
+            x, y = parts[at + i], parts[at + j]
+            found.append(edges_of(x["node"], y["node"], np.maximum(x["need"], y["need"])))
+    return np.concatenate(found)
+
+
+def counted(edges: np.ndarray) -> np.ndarray:
+    """One edge per pair, with how many there were and the least that any of them needs."""
+    if not len(edges):
+        return edges
+    edges = edges[np.lexsort((edges["b"], edges["a"]))]
+    new = np.concatenate([[True], (edges["a"][1:] != edges["a"][:-1]) | (edges["b"][1:] != edges["b"][:-1])])
+    at = np.flatnonzero(new)
+    one = edges[at]
+    one["n"], one["need"] = np.add.reduceat(edges["n"], at), np.minimum.reduceat(edges["need"], at)
+    return one
 
 
 DOC = np.dtype([("id", "<i8"), ("known", "u1"), ("n", "<i8"), ("node", "<i8"), ("digest", "V16")])
 PACKED = "bucket int, kind int, packed binary"
-UNPACKED = "kind int, a long, b long, n long, digest binary"
+UNPACKED = "kind int, a long, b long, n long, need int, digest binary"
 DOCS, PARTS, EDGES = 0, 1, 2
 
 
@@ -223,10 +275,19 @@ def _pack(n: int, num: int, den: int, buckets: int) -> Callable:
             fresh = [i for i, d in enumerate(digests) if not (d in seen or seen.add(d))]
             kept, nodes = [sets[i] for i in fresh], docs["node"][fresh]
             for a, b in _chunks(kept):
-                keys, owner = signatures(kept[a:b], num, den)
-                keys, leads, left, right = led(keys, nodes[a:b][owner])
-                deal(PARTS, keys, np.stack([keys.view(np.int64), leads], 1))
-                deal(EDGES, mixed(left.view(np.uint64)), np.stack([left, right], 1))
+                keys, owner, need = signatures(kept[a:b], num, den)
+                parts = np.zeros(len(keys), PART)
+                parts["key"], parts["node"], parts["need"] = keys, nodes[a:b][owner], need
+                parts, starts, sizes = by_key(parts)
+                # Of a large region only the lead goes on, which keeps a hot one small.
+                large = sizes > SMALL
+                edges = counted(stars(parts, starts[large], sizes[large]))
+                lead = np.zeros(len(parts), bool)
+                lead[starts] = True
+                parts["need"][starts[large]] = LEADS
+                parts = parts[lead | ~np.repeat(large, sizes)]
+                deal(PARTS, parts["key"], parts)
+                deal(EDGES, mixed(edges["a"].view(np.uint64) ^ edges["b"].view(np.uint64)), edges)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in rows], pa.int32()),
@@ -256,21 +317,8 @@ def by_group(source: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _edge_batch(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
-    none = pa.nulls(len(left))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(len(left), EDGES, np.int32)),
-            pa.array(left),
-            pa.array(right),
-            none.cast(pa.int64()),
-            none.cast(pa.binary()),
-        ],
-        ["kind", "a", "b", "n", "digest"],
-    )
-
-
 def _unpack(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["kind", "a", "b", "n", "need", "digest"]
     for group in by_group(source, "bucket"):
         kinds = group.column("kind").to_pylist()
         blobs = group.column("packed").to_pylist()
@@ -283,16 +331,33 @@ def _unpack(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(docs["id"].copy(), mask=docs["known"] == 0),
                     pa.array(docs["node"].copy()),
                     pa.array(docs["n"].copy()),
+                    pa.nulls(len(docs), pa.int32()),
                     pa.array([d.tobytes() for d in docs["digest"]], pa.binary()),
                 ],
-                ["kind", "a", "b", "n", "digest"],
+                names,
+            )
+        parts, starts, sizes = by_key(np.frombuffer(joined[PARTS], PART))
+        large = sizes > SMALL
+        if len(parts):
+            large |= np.minimum.reduceat(parts["need"], starts) == LEADS
+        edges = counted(
+            np.concatenate(
+                [
+                    np.frombuffer(joined[EDGES], EDGE),
+                    stars(parts, starts[large], sizes[large]),
+                    pairs(parts, starts[~large], sizes[~large]),
+                ]
             )
-        pairs = np.frombuffer(joined[PARTS], "<i8").reshape(-1, 2)
-        _, _, left, right = led(pairs[:, 0], pairs[:, 1])
-        early = np.frombuffer(joined[EDGES], "<i8").reshape(-1, 2)
-        edges = np.unique(np.concatenate([early, np.stack([left, right], 1)]), axis=0)
+        )
         if len(edges):
-            yield _edge_batch(edges[:, 0].copy(), edges[:, 1].copy())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(edges), EDGES, np.int32)),
+                    *(pa.array(edges[c].copy()) for c in ("a", "b", "n", "need")),
+                    pa.nulls(len(edges), pa.binary()),
+                ],
+                names,
+            )
 
 
 REGION = "region long, side int, home boolean, digest binary, grams binary"
@@ -511,7 +576,13 @@ def jaccard_join(
     known = seen.where(F.col("kind") == DOCS).select(
         F.col("a").alias("id"), F.col("b").alias("node"), F.col("n").alias("n_shingles"), "digest"
     )
-    candidate = components(seen.where(F.col("kind") == EDGES).select("a", "b"))
+    agreed = (
+        seen.where(F.col("kind") == EDGES)
+        .groupBy("a", "b")
+        .agg(F.sum("n").alias("n"), F.min("need").alias("need"))
+        .where("n >= need")
+    )
+    candidate = components(agreed.select("a", "b"))
     # One text of each set that shares a region with another set.
     chosen = freeze(
         known.where("n_shingles > 0")
@@ -577,7 +648,7 @@ def keep_one(docs: DataFrame, id: str = "doc_id", **options) -> DataFrame:
 
     Rows that repeat an id are kept or dropped together.
     """
-    refuse(docs, "_kept")
     joined = jaccard_join(docs, id=id, **options)
-    kept = joined.where(F.col("component_id").eqNullSafe(F.col(id))).select(F.col(id).alias("_kept")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col(id).eqNullSafe(F.col("_kept")), "left_semi")
+    kept = joined.where(F.col("component_id").eqNullSafe(F.col(id))).select(F.col(id).alias("kept")).distinct()
+    rows = beside(docs, key=F.col(id))
+    return restored(rows.join(kept.hint("shuffle_hash"), F.col("key").eqNullSafe(F.col("kept")), "left_semi"))
