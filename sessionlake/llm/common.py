@@ -30,8 +30,16 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def refuse(df: DataFrame, *reserved: str) -> None:
-    """Columns that an operator makes itself must not be in its input."""
-    clash = sorted({c.lower() for c in df.columns} & {r.lower() for r in reserved})
-    if clash:
-        raise ValueError(f"input columns are named as the operator's own: {', '.join(clash)}")
+def beside(df: DataFrame, **needed: Column) -> DataFrame:
+    """The rows of ``df`` as one column, ``row``, and what an operator needs next to it.
+
+    No name in ``df`` can then clash with one that the operator uses.
+    """
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *(c.alias(n) for n, c in needed.items()))
+
+
+def restored(df: DataFrame, *made: str) -> DataFrame:
+    """The columns within ``row``, and the ``made`` ones, which replace columns of the same name."""
+    names = {m.lower() for m in made}
+    kept = [c for c in df.schema["row"].dataType.names if c.lower() not in names]
+    return df.select(*(F.col(f"row.`{c}`") for c in kept), *made)

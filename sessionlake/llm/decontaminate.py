@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionlake.llm.common import refuse, text_of
+from sessionlake.llm.common import beside, restored, text_of
 from sessionlake.session import freeze
 
 TOKEN = r"[\p{L}\p{N}]+"
@@ -119,6 +119,6 @@ def overlaps(
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", **options) -> DataFrame:
     """``docs`` less all rows whose id belongs to a text with a benchmark item in it."""
-    refuse(docs, "_found")
-    found = overlaps(docs, benchmark, id=id, **options).select(F.col(id).alias("_found")).distinct()
-    return docs.join(found.hint("shuffle_hash"), F.col(id).eqNullSafe(F.col("_found")), "left_anti")
+    found = overlaps(docs, benchmark, id=id, **options).select(F.col(id).alias("found")).distinct()
+    rows = beside(docs, key=F.col(id))
+    return restored(rows.join(found.hint("shuffle_hash"), F.col("key").eqNullSafe(F.col("found")), "left_anti"))

@@ -17,13 +17,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionlake.llm.common import WORD, refuse, text_of, words
+from sessionlake.llm.common import WORD, beside, restored, text_of, words
 from sessionlake.session import freeze
 
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
+#: Rounds at most, and the change of a parameter below which no more are needed.
 ROUNDS = 25
+SETTLED = 1e-4
 
 ABSTAIN, GOOD, BAD = 0, 1, 2
 
@@ -73,14 +75,13 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the measures of the whole text. A null text counts as empty.
+    """``docs`` as ``row``, with the measures of the whole text. A null text counts as empty.
 
     A word is repeated if it lies in a window of eight words that the text has twice or
     more. Windows are compared by 64-bit hashes. The helper columns are projected step by
     step, since a lambda evaluates anything but a column anew for each element.
     """
-    refuse(docs, *STATS, "_w", "_l", "_h", "_s", "_p")
-    content = text_of(text)
+    content = F.col("content")
     spread = F.length(content) - F.length(F.regexp_replace(content, WORD, ""))
     n = F.size("_w")
     repeated = F.size(F.array_distinct("_h")) < F.size("_h")
@@ -100,9 +101,9 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
         F.lit(0),
         lambda total, size: total + size,
     )
-    helpers = ["_w", "_l", "_h", "_s", "_p"]
+    helpers = ["content", "_w", "_l", "_h", "_s", "_p"]
     return (
-        docs.withColumns({"_w": words(content), "_l": F.filter(F.split(content, "\n"), lambda x: x.rlike(WORD))})
+        beside(docs, content=text_of(text)).withColumns({"_w": words(content), "_l": F.filter(F.split(content, "\n"), lambda x: x.rlike(WORD))})
         .withColumn(
             "_h",
             F.when(
@@ -166,7 +167,7 @@ def posterior(parameters: dict) -> str:
 
 
 def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> dict:
-    """Parameters after ``rounds`` of expectation-maximisation over a table of vote patterns.
+    """Parameters after up to ``rounds`` of expectation-maximisation over a table of vote patterns.
 
     ``patterns`` has a vote column per rule and ``n``. Without any text the start remains.
     """
@@ -178,6 +179,7 @@ def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> dict:
         for side, share in (("good", "p"), ("bad", "(1 - p)"))
     ]
     for _ in range(rounds):
+        earlier = parameters
         row = patterns.selectExpr("*", f"{posterior(parameters)} AS p").selectExpr(*sums).first()
         if row["good"] is None:
             break
@@ -195,22 +197,32 @@ def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> dict:
                     for at, vote in enumerate((GOOD, BAD))
                 )
                 parameters["rules"][name][side] = (yes, no, max(1 - yes - no, 1e-9))
+        moves = [abs(parameters["good"] - earlier["good"])] + [
+            abs(a - b)
+            for name in RULES
+            for side in (True, False)
+            for a, b in zip(parameters["rules"][name][side], earlier["rules"][name][side])
+        ]
+        if max(moves) < SETTLED:
+            break
     return parameters
 
 
 def judge_quality(docs: DataFrame, text: str = "text", drop: tuple[str, ...] = (), rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with measures, votes, ``base_failed``, ``quality`` and ``kept``.
 
-    The columns named in ``drop`` are not carried on. Repeated rows are judged alike and
-    all kept in the result; a null text has no words and fails the base limits. Measures
-    are written once to the shared folder, so texts are measured once.
+    The columns named in ``drop`` are not carried on, columns with the names of new ones are
+    replaced. Repeated rows are judged alike and all kept in the result; a null text has no
+    words and fails the base limits. Measures are written once to the shared folder, so texts
+    are measured once.
     """
-    refuse(docs, *STATS, "base_failed", "quality", "kept", *(f"vote_{name}" for name in RULES))
-    measured = freeze(with_stats(docs, text).select("*", *votes(), base_failed().alias("base_failed")).drop(*drop))
+    measured = with_stats(docs, text).select("*", *votes(), base_failed().alias("base_failed"))
+    measured = freeze(measured.withColumn("row", F.col("row").dropFields(*drop)) if drop else measured)
     patterns = freeze(
         measured.where(~F.col("base_failed")).groupBy(*(f"vote_{name}" for name in RULES)).agg(F.count("*").alias("n"))
     )
     parameters = estimate(patterns, rounds)
-    return measured.withColumn("quality", F.expr(posterior(parameters))).withColumn(
+    judged = measured.withColumn("quality", F.expr(posterior(parameters))).withColumn(
         "kept", ~F.col("base_failed") & (F.col("quality") >= 0.5)
     )
+    return restored(judged, *STATS, *(f"vote_{name}" for name in RULES), "base_failed", "quality", "kept")

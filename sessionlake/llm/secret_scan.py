@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionlake.llm.common import refuse, text_of
+from sessionlake.llm.common import beside, restored, text_of
 from sessionlake.session import freeze
 
 #: kind: pattern, group that is measured, characters it needs. Matches are leftmost and do
@@ -49,10 +49,9 @@ def spans_in(text: str, rules: dict) -> list[dict]:
     return sorted(found, key=lambda s: (s["start"], s["rank"]))
 
 
-def with_blob(versions: DataFrame, text: str = "text") -> DataFrame:
+def blob_id(text: str) -> Column:
     """A null text has the address of the empty one."""
-    refuse(versions, "blob")
-    return versions.withColumn("blob", F.sha2(text_of(text).cast("binary"), 256))
+    return F.sha2(text_of(text).cast("binary"), 256)
 
 
 def scan_unseen(
@@ -70,12 +69,12 @@ def scan_unseen(
     an empty ledger.
     """
     rules = RULES if rules is None else rules
-    addressed = with_blob(versions.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text")
-    blobs = addressed.groupBy("blob").agg(F.min("_key").alias("_first"))
+    addressed = versions.select(F.col(key).alias("key"), F.col(text).alias("text"), blob_id(text).alias("blob"))
+    blobs = addressed.groupBy("blob").agg(F.min("key").alias("first"))
     if ledger is not None:
         blobs = blobs.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    chosen = blobs.select(F.col("blob").alias("_blob"), "_first").hint("shuffle_hash")
-    todo = addressed.join(chosen, F.col("_key").eqNullSafe(F.col("_first")) & (F.col("blob") == F.col("_blob")))
+    chosen = blobs.select(F.col("blob").alias("wanted"), "first").hint("shuffle_hash")
+    todo = addressed.join(chosen, F.col("key").eqNullSafe(F.col("first")) & (F.col("blob") == F.col("wanted")))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compiled = {k: (re.compile(p, re.ASCII), g, n) for k, (p, g, n) in rules.items()}
@@ -84,18 +83,17 @@ def scan_unseen(
                 {
                     "blob": batch["blob"],
                     "rule_version": rule_version,
-                    "spans": [spans_in(t or "", compiled) for t in batch["_text"]],
+                    "spans": [spans_in(t or "", compiled) for t in batch["text"]],
                 }
             )
 
-    return todo.select("blob", "_text").mapInPandas(scan, LEDGER).dropDuplicates(["blob"])
+    return todo.select("blob", "text").mapInPandas(scan, LEDGER).dropDuplicates(["blob"])
 
 
 def findings(versions: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION, text: str = "text") -> DataFrame:
-    """All rows of ``versions`` with the ``spans`` of their blob."""
-    refuse(versions, "blob", "spans")
+    """All rows of ``versions`` with the ``spans`` of their blob, in place of a column of that name."""
     known = ledger.where(F.col("rule_version") == rule_version).select("blob", "spans")
-    return with_blob(versions, text).join(known, "blob", "left").drop("blob")
+    return restored(beside(versions, blob=blob_id(text)).join(known, "blob", "left"), "spans")
 
 
 def scan_secrets(

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionlake.llm.common import lower_ascii, refuse, text_of
+from sessionlake.llm.common import beside, lower_ascii, restored, text_of
 
 #: The longest path a rule may have; bounds the expressions of one host suffix.
 MAX_RULE_PATH = 2048
@@ -61,9 +61,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     ``allow``). The longest rule wins; of equally long ones that with the longer host,
     then a block. Without a rule ``rule`` is null and the verdict ``default``. A null url,
     or one without ``://``, has empty host and path and no rule. Rules that are null or
-    have no slash or no host fit nothing. All rows are kept, repeated ones too.
+    have no slash or no host fit nothing. All rows are kept, repeated ones too. Columns of
+    ``pages`` with the names of the four new ones are replaced.
     """
-    refuse(pages, "host", "path", "rule", "verdict")
     rules = rules.where(F.instr("rule", "/") > 1).select(
         lower_ascii(F.substring_index("rule", "/", 1)).alias("_rule_host"),
         F.expr("substring(rule, instr(rule, '/'))").alias("_rule_path"),
@@ -73,9 +73,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     lengths = sorted(r[0] for r in rules.select(F.length("_rule_path")).distinct().limit(MAX_RULE_PATH + 1).collect())
     if lengths and lengths[-1] > MAX_RULE_PATH:
         raise ValueError(f"a rule's path has more than {MAX_RULE_PATH} characters")
-    parsed = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    parsed = beside(pages, host=host_of(F.col(url)), path=path_of(F.col(url)))
+    made = ("host", "path", "rule", "verdict")
     if not lengths:
-        return parsed.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return restored(parsed.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)}), *made)
     confirmed = rules.select("rule", "action", "_rule_host", *_digested(F.concat("_rule_host", "_rule_path")))
     hits = (
         _expressions(parsed.select("host", "path").distinct(), lengths)
@@ -90,8 +91,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         "action",
     )
     best = hits.groupBy("host", "path").agg(F.max(precedence).alias("_best"))
-    return (
-        parsed.join(best, ["host", "path"], "left")
-        .withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.action", F.lit(default))})
-        .select(*pages.columns, "host", "path", "rule", "verdict")
+    judged = parsed.join(best, ["host", "path"], "left").withColumns(
+        {"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.action", F.lit(default))}
     )
+    return restored(judged, *made)

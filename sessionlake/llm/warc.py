@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.llm.common import lower_ascii, refuse, text_of
+from sessionlake.llm.common import lower_ascii, text_of
 from sessionlake.session import freeze, fresh_path
 
 END = "\r\n\r\n"
@@ -298,7 +298,6 @@ def archive_and_index(
     captured: Column | None = None,
 ) -> DataFrame:
     """Write archives to the shared folder, read them back and merge their indexes."""
-    refuse(pages, "_record")
     spark = pages.sparkSession
     path = write_archives(pages, fresh_path(spark, "warc"), key, url, html, captured)
     # The runs are written once: dealing them out by ranges reads them twice.

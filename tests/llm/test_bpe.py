@@ -1,0 +1,63 @@
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+
+from sessionlake.llm import byte_bpe
+
+RANKS = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+
+TEXTS = [
+    "",
+    None,
+    " ",
+    "  a  b\n\n c \t",
+    "naïve café 12,345 don't I'll THE'S we'Ve",
+    "a" * 300,
+    "ab" * 40 + " " + "é" * 200 + " x",
+    "\u3000 \u00a0x y\u0085z\u2028 \u200b",
+    "🙂🙂 👍🏽 東京 タワー",
+    "x" * 65,
+    "ab" * 31 + "!!" * 50,
+    "\x00\x01\x1c\x1d <|endoftext|>",
+    " " * 5000 + "word",
+    "q" * 30_000,
+    "the same words, the same words. " * 2000,
+    "a  b" ,
+    "a  b",
+]
+
+
+def encoded(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, packed string")
+    return byte_bpe.decode(byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS).collect()
+
+
+def test_as_the_library(spark):
+    rows = [(i, t, "mine") for i, t in enumerate(TEXTS)]
+    got = encoded(spark, rows)
+    assert len(got) == len(TEXTS)
+    for r in got:
+        text = TEXTS[r.doc_id] or ""
+        assert np.frombuffer(r.packed, "<u4").tolist() == LIBRARY.encode_ordinary(text)
+        assert bytes(r.decoded) == text.encode()
+
+
+def test_real_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN).collect():
+        assert np.frombuffer(r.packed, "<u4").tolist() == LIBRARY.encode_ordinary(texts[r.doc_id])
+
+
+def test_odd_rows(spark):
+    assert encoded(spark, []) == []
+    got = encoded(spark, [(None, "x y", ""), (1, "x y", ""), (1, "x y", "")])
+    assert [r.doc_id for r in got] == [None, 1, 1]
+    assert len({bytes(r.packed) for r in got}) == 1
+
+
+@pytest.mark.parametrize("word", ["a" * 300, "ababababab" * 30, "thethethe" * 20, "é" * 90, "x"])
+def test_heap(word):
+    assert byte_bpe.merge_long(word.encode(), RANKS) == LIBRARY.encode_ordinary(word)

@@ -1,0 +1,57 @@
+import pytest
+from pyspark.sql import functions as F
+
+from sessionlake.llm import url_filter
+from sessionlake.llm.queries import URL_RULES
+
+URLS = {
+    "http://example.net": ("example.net", "", None, "allow"),
+    "http://example.net/": ("example.net", "/", "net/", "block"),
+    "https://M.Example.NET/en/x?y": ("m.example.net", "/en/x", "example.net/en/", "allow"),
+    "https://example.net/en?x=/en/": ("example.net", "/en", "net/", "block"),
+    "ftp://notexample.com/de/": ("notexample.com", "/de/", None, "allow"),
+    "http://a.b.example.com/de/1#top": ("a.b.example.com", "/de/1", "example.com/de/", "block"),
+    "http://example.com/DE/1": ("example.com", "/DE/1", None, "allow"),
+    "http://x.org/fr/": ("x.org", "/fr/", "org/fr/", "allow"),
+    "http://net/x": ("net", "/x", "net/", "block"),
+    "http:///net/": ("", "/net/", None, "allow"),
+    "no scheme.net/": ("", "", None, "allow"),
+    "http://a://b.net/x": ("a:", "//b.net/x", None, "allow"),
+    "": ("", "", None, "allow"),
+    None: ("", "", None, "allow"),
+    "http://" + "a." * 60 + "net/" + "x" * 50_000: ("a." * 60 + "net", "/" + "x" * 50_000, "net/", "block"),
+    "x\ny://É.net/": ("É.net", "/", "net/", "block"),
+}
+
+
+def judged(spark, urls, rules):
+    pages = spark.createDataFrame([(u, "mine") for u in urls], "url string, verdict string")
+    got = url_filter.judge_urls(pages, spark.createDataFrame(rules, "rule string, action string"))
+    assert got.columns == ["url", "host", "path", "rule", "verdict"]
+    return [tuple(r) for r in got.collect()]
+
+
+def test_verdicts(spark):
+    urls = [*URLS, "http://net/x", None]
+    got = judged(spark, urls, URL_RULES)
+    assert len(got) == len(urls)
+    assert {u: tuple(rest) for u, *rest in got} == URLS
+
+
+def test_precedence(spark):
+    rules = [("a.b/", "allow"), ("b/", "block"), ("b/x", "allow"), ("b/x", "block"), (None, "block"), ("/x", "block"), ("c", "block")]
+    got = {u: (rule, verdict) for u, _, _, rule, verdict in judged(spark, ["h://a.b/x", "h://b/xy", "h://c/"], rules)}
+    assert got == {"h://a.b/x": ("a.b/", "allow"), "h://b/xy": ("b/x", "block"), "h://c/": (None, "allow")}
+
+
+def test_empty_tables(spark):
+    assert judged(spark, [], URL_RULES) == []
+    assert judged(spark, ["http://x.net/"], []) == [("http://x.net/", "x.net", "/", None, "allow")]
+    with pytest.raises(ValueError):
+        judged(spark, ["http://x.net/"], [("net/" + "x" * 3000, "block")])
+
+
+def test_extra_columns(spark):
+    pages = spark.createDataFrame([("http://x.net/", 1, 2)], "url string, row int, _digest int")
+    rules = spark.createDataFrame(URL_RULES, "rule string, action string")
+    assert url_filter.judge_urls(pages, rules).select("row", "_digest", F.col("verdict")).first() == (1, 2, "block")

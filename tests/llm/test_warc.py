@@ -1,0 +1,56 @@
+import base64
+import hashlib
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from sessionlake.llm import warc
+
+ROWS = [
+    (5, "http://b.example.org/x", "<p>a</p>"),
+    (3, "http://a.example.org/é", "<p>a</p>"),
+    (4, None, "<p>a</p>"),
+    (1, "HTTP://A.example.org/?q", None),
+    (2, "a\r\nb", ""),
+    (6, "http://a.example.org/long", "é\r\n\r\nWARC/1.1\r\n" * 9000),
+    (7, "http://a.example.org/x", "only"),
+    (7, "http://a.example.org/x", "only"),
+    (None, "http://nobody", "x"),
+]
+
+
+def test_round_trip(spark):
+    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string").withColumn("size", F.lit(1))
+    got = warc.archive_and_index(pages, captured=F.col("page_id")).collect()
+    first = {"<p>a</p>": 3, "": 1}
+    want = []
+    for id, _, html in ROWS:
+        if id is not None:
+            payload = (html or "").encode()
+            digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            lead = first.get(html or "", id)
+            want.append((id, len(payload), digest, "response" if lead == id else "revisit", None if lead == id else lead))
+    fields = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert sorted((tuple(r[f] for f in fields) for r in got), key=str) == sorted(want, key=str)
+    assert all(r.stored_ok for r in got)
+    keys = [(r.urlkey.encode(), r.captured, r.page_id) for r in got]
+    assert keys == sorted(keys)
+
+
+def test_empty_table(spark):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.archive_and_index(pages).count() == 0
+
+
+@pytest.mark.parametrize("k", [0, 1, 2, 3, 5, 8, 13])
+def test_loser_tree(k):
+    draw = random.Random(k)
+    runs = [sorted(draw.randrange(50) for _ in range(draw.randrange(20))) for _ in range(k)]
+    merged = list(warc.LoserTree([[(x, i) for x in run] for i, run in enumerate(runs)]))
+    assert merged == sorted((x, i) for i, run in enumerate(runs) for x in run)
+
+
+def test_damaged_archive():
+    with pytest.raises(ValueError):
+        list(warc.parse_records(b"no record"))
