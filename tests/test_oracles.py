@@ -8,9 +8,10 @@ import pyarrow as pa
 import pytest
 
 import __spark_entry__ as driver
+from sessionlake.plans import table_queries
 
 DATA = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
+QUERIES, ORACLES = table_queries.queries(), table_queries.oracle_sql()
 ROWS_ONLY = {"long_threshold_approx"}
 
 
@@ -47,6 +48,11 @@ def test_query(spark, duck, name):
         assert rows(ours) == rows(theirs)
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(driver.queries())
+    assert set(ORACLES) <= set(driver.oracle_sql())
+
+
 def test_entry(spark):
     row = driver.entry(spark).collect()[0].asDict()
     assert (row["users_with_long_session_count"], row["total_users"]) == (14, 15)
