@@ -12,11 +12,12 @@ class QualityError(AssertionError):
     """A check did not hold in strict mode."""
 
 
-def enforce(report: DataFrame, flag: str) -> None:
-    """Raises :class:`QualityError` with the report's row unless ``flag`` is true."""
+def enforce(report: DataFrame, *flags: str) -> None:
+    """Raises :class:`QualityError` with the report's row unless all ``flags`` are true."""
     row = report.first()
-    if row is None or not row[flag]:
-        raise QualityError(f"{flag} does not hold: {row.asDict() if row else 'empty report'}")
+    for flag in flags:
+        if row is None or not row[flag]:
+            raise QualityError(f"{flag} does not hold: {row.asDict() if row else 'empty report'}")
 
 
 def schema_report(df: DataFrame, expected: list[str], ts: str = "timestamp") -> DataFrame:

@@ -1,9 +1,9 @@
 """Quantiles of a numeric column, exact without gathering the column anywhere.
 
 The column is first counted into a histogram (one row per distinct value, combined
-before the shuffle), the histogram into bins of ``BIN`` neighbouring values. The
-running count over the bins shows which bin holds a rank; only that bin is then
-looked at value by value.
+before the shuffle), the histogram into ``BINS`` bins of equal width between the smallest
+and the largest value. The running count over the bins shows which bin holds a rank; only
+that bin is then looked at value by value.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Ten years of seconds make about 19,000 bins.
-BIN = 16384
+# So many rows, at most, pass through one task, whatever the values.
+BINS = 65536
 
 
 def _check(quantile: float) -> None:
@@ -57,7 +57,18 @@ def at_ranks(
     (``<c>_below``) and overall (``<c>_total``). A histogram of null alone gives its
     null; an empty one gives no row.
     """
-    values = values.withColumn("bin", F.col("value") - F.pmod("value", F.lit(BIN)))
+    # One row. It uses every column, so that it is made from the same histogram as the rest.
+    extent = values.agg(
+        F.struct(
+            F.min("value").cast("double").alias("low"),
+            F.max("value").cast("double").alias("high"),
+            *[F.sum(c).alias(c) for c in counters],
+        )
+    ).scalar()
+    width = (extent["high"] - extent["low"]) / F.lit(float(BINS))
+    place = F.floor((F.col("value").cast("double") - extent["low"]) / F.nullif(width, F.lit(0.0)))
+    alone = F.when(F.col("value").isNotNull(), F.lit(0).cast("bigint"))
+    values = values.withColumn("bin", F.coalesce(F.least(place, F.lit(BINS - 1)), alone))
 
     # One task, but over bins only.
     whole = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

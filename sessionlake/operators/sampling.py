@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Groups of input partitions per user in the first of the two rounds.
 SLICES = 64
 
+LIMIT_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
+
 
 def _keep_first(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     # In this form Spark also limits each group before the shuffle.
@@ -30,12 +32,15 @@ def first_n_per_user(
     at most ``64 * n`` rows, per user. The group only decides which task looks at a
     row, never whether it is kept.
 
-    For ``n`` above 1000 raise ``spark.sql.optimizer.windowGroupLimitThreshold``
-    along, or Spark limits only after the shuffle.
+    Spark does that for up to ``spark.sql.optimizer.windowGroupLimitThreshold`` rows, so a
+    larger ``n`` is refused until that setting is raised along.
 
     Which of several plays at the same time survive is open unless
     ``tie_breakers`` name columns for it.
     """
+    most = int(plays.sparkSession.conf.get(LIMIT_SETTING, "1000"))
+    if n > most:
+        raise ValueError(f"for n = {n} raise {LIMIT_SETTING} (now {most}), or users are gathered whole")
     order = [F.col(c) for c in (ts, *tie_breakers)]
     sliced = plays.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(SLICES)))
     per_slice = _keep_first(sliced, [user, "_slice"], order, n).drop("_slice")

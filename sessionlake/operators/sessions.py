@@ -16,15 +16,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlake.functions.times import epoch_second, seconds_between, tile_of
+from sessionlake.session import freeze
 
 DEFAULT_GAP = 900
 
-# Plays of one user and tile that a per-play step may leave to one task.
+# Plays that a task may have to sort together: of one user and tile, or of one second.
 HOT_TILE = 1_000_000
 
-# Of the tiles above that, the largest so many are cut. Any other tile then holds
-# less than one part in so many of all plays.
-MAX_HOT_TILES = 100_000
+# Parts into which plays without a time, and plays at one crowded moment, are dealt.
+SLICES = 64
+
+RESULT_COLUMNS = ("previous_time", "time_diff", "is_new_session", "session_id")
 
 
 def _whole_gap(gap: float) -> int:
@@ -33,11 +35,6 @@ def _whole_gap(gap: float) -> int:
     return math.floor(gap)
 
 
-def _tile_key(user: str) -> Column:
-    # In a struct a null user equals a null user, in grouping and joining alike.
-    return F.struct(F.col(user).alias("user"), F.col("_tile").alias("tile")).alias("_key")
-
-
 def _extents(tiled: DataFrame, user: str, ts: str) -> DataFrame:
     """One row per user and tile, combined before the shuffle."""
     return tiled.groupBy(user, "_tile").agg(
@@ -106,34 +103,88 @@ def session_summary(
     )
 
 
-def _cut_crowded(
-    tiled: DataFrame, tiles: DataFrame, user: str, ts: str, hot_tile: int
-) -> tuple[DataFrame, DataFrame]:
-    """Plays and tiles with every tile of more than ``hot_tile`` plays cut into seconds.
+def _cell(*parts: Column) -> Column:
+    """The unit in which plays are sorted. In a struct a null equals a null, in grouping and joining."""
+    names = ("user", "tile", "second", "moment", "slice")
+    return F.struct(*(part.alias(name) for part, name in zip(parts, names))).alias("_cell")
+
+
+def _slices() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))
 
-    The list of such tiles has at most ``MAX_HOT_TILES`` rows however many plays
-    there are, so it can be broadcast, and the plays need not move to be matched
-    with it. Its order is total, so that every use of the list sees the same one.
-    Results do not depend on which tiles are cut. If none is, as usual, Spark finds
-    the list empty at run time and drops all that follows from it.
+
+def _cells(rows: DataFrame, tiles: DataFrame, hot_tile: int | None) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with their cell, and the cells with ``previous_end`` and ``session_id``.
+
+    A cell is a tile, or a second of a crowded tile, or a slice of the plays at one moment in
+    a crowded second. Tiles of plays without a time are sliced in any case. Of the plays at
+    one moment only one has an earlier predecessor: the first of the first slice that has any.
+    Seconds and moments are looked at only if a tile or a second is crowded at all.
     """
-    spread = seconds_between(F.col("start_time"), F.col("end_time"))
-    crowded = F.broadcast(
-        tiles.where((F.col("plays") > hot_tile) & (spread > 0))
-        .orderBy(F.col("plays").desc(), user, "_tile")
-        .limit(MAX_HOT_TILES)
-        .select(_tile_key(user), F.lit(True).alias("_hot"))
+    none = F.lit(None).cast("bigint")
+    timed = F.col("_tile").isNotNull()
+    sliced = F.when(timed, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SLICES - 1)))
+    part = F.when(timed, F.lit(0)).otherwise(F.col("_slice"))
+    whole = tiles.withColumn("_part", F.explode(sliced)).select(
+        _cell(F.col("_user"), F.col("_tile"), none, none, F.col("_part")),
+        "previous_end", "session_id", "plays",
+    )
+    crowded = tiles.where((F.col("plays") > hot_tile) & timed) if hot_tile is not None else tiles.limit(0)
+    if hot_tile is None or crowded.isEmpty():
+        return rows.withColumn("_cell", _cell(F.col("_user"), F.col("_tile"), none, none, part)), whole
+
+    # The tile of a play, if it is crowded. There are at most plays / hot_tile of them.
+    found = crowded.select(
+        F.struct("_user", "_tile").alias("_key"),
+        F.col("previous_end").alias("_tile_previous"),
+        F.col("session_id").alias("_tile_session"),
     )
-    second = F.when(F.col("_hot"), epoch_second(F.col(ts)))
-    cut = (
-        tiled.withColumn("_key", _tile_key(user))
-        .join(crowded, "_key", "left")
-        .withColumn("_tile", F.coalesce(second, F.col("_tile")))
+    rows = rows.withColumn("_key", F.struct("_user", "_tile")).join(found, "_key", "left")
+    in_tile = Window.partitionBy("_key").orderBy("_second")
+    seconds = freeze(
+        rows.where(F.col("_tile_session").isNotNull())
+        .groupBy("_key", epoch_second(F.col("_time")).alias("_second"))
+        .agg(
+            F.count("*").alias("plays"),
+            F.min("_time").alias("_from"),
+            F.max("_time").alias("_to"),
+            F.max("_tile_previous").alias("_tile_previous"),
+            F.max("_tile_session").alias("session_id"),
+        )
+        .withColumn("previous_end", F.coalesce(F.lag("_to").over(in_tile), "_tile_previous"))
     )
-    whole = tiles.withColumn("_key", _tile_key(user)).join(crowded, "_key", "left_anti")
-    return cut.drop("_key", "_hot"), whole.drop("_key").unionByName(
-        _extents(cut.where("_hot"), user, ts)
+    packed = seconds.where((F.col("plays") > hot_tile)).select(
+        "_key", "_second", F.col("previous_end").alias("_second_previous"), F.lit(True).alias("_packed")
     )
+    rows = rows.withColumn(
+        "_second", F.when(F.col("_tile_session").isNotNull(), epoch_second(F.col("_time")))
+    ).join(packed, ["_key", "_second"], "left")
+    in_second = Window.partitionBy("_key", "_second").orderBy("_time")
+    moments = freeze(
+        rows.where("_packed")
+        .groupBy("_key", "_second", "_time")
+        .agg(
+            F.min("_slice").alias("_first"),
+            F.max("_second_previous").alias("_second_previous"),
+            F.max("_tile_session").alias("session_id"),
+        )
+        .withColumn("_before", F.coalesce(F.lag("_time").over(in_second), "_second_previous"))
+    )
+    moment = F.unix_micros(F.col("_time").cast("timestamp"))
+    by_moment = moments.withColumn("_part", _slices()).select(
+        _cell(F.col("_key._user"), F.col("_key._tile"), F.col("_second"), moment, F.col("_part")),
+        F.when(F.col("_part") == F.col("_first"), F.col("_before")).otherwise(F.col("_time")).alias("previous_end"),
+        "session_id",
+    )
+    by_second = seconds.where(F.col("plays") <= hot_tile).select(
+        _cell(F.col("_key._user"), F.col("_key._tile"), F.col("_second"), none, F.lit(0)),
+        "previous_end", "session_id",
+    )
+    by_tile = whole.where((F.col("plays") <= hot_tile) | F.col("_cell.tile").isNull()).drop("plays")
+    packed_moment = F.when(F.col("_packed"), moment)
+    part = F.when(F.col("_packed") | ~timed, F.col("_slice")).otherwise(F.lit(0))
+    rows = rows.withColumn("_cell", _cell(F.col("_user"), F.col("_tile"), F.col("_second"), packed_moment, part))
+    return rows, by_tile.unionByName(by_second).unionByName(by_moment)
 
 
 def sessionize(
@@ -146,53 +197,50 @@ def sessionize(
 ) -> DataFrame:
     """Every play with previous_time, time_diff, is_new_session and session_id.
 
-    Plays are shuffled once, by user and tile. The previous play is found inside
-    the tile; for a tile's first play it comes from the tile table, joined on the
-    same key, so the plays are not moved again. A task sorts at most ``hot_tile``
-    plays of one tile, or those of one second; with None a tile is never cut.
+    The plays are read twice: once for the table of tiles, which is written to the shared
+    folder when this is called, and once to be shuffled, by user and tile. The previous play
+    is found inside the tile; for a tile's first play it comes from the tile table, joined on
+    the same key, so the plays are not moved again. A task sorts at most ``hot_tile`` plays of
+    one tile: a tile with more is cut into seconds, a second with more into moments, and the
+    plays at one moment into slices. With None nothing is cut. Results are the same.
 
     Columns that are not selected cost nothing: asking for session_id alone leaves
-    a plain join without a window.
+    a plain join without a window. The result's own column names may not be in ``plays``.
     """
+    clash = sorted({c.lower() for c in plays.columns} & set(RESULT_COLUMNS))
+    if clash:
+        raise ValueError(f"plays have columns with the names of results: {', '.join(clash)}")
     gap = _whole_gap(gap)
     if drop_null_ts:
         plays = plays.where(F.col(ts).isNotNull())
-    tiled = plays.withColumn("_tile", tile_of(F.col(ts), gap + 1))
-    tiles = _extents(tiled, user, ts)
-    if hot_tile is not None:
-        tiled, tiles = _cut_crowded(tiled, tiles, user, ts, hot_tile)
-    tiles = _in_sessions(tiles, user, gap).select(_tile_key(user), "previous_end", "session_id")
-    # The key carries the user through the shuffle, so the column itself need not.
-    others = [c for c in plays.columns if c != user]
-    keyed = tiled.select(*others, _tile_key(user))
-
-    def finished(joined: DataFrame) -> DataFrame:
-        idle = seconds_between(F.col("previous_time"), F.col(ts))
-        return joined.withColumn(user, F.col("_key.user")).select(
-            *plays.columns,
-            "previous_time",
-            idle.alias("time_diff"),
-            F.coalesce(idle > gap, F.lit(True)).cast("int").alias("is_new_session"),
-            "session_id",
-        )
-
-    in_tile = Window.partitionBy("_key").orderBy(ts)
-    timed = finished(
-        keyed.where(F.col(ts).isNotNull())
-        .withColumn("_previous_in_tile", F.lag(ts).over(in_tile))
-        .join(tiles, "_key")
-        .withColumn("previous_time", F.coalesce("_previous_in_tile", "previous_end"))
+    # The input's columns by number, so that any name of theirs is free to be used here.
+    others = {c: f"_in{i}" for i, c in enumerate(plays.columns) if c not in (user, ts)}
+    rows = plays.select(
+        *(F.col(f"`{c}`").alias(name) for c, name in others.items()),
+        F.col(user).alias("_user"),
+        F.col(ts).alias("_time"),
+        tile_of(F.col(ts), gap + 1).alias("_tile"),
     )
-    if drop_null_ts:
-        return timed
-
-    # Without a time there is no previous play, and all such plays of a user have
-    # the same session number: a join without a window, which Spark splits by itself
-    # where one user has very many.
-    untimed = finished(
-        keyed.where(F.col(ts).isNull()).join(tiles, "_key").withColumn("previous_time", F.col(ts))
+    extents = _extents(rows.select("_user", "_time", "_tile"), "_user", "_time")
+    tiles = freeze(_in_sessions(extents, "_user", gap))
+    sliced = rows.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(SLICES)))
+    rows, cells = _cells(sliced, tiles, hot_tile)
+    in_cell = Window.partitionBy("_cell").orderBy("_time")
+    idle = seconds_between(F.col("previous_time"), F.col("_time"))
+    placed = (
+        rows.select("_cell", *others.values(), "_time")
+        .withColumn("_earlier", F.lag("_time").over(in_cell))
+        .join(cells.select("_cell", "previous_end", "session_id"), "_cell")
+        .withColumn("previous_time", F.coalesce("_earlier", "previous_end"))
+    )
+    place = {c: F.col(name) for c, name in others.items()} | {user: F.col("_cell.user"), ts: F.col("_time")}
+    return placed.select(
+        *(place[c].alias(c) for c in plays.columns),
+        "previous_time",
+        idle.alias("time_diff"),
+        F.coalesce(idle > gap, F.lit(True)).cast("int").alias("is_new_session"),
+        "session_id",
     )
-    return timed.unionByName(untimed)
 
 
 def number_within_user(sessions: DataFrame, user: str = "userid") -> DataFrame:

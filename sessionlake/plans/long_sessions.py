@@ -184,11 +184,18 @@ def long_session_share(
     return summarize_sessions(sessions, quantile, user, error)
 
 
+def _check_columns(raw: DataFrame) -> None:
+    if raw.columns != readers.PLAY_COLUMNS:
+        raise quality.QualityError(f"unexpected columns {raw.columns}")
+
+
 def prepare_plays(raw: DataFrame, profiles: DataFrame, strict: bool = True) -> DataFrame:
-    """The play log with parsed times; ``strict`` first checks columns and users."""
+    """The play log with parsed times; ``strict`` first checks columns and users.
+
+    That check reads the log's users; a whole job has them in its result (``run_job``).
+    """
     if strict:
-        if raw.columns != readers.PLAY_COLUMNS:
-            raise quality.QualityError(f"unexpected columns {raw.columns}")
+        _check_columns(raw)
         quality.enforce(quality.user_coverage(raw, profiles), "counts_match")
     return readers.parse_plays(raw)
 
@@ -201,27 +208,46 @@ def run_job(
     gap: float = DEFAULT_GAP,
     quantile: float = DEFAULT_QUANTILE,
     strict: bool = True,
+    quote: str = '"',
+    drop_null_ts: bool = False,
+    error: float = 0.0,
 ) -> DataFrame:
     """Reads the two files, checks and summarizes them, and writes the result row.
 
-    Returns the written row, read back. ``strict`` also checks the calibration, on
-    the finished row and before it replaces an earlier result.
+    Returns the written row, read back. ``strict`` checks the columns first, and on the
+    finished row, before it replaces an earlier result, the number of users against the
+    profiles and the calibration. The log is read once.
     """
-    plays = prepare_plays(
-        readers.load(spark, "track_sessions", play_log),
-        readers.load(spark, "userid_profiles", profiles),
-        strict,
+    raw = readers.load(spark, "track_sessions", play_log, quote=quote)
+    users = readers.load(spark, "userid_profiles", profiles, quote=quote)
+    if strict:
+        _check_columns(raw)
+    summary = long_session_share(
+        readers.parse_plays(raw), gap, quantile, drop_null_ts=drop_null_ts, error=error
     )
-    summary = long_session_share(plays, gap, quantile)
     if strict:
         summary = freeze(summary)
+        known = quality.distinct_users(users, readers.PROFILE_ID).scalar()
         off = F.abs(1 - F.col("long_session_ratio") - F.lit(float(quantile)))
-        within = F.coalesce(off < CALIBRATION_TOLERANCE, F.lit(False))
-        quality.enforce(summary.withColumn("within_tolerance", within), "within_tolerance")
+        checked = summary.withColumn("counts_match", F.col("total_users") == known).withColumn(
+            "within_tolerance", F.coalesce(off < CALIBRATION_TOLERANCE, F.lit(False))
+        )
+        quality.enforce(checked, "counts_match", "within_tolerance")
     return sinks.write_summary(summary, result)
 
 
-def sample_job(spark: SparkSession, play_log: str, result: str, n: int = 30) -> DataFrame:
-    """Writes each user's first ``n`` plays as a headed TSV and returns it, read back."""
-    plays = readers.read_positional(spark, play_log)
-    return sinks.write_sample(first_n_per_user(plays, n), result)
+def sample_job(
+    spark: SparkSession,
+    play_log: str,
+    result: str,
+    n: int = 30,
+    quote: str = '"',
+    tie_breakers: tuple[str, ...] = (),
+) -> DataFrame:
+    """Writes each user's first ``n`` plays as a headed TSV and returns it, read back.
+
+    Which of several plays at the same time are kept is open unless ``tie_breakers`` name
+    columns for it.
+    """
+    plays = readers.read_positional(spark, play_log, quote=quote)
+    return sinks.write_sample(first_n_per_user(plays, n, tie_breakers=tie_breakers), result)

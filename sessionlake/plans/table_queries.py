@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from sessionlake.functions.times import epoch_second
 from sessionlake.operators import quality
-from sessionlake.operators.numbering import number_globally
-from sessionlake.operators.quantiles import interpolated_quantile
+from sessionlake.operators.numbering import number_globally, number_sessions
+from sessionlake.operators.quantiles import exact_quantile, interpolated_quantile
 from sessionlake.operators.sampling import first_n_per_user
 from sessionlake.operators.sessions import number_within_user, session_summary, sessionize
 from sessionlake.plans import long_sessions as plans
@@ -81,9 +81,29 @@ def _user_file(spark: SparkSession, sf_dir: str) -> str:
 
 def _customer_file(spark: SparkSession, sf_dir: str) -> str:
     path = fresh_path(spark, "customers")
-    table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias(readers.PROFILE_ID), "c_name", "c_mktsegment"
-    ).write.csv(path, sep="\t", header=True)
+    customers = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", readers.PROFILE_ID)
+    customers.write.csv(path, sep="\t", header=True)
+    return path
+
+
+def _schema_file(spark: SparkSession) -> str:
+    """The play log's schema as a JSON schema file."""
+    path = fresh_path(spark, "schema")
+    spark.createDataFrame([(readers.PLAY_SCHEMA.json(),)], "value string").coalesce(1).write.text(path)
+    return path
+
+
+def _order_log(spark: SparkSession, sf_dir: str) -> str:
+    """All orders as a play log: customers are users, and many orders share a time."""
+    path = fresh_path(spark, "order-log")
+    table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("userid"),
+        _iso("o_orderdate").alias("timestamp"),
+        F.col("o_orderkey").cast("string").alias("artistid"),
+        F.col("o_orderstatus").alias("artistname"),
+        F.col("o_totalprice").cast("string").alias("traid"),
+        F.col("o_orderpriority").alias("traname"),
+    ).write.csv(path, sep="\t")
     return path
 
 
@@ -94,6 +114,7 @@ def _log_rows(log: DataFrame) -> DataFrame:
         epoch_second(F.col("timestamp")).alias("played_at"),
         "artistid",
         "artistname",
+        F.col("traid").cast("double").alias("traid"),
         "traname",
     )
 
@@ -102,10 +123,19 @@ def _log_rows(log: DataFrame) -> DataFrame:
 
 
 def scan_schema_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = readers.load(spark, "track_sessions", _log_file(spark, sf_dir))
+    """The log read under the schema that a schema file declares."""
+    schema = readers.schema_from_json(spark, _schema_file(spark))
+    log = readers.load(spark, "track_sessions", _log_file(spark, sf_dir), schema=schema)
     return _log_rows(readers.parse_plays(log))
 
 
+def prepared_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with its columns and users checked against the profiles, and its times parsed."""
+    log = readers.load(spark, "track_sessions", _log_file(spark, sf_dir))
+    profiles = readers.load(spark, "userid_profiles", _user_file(spark, sf_dir))
+    return _log_rows(plans.prepare_plays(log, profiles))
+
+
 def scan_positional_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = readers.read_positional(spark, _log_file(spark, sf_dir))
     return _log_rows(readers.parse_plays(log))
@@ -113,7 +143,13 @@ def scan_positional_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_header_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = readers.load(spark, "userid_profiles", _customer_file(spark, sf_dir))
-    return profiles.select(F.col(readers.PROFILE_ID).alias("id"), "c_name", "c_mktsegment")
+    return profiles.select(
+        F.col(readers.PROFILE_ID).alias("id"),
+        "c_name",
+        "c_nationkey",
+        F.col("c_acctbal").cast("double").alias("c_acctbal"),
+        "c_mktsegment",
+    )
 
 
 def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,13 +165,20 @@ def tsv_job(spark: SparkSession, sf_dir: str) -> DataFrame:
         fresh_path(spark, "result"),
         GAP,
         QUANTILE,
-        strict=False,
     )
 
 
 def sample_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File to sample file: the first 30 plays of every user."""
-    sample = plans.sample_job(spark, _log_file(spark, sf_dir), fresh_path(spark, "sample"))
+    """File to sample file: the first 30 plays of every user, ties broken by the id's text."""
+    path = fresh_path(spark, "sample")
+    sample = plans.sample_job(spark, _log_file(spark, sf_dir), path, tie_breakers=("artistid",))
+    return _log_rows(readers.parse_plays(sample))
+
+
+def sample_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 3 orders of every customer, where equal times fall on the cut."""
+    path = fresh_path(spark, "sample")
+    sample = plans.sample_job(spark, _order_log(spark, sf_dir), path, 3, tie_breakers=("artistid",))
     return _log_rows(readers.parse_plays(sample))
 
 
@@ -195,10 +238,15 @@ def sessions_timed_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_global_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = number_globally(sessions(spark, sf_dir), ["user_id", "session_id"])
+    numbered = number_sessions(sessions(spark, sf_dir), "user_id")
     return numbered.select("user_id", "session_id", "unique_session_id")
 
 
+def order_global_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    return number_globally(orders, ["o_custkey", "o_orderdate", "o_orderkey"], "order_number")
+
+
 def session_user_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = number_within_user(sessions(spark, sf_dir), "user_id")
     return numbered.select("user_id", "session_id", "user_session_number")
@@ -242,7 +290,14 @@ def long_threshold_interpolated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_threshold_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.long_threshold(sessions(spark, sf_dir), QUANTILE, error=0.001)
+    """The exact thresholds at the ends of the error asked for; is the approximate one between?"""
+    found, error = sessions(spark, sf_dir), 0.001
+    column = "session_duration"
+    approximate = plans.long_threshold(found, QUANTILE, error).scalar()
+    ends = exact_quantile(found, column, QUANTILE - error, "lower").withColumn(
+        "upper", exact_quantile(found, column, QUANTILE + error, "upper").scalar()
+    )
+    return ends.withColumn("within_bracket", approximate.between(F.col("lower"), F.col("upper")))
 
 
 def approx_threshold_error(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,16 +379,18 @@ def schema_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expected_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.expected_cardinality(events(spark, sf_dir), 150, "user_id")
+    """The events have a user for every tenth customer."""
+    expected = table(spark, sf_dir, "customer").count() // 10
+    return quality.expected_cardinality(events(spark, sf_dir), expected, "user_id")
 
 
 def queries() -> dict[str, Query]:
     listed = [
-        scan_schema_tsv, scan_positional_tsv, scan_header_tsv, rejected_rows,
-        tsv_job, sample_sink, summary_sink, summary_sink_csv,
+        scan_schema_tsv, scan_positional_tsv, scan_header_tsv, rejected_rows, prepared_plays,
+        tsv_job, sample_sink, sample_ties, summary_sink, summary_sink_csv,
         play_gaps, session_flags, session_ids, sessionize_missing_times,
         sessions_missing_times, sessions_timed_only,
-        session_global_number, session_user_number, ordered_sessions, session_preview,
+        session_global_number, order_global_number, session_user_number, ordered_sessions, session_preview,
         order_sessions, order_session_ids,
         long_threshold_exact, long_threshold_interpolated, long_threshold_approx,
         approx_threshold_error,
@@ -402,7 +459,7 @@ WHOLE_SECONDS = "(SELECT event_id, user_id, date_trunc('second', ts) AS ts FROM
 
 LOG_SQL = """SELECT CAST(user_id AS VARCHAR) AS userid,
   CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS played_at,
-  CAST(event_id AS VARCHAR) AS artistid, event_type AS artistname, props AS traname
+  CAST(event_id AS VARCHAR) AS artistid, event_type AS artistname, value AS traid, props AS traname
 FROM events"""
 
 
@@ -418,15 +475,26 @@ WHERE place <= 30"""
     return {
         "scan_schema_tsv": LOG_SQL,
         "scan_positional_tsv": LOG_SQL,
-        "scan_header_tsv": "SELECT CAST(c_custkey AS VARCHAR) AS id, c_name, c_mktsegment FROM customer",
+        "prepared_plays": LOG_SQL,
+        "scan_header_tsv": """SELECT CAST(c_custkey AS VARCHAR) AS id, c_name,
+  CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_acctbal, c_mktsegment FROM customer""",
         "rejected_rows": """SELECT count(*) AS total_rows,
   count(*) FILTER (WHERE event_type = 'error') AS missing,
   count(*) FILTER (WHERE event_type = 'signup') AS unparseable FROM events""",
         "tsv_job": _share_sql(source=WHOLE_SECONDS) + RESULT_SQL,
-        "sample_sink": f"""SELECT CAST(user_id AS VARCHAR) AS userid,
-  CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS played_at,
-  CAST(event_id AS VARCHAR) AS artistid, event_type AS artistname, props AS traname
-FROM ({first})""",
+        "sample_sink": f"""SELECT * EXCLUDE (place) FROM (
+  SELECT *, row_number() OVER (PARTITION BY userid ORDER BY played_at, artistid) AS place
+  FROM ({LOG_SQL}))
+WHERE place <= 30""",
+        "sample_ties": """SELECT * EXCLUDE (place) FROM (
+  SELECT *, row_number() OVER (PARTITION BY userid ORDER BY played_at, artistid) AS place
+  FROM (
+    SELECT CAST(o_custkey AS VARCHAR) AS userid,
+      CAST(epoch(date_trunc('second', o_orderdate)) AS BIGINT) AS played_at,
+      CAST(o_orderkey AS VARCHAR) AS artistid, o_orderstatus AS artistname,
+      o_totalprice AS traid, o_orderpriority AS traname
+    FROM orders))
+WHERE place <= 3""",
         "summary_sink": result,
         "summary_sink_csv": result,
         "play_gaps": plays + "SELECT event_id, user_id, ts, CAST(time_diff AS DOUBLE) AS time_diff FROM diffs",
@@ -444,6 +512,8 @@ FROM ({first})""",
         "session_global_number": plays
         + """SELECT user_id, session_id,
   row_number() OVER (ORDER BY user_id, session_id) AS unique_session_id FROM sessions""",
+        "order_global_number": """SELECT o_custkey, o_orderdate, o_orderkey,
+  row_number() OVER (ORDER BY o_custkey, o_orderdate, o_orderkey) AS order_number FROM orders""",
         "session_user_number": plays
         + """SELECT user_id, session_id,
   row_number() OVER (PARTITION BY user_id ORDER BY session_id) AS user_session_number
@@ -460,8 +530,17 @@ FROM sessions""",
         "long_threshold_interpolated": plays
         + f"""SELECT round(quantile_cont(session_duration, {QUANTILE}), 6) AS long_session_threshold
 FROM sessions""",
-        "approx_threshold_error": plays
-        + "SELECT count(session_duration) AS sessions, true AS within_error FROM sessions",
+        "long_threshold_approx": plays
+        + f"""SELECT CAST(lower AS DOUBLE) AS lower, CAST(upper AS DOUBLE) AS upper,
+  exact BETWEEN lower AND upper AS within_bracket
+FROM (SELECT quantile_disc(session_duration, {QUANTILE - 0.001}) AS lower,
+  quantile_disc(session_duration, {QUANTILE}) AS exact,
+  quantile_disc(session_duration, {QUANTILE + 0.001}) AS upper FROM sessions)""",
+        "approx_threshold_error": share
+        + f"""SELECT count(session_duration) AS sessions,
+  count(*) FILTER (WHERE session_duration < threshold) <= {QUANTILE + 0.001} * count(session_duration)
+  AND count(*) FILTER (WHERE session_duration <= threshold) >= {QUANTILE - 0.001} * count(session_duration)
+  AS within_error FROM sessions, cut""",
         "session_split": share
         + """SELECT short AS total_short_sessions, long AS total_long_sessions,
   short / (short + long) AS short_session_ratio, long / (short + long) AS long_session_ratio
@@ -503,6 +582,7 @@ FROM split""",
   (SELECT column_type FROM (DESCRIBE SELECT * FROM events) WHERE column_name = 'ts')
     = 'TIMESTAMP' AS time_is_timestamp,
   count(*) AS total_rows, count(*) FILTER (WHERE ts IS NULL) AS rows_without_time FROM events""",
-        "expected_cardinality": """SELECT count(*) AS users, CAST(150 AS BIGINT) AS expected,
-  count(*) = 150 AS matches FROM (SELECT DISTINCT user_id FROM events)""",
+        "expected_cardinality": """SELECT users, expected, users = expected AS matches FROM (
+  SELECT (SELECT count(*) FROM (SELECT DISTINCT user_id FROM events)) AS users,
+    (SELECT count(*) // 10 FROM customer) AS expected)""",
     }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -32,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named in ``spark.checkpoint.dir``.
 
     Only a local master may go without that setting; it then gets a folder of
-    its own, once per session.
+    its own, once per session, which is removed when the program ends.
     """
     for key in ("spark.checkpoint.dir", _OWN_SCRATCH):
         named = spark.conf.get(key, None)
@@ -41,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="sessionlake-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set(_OWN_SCRATCH, own)
     return own
 

@@ -54,11 +54,11 @@ def read_headed(spark: SparkSession, path: str, quote: str = '"') -> DataFrame:
 DATASETS = {"track_sessions": read_play_log, "userid_profiles": read_headed}
 
 
-def load(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """A dataset by its name."""
+def load(spark: SparkSession, name: str, path: str, **options) -> DataFrame:
+    """A dataset by its name; ``options`` go to its reader."""
     if name not in DATASETS:
         raise KeyError(f"no dataset {name!r}; known: {', '.join(DATASETS)}")
-    return DATASETS[name](spark, path)
+    return DATASETS[name](spark, path, **options)
 
 
 def parse_plays(raw: DataFrame, ts: str = "timestamp") -> DataFrame:

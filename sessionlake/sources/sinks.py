@@ -12,7 +12,7 @@ def write_summary(summary: DataFrame, path: str, fmt: str = "parquet") -> DataFr
     if fmt not in ("parquet", "csv"):
         raise ValueError("fmt must be parquet or csv")
     options = {"header": "true"} if fmt == "csv" else {}
-    summary.coalesce(1).write.mode("overwrite").format(fmt).options(**options).save(path)
+    summary.write.mode("overwrite").format(fmt).options(**options).save(path)
     return summary.sparkSession.read.schema(summary.schema).options(**options).format(fmt).load(path)
 
 

@@ -86,6 +86,29 @@ def test_job(spark, folder):
         run_job(spark, log_file, few, result)
 
 
+def test_wrong_profiles_leave_no_result(spark, folder):
+    log_file, result = folder("log.tsv", lines(E1)), str(folder.path / "none")
+    nobody = folder("users.tsv", "#id\tx\nnobody\t1\n")
+    with pytest.raises(QualityError, match="counts_match"):
+        run_job(spark, log_file, nobody, result, quantile=0.7500001)
+    assert not (folder.path / "none").exists()
+
+
+def test_job_options(spark, folder):
+    log_file = folder("log.tsv", ODD + "u3\t\ta\tb\tc\td\n")
+    users = folder("users.tsv", "#id\tx\nA\t1\n")
+    for untimed, total in ((False, 3), (True, 2)):
+        row = run_job(
+            spark, log_file, users, str(folder.path / "r"), strict=False, quote="", drop_null_ts=untimed, error=0.01
+        ).first()
+        assert row.total_users == total
+
+
+def test_sample_needs_a_limit_that_spark_keeps(spark):
+    with pytest.raises(ValueError, match="windowGroupLimitThreshold"):
+        first_n_per_user(log(spark, [("a", "t1")]), 5000)
+
+
 def test_sample_job(spark, folder):
     rows = [(u, f"2009-01-01T00:{m:02d}:00Z") for u in "ab" for m in range(50)] + [("c", "2009-01-01T00:00:00Z")]
     sample = sample_job(spark, folder("log.tsv", lines(rows[::-1])), str(folder.path / "sample"))

@@ -12,7 +12,6 @@ from sessionlake.plans import table_queries
 
 DATA = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = table_queries.queries(), table_queries.oracle_sql()
-ROWS_ONLY = {"long_threshold_approx"}
 
 
 @pytest.fixture(scope="module")
@@ -34,18 +33,16 @@ def types(found: pa.Table) -> dict[str, str]:
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
-    assert not set(ORACLES) - set(QUERIES)
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     ours = QUERIES[name](spark, DATA).toArrow()
     assert ours.num_rows > 0
-    if name not in ROWS_ONLY:
-        theirs = duck.execute(ORACLES[name]).to_arrow_table()
-        assert types(ours) == types(theirs)
-        assert rows(ours) == rows(theirs)
+    theirs = duck.execute(ORACLES[name]).to_arrow_table()
+    assert types(ours) == types(theirs)
+    assert rows(ours) == rows(theirs)
 
 
 def test_all_are_registered():

@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 
 import brute
 from sessionlake.operators.quantiles import (
-    BIN,
+    BINS,
+    at_ranks,
+    discrete_rank,
+    histogram,
     exact_quantile,
     interpolated_quantile,
     quantile_of,
@@ -48,7 +51,7 @@ def test_hand_checked(spark, values, discrete, interpolated):
 def test_matches_the_built_in_functions(spark, q):
     rng = random.Random(7)
     # Neighbours on both sides of bin borders, far apart bins, negative values, many ties.
-    values = [rng.choice([0, 1, BIN - 1, BIN, BIN + 1, -1, -BIN, rng.randrange(10**7)]) for _ in range(999)]
+    values = [rng.choice([0, 1, BINS - 1, BINS, BINS + 1, -1, -BINS, rng.randrange(10**7)]) for _ in range(999)]
     df = numbers(spark, values).cache()
     built_in = df.agg(
         F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY d)"), F.percentile("d", q)
@@ -64,6 +67,19 @@ def test_fractional_values(spark):
     assert one(interpolated_quantile(df, "d", 0.25)) == -2.5
 
 
+@pytest.mark.parametrize("column", ["id / 200000D", "id * 1000000", "-(id * id)"])
+def test_any_range_of_values_is_spread_over_bins(spark, column):
+    """The window over values sees the rows of one bin, and that over bins a bounded number."""
+    df = spark.range(200_000).selectExpr(f"{column} AS d")
+    values = histogram(df, "d")
+    found = at_ranks(values, discrete_rank(0.9)).collect()
+    assert len(found) == 1
+    assert found[0].value == brute.discrete([r.d for r in df.collect()], 0.9)
+    low, high = df.selectExpr("min(d)", "max(d)").first()
+    sizes = values.selectExpr(f"floor((value - {low}D) / ({high - low}D / {BINS})) AS b").groupBy("b").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 1000
+
+
 def test_rank_error_of_the_sketch(spark):
     rng = random.Random(3)
     values = sorted(rng.randrange(10**6) for _ in range(20_000))

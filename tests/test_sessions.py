@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import brute
-from sessionlake.operators.numbering import number_globally
+from sessionlake.operators.numbering import number_globally, number_sessions
 from sessionlake.operators.quantiles import interpolated_quantile
 from sessionlake.operators.sessions import number_within_user, session_summary, sessionize
 from sessionlake.plans.long_sessions import (
@@ -182,10 +182,9 @@ def test_summary_and_share_match_plain_python(spark, seed, gap):
     assert tuple(long_session_share(frame, gap=gap).first()) == brute.share(plays, gap, 0.9)
 
 
-@pytest.mark.parametrize("hot_tile,listed", [(None, 0), (2, 100_000), (2, 1), (1_000_000, 100_000)])
+@pytest.mark.parametrize("hot_tile", [None, 1, 2, 5, 1_000_000])
 @pytest.mark.parametrize("gap", [900, 21600])
-def test_sessionize_matches_plain_python(spark, monkeypatch, gap, hot_tile, listed):
-    monkeypatch.setattr("sessionlake.operators.sessions.MAX_HOT_TILES", listed)
+def test_sessionize_matches_plain_python(spark, gap, hot_tile):
     plays = random_plays(11, gap=gap)
     found = [
         (r.userid, micros(r.timestamp), micros(r.previous_time), r.time_diff, r.is_new_session, r.session_id)
@@ -278,7 +277,9 @@ def test_agrees_with_session_window(spark):
 
 def test_numbers(spark):
     sessions = session_summary(timeline(spark, random_plays(51)))
-    rows = number_globally(number_within_user(sessions), ["userid", "session_id"]).collect()
+    by_user = number_sessions(sessions).withColumnRenamed("unique_session_id", "by_user")
+    rows = number_globally(number_within_user(by_user), ["userid", "session_id"]).collect()
+    assert all(r.by_user == r.unique_session_id for r in rows)
     in_order = sorted(rows, key=lambda r: (brute.order_key(r.userid), r.session_id))
     assert [r.unique_session_id for r in in_order] == list(range(1, len(rows) + 1))
     for user in {r.userid for r in rows}:
