@@ -13,11 +13,13 @@ compared only if they share such a region, in as many parts as a linked pair mus
 common. Pairs and regions that overlap are united into components.
 
 *Regions.* A component of up to ``limit`` texts is joined in one task. A larger one is split by
-pivots drawn from it. Each text has its home in the Voronoi region of its nearest pivot, and
-is also a guest in every region whose pivot is at most twice the allowed distance further
-away: by the triangle inequality that holds all texts linked to one with its home there.
-Regions are split again until they are small; a region that pivots cannot split, since all its
-texts are about equally near, is cut into blocks, and blocks are joined two by two.
+pivots drawn from it. Each text has its home in the Voronoi region of its nearest pivot, or, if
+none is within ``RADIUS``, in the region outside. It is also a guest where the triangle
+inequality lets texts linked to it have their homes: in regions whose pivot is at most twice
+the allowed distance further away than its own and at most the allowed distance beyond
+``RADIUS``, and outside if it is within the allowed distance of that border. Regions are split
+again until they are small; a region that pivots cannot split, since its texts are about
+equally near or far, is cut into blocks, and blocks are joined two by two.
 
 Both steps are exact up to collisions of 64-bit hashes of n-grams: there are no caps, and every
 pair that shares a region is either compared or ruled out by one of the bounds above.
@@ -44,7 +46,10 @@ LIMIT = 600
 SMALL = 16
 #: Pivots of one split, and splits before a region is cut into blocks.
 PIVOTS = 8
-DEPTH = 3
+DEPTH = 2
+#: A text further than this from all pivots has its home outside their regions.
+RADIUS = 0.5
+OUTSIDE = PIVOTS
 #: Sizes within this ratio share a division into parts.
 RATIO = 1.43
 #: N-grams handled at once in a task.
@@ -171,8 +176,8 @@ def signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray,
     return np.concatenate(found), np.concatenate(owners), np.concatenate(needs)
 
 
-#: In place of a need: the node leads a large region, which stays a large one.
-LEADS = -1
+#: In place of a need: the region is large, its other nodes are not here.
+LARGE = -1
 PART = np.dtype([("key", "<u8"), ("node", "<i8"), ("need", "<i4")])
 EDGE = np.dtype([("a", "<i8"), ("b", "<i8"), ("n", "<i8"), ("need", "<i4")])
 
@@ -193,14 +198,6 @@ def edges_of(a: np.ndarray, b: np.ndarray, need: np.ndarray) -> np.ndarray:
     return edges
 
 
-def stars(parts: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Edges from the smallest node of each region to all others; no agreement more is asked for."""
-    lead = np.repeat(parts["node"][starts], sizes)
-    mine = np.concatenate([np.arange(a, a + n) for a, n in zip(starts.tolist(), sizes.tolist())] or [np.empty(0, int)])
-    edges = edges_of(lead, parts["node"][mine], np.zeros(len(mine), int))
-    return edges[edges["a"] != edges["b"]]
-
-
 def pairs(parts: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Edges between all nodes of small regions."""
     found = [np.empty(0, EDGE)]
@@ -229,7 +226,7 @@ def counted(edges: np.ndarray) -> np.ndarray:
 DOC = np.dtype([("id", "<i8"), ("known", "u1"), ("n", "<i8"), ("node", "<i8"), ("digest", "V16")])
 PACKED = "bucket int, kind int, packed binary"
 UNPACKED = "kind int, a long, b long, n long, need int, digest binary"
-DOCS, PARTS, EDGES = 0, 1, 2
+DOCS, PARTS, MEMBERS, EDGES = 0, 1, 2, 3
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -279,15 +276,17 @@ def _pack(n: int, num: int, den: int, buckets: int) -> Callable:
                 parts = np.zeros(len(keys), PART)
                 parts["key"], parts["node"], parts["need"] = keys, nodes[a:b][owner], need
                 parts, starts, sizes = by_key(parts)
-                # Of a large region only the lead goes on, which keeps a hot one small.
+                # Of a large region one node goes on to say so. The others need not meet in one
+                # task, and are dealt out evenly.
                 large = sizes > SMALL
-                edges = counted(stars(parts, starts[large], sizes[large]))
+                within = np.repeat(large, sizes)
+                members = parts[within]
+                deal(MEMBERS, mixed(members["key"] ^ members["node"].view(np.uint64)), members)
                 lead = np.zeros(len(parts), bool)
                 lead[starts] = True
-                parts["need"][starts[large]] = LEADS
-                parts = parts[lead | ~np.repeat(large, sizes)]
+                parts["need"][starts[large]] = LARGE
+                parts = parts[lead | ~within]
                 deal(PARTS, parts["key"], parts)
-                deal(EDGES, mixed(edges["a"].view(np.uint64) ^ edges["b"].view(np.uint64)), edges)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in rows], pa.int32()),
@@ -322,7 +321,7 @@ def _unpack(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for group in by_group(source, "bucket"):
         kinds = group.column("kind").to_pylist()
         blobs = group.column("packed").to_pylist()
-        joined = {k: b"".join(b for i, b in zip(kinds, blobs) if i == k) for k in (DOCS, PARTS, EDGES)}
+        joined = {k: b"".join(b for i, b in zip(kinds, blobs) if i == k) for k in (DOCS, PARTS, MEMBERS)}
         docs = np.frombuffer(joined[DOCS], DOC)
         if len(docs):
             yield pa.RecordBatch.from_arrays(
@@ -339,16 +338,8 @@ def _unpack(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, starts, sizes = by_key(np.frombuffer(joined[PARTS], PART))
         large = sizes > SMALL
         if len(parts):
-            large |= np.minimum.reduceat(parts["need"], starts) == LEADS
-        edges = counted(
-            np.concatenate(
-                [
-                    np.frombuffer(joined[EDGES], EDGE),
-                    stars(parts, starts[large], sizes[large]),
-                    pairs(parts, starts[~large], sizes[~large]),
-                ]
-            )
-        )
+            large |= np.minimum.reduceat(parts["need"], starts) == LARGE
+        edges = counted(pairs(parts, starts[~large], sizes[~large]))
         if len(edges):
             yield pa.RecordBatch.from_arrays(
                 [
@@ -358,6 +349,20 @@ def _unpack(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 names,
             )
+        here = parts[np.repeat(large, sizes)]
+        members = np.concatenate([np.frombuffer(joined[MEMBERS], PART), here[here["need"] != LARGE]])
+        if len(members):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(members), MEMBERS, np.int32)),
+                    pa.array(members["key"].view(np.int64).copy()),
+                    pa.array(members["node"].copy()),
+                    pa.nulls(len(members), pa.int64()),
+                    pa.array(members["need"].copy()),
+                    pa.nulls(len(members), pa.binary()),
+                ],
+                names,
+            )
 
 
 REGION = "region long, side int, home boolean, digest binary, grams binary"
@@ -492,10 +497,15 @@ def _split_region(allowed: float) -> Callable:
                         continue
                     d = distances(s, pivots)
                     nearest = int(d.argmin())
-                    # A little wider than twice, against rounding.
-                    for k in np.flatnonzero(d <= d[nearest] + 2 * allowed + 1e-9).tolist():
+                    own = nearest if d[nearest] < RADIUS else OUTSIDE
+                    # A little wider than allowed, against rounding.
+                    reach = RADIUS + allowed if own == OUTSIDE else min(RADIUS + allowed, d[nearest] + 2 * allowed)
+                    into = np.flatnonzero(d <= reach + 1e-9).tolist()
+                    if d[nearest] >= RADIUS - allowed - 1e-9:
+                        into.append(OUTSIDE)
+                    for k in into:
                         within = int(salted(np.array([region], np.int64).view(np.uint64), k + 1).view(np.int64)[0])
-                        rows.append((within, -1, home and k == nearest, digest, grams))
+                        rows.append((within, -1, home and k == own, digest, grams))
                 if rows:
                     yield _row_batch(rows)
 
@@ -547,6 +557,31 @@ def _joined(regions: DataFrame, num: int, den: int) -> DataFrame:
     )
 
 
+def _agreeing(seen: DataFrame) -> DataFrame:
+    """Pairs that agree in enough parts.
+
+    Agreements are counted in small regions. In large ones a pair can have at most as many more
+    as either of its nodes has large regions. Only nodes with as many large regions as they
+    need agreements can be linked through those alone, and only these are united there.
+    """
+    members = seen.where(F.col("kind") == MEMBERS).select(F.col("a").alias("key"), F.col("b").alias("node"), "need").distinct()
+    crowded = members.groupBy("node").agg(F.count_distinct("key").alias("k"), F.min("need").alias("need"))
+    alone = members.join(crowded.where("k >= need").select("node"), "node").select("key", "node")
+    leads = alone.groupBy("key").agg(F.min("node").alias("lead"))
+    stars = alone.join(leads, "key").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    more = [crowded.select(F.col("node").alias(c), F.col("k").alias(f"k{c}")) for c in ("a", "b")]
+    return (
+        seen.where(F.col("kind") == EDGES)
+        .groupBy("a", "b")
+        .agg(F.sum("n").alias("n"), F.min("need").alias("need"))
+        .join(more[0], "a", "left")
+        .join(more[1], "b", "left")
+        .where("n + least(coalesce(ka, 0), coalesce(kb, 0)) >= need")
+        .select("a", "b")
+        .unionByName(stars)
+    )
+
+
 def jaccard_join(
     docs: DataFrame,
     n: int = 5,
@@ -576,13 +611,7 @@ def jaccard_join(
     known = seen.where(F.col("kind") == DOCS).select(
         F.col("a").alias("id"), F.col("b").alias("node"), F.col("n").alias("n_shingles"), "digest"
     )
-    agreed = (
-        seen.where(F.col("kind") == EDGES)
-        .groupBy("a", "b")
-        .agg(F.sum("n").alias("n"), F.min("need").alias("need"))
-        .where("n >= need")
-    )
-    candidate = components(agreed.select("a", "b"))
+    candidate = components(_agreeing(seen))
     # One text of each set that shares a region with another set.
     chosen = freeze(
         known.where("n_shingles > 0")
