@@ -3,7 +3,8 @@
 Writing. Payloads are content-addressed by SHA-1. Of records with equal payloads the one
 with the smallest id is the response; the others are revisits that name it and carry no
 payload. Records go through Spark's text writer, whose line separator is the two blank
-lines that end a record, so that archives can lie in any store Spark writes to.
+lines that end a record, so that archives can lie in any store Spark writes to. Files are
+gzipped whole; offsets count bytes of the records.
 
 Reading. Every archive file is one capture run. Its records are parsed by their
 Content-Length, payload digests are checked, and the index lines of a run are sorted by url
@@ -15,6 +16,7 @@ order form one globally ordered capture history. A hot url is split by time and
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -115,7 +117,7 @@ def write_archives(
     """
     captured = F.lit(0) if captured is None else captured
     records = with_records(pages.where(F.col(key).isNotNull()), key, url, html, captured)
-    records.write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records.write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path, compression="gzip")
     return path
 
 
@@ -146,7 +148,7 @@ def _index_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
             run = path.rsplit("/", 1)[-1]
             lines = []
-            for record in parse_records(content.as_py()):
+            for record in parse_records(gzip.decompress(content.as_py())):
                 fields = record["fields"]
                 digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                 response = fields["WARC-Type"] == "response"
@@ -206,7 +208,7 @@ INDEX_ARROW = pa.schema(
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Index lines of all archives below ``path``, one sorted run per file."""
     # One file to a task at least: a file is read whole, its size is bounded by the writer's.
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path)
     return files.select("path", "content").mapInArrow(_index_run, INDEX)
 
 
