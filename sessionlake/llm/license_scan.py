@@ -149,9 +149,7 @@ def scan_licences(
     an id are one file with several texts; all rows are in the result.
     """
     spark = files.sparkSession
-    best = F.max_by(
-        F.struct("license", "score", "line"), F.struct(F.round("score", 9).alias("s"), -F.col("line"), F.expr("-ascii(license)"))
-    )
+    best = F.min(F.struct((-F.round("score", 9)).alias("rank"), "line", "license", "score"))
     own = freeze(
         line_scores(spark, files, TEMPLATES if templates is None else templates, threshold, id, text)
         .groupBy("id")
@@ -163,7 +161,7 @@ def scan_licences(
         placed.where(named.rlike(LICENCE_FILE))
         .join(own, F.col("_id").eqNullSafe(F.col("id")))
         .groupBy(F.col("directory").alias("above"))
-        .agg(F.max_by("own.license", F.struct(F.round("own.score", 9), F.expr("-ascii(own.license)"))).alias("grant"))
+        .agg(F.min(F.struct("own.rank", "own.license")).alias("grant"))
     )
     parts = F.split("directory", "/")
     ancestors = F.transform(
@@ -176,7 +174,7 @@ def scan_licences(
         .select("directory", F.explode(F.array_distinct(ancestors)).alias("above"))
         .join(granted, "above")
         .groupBy("directory")
-        .agg(F.max_by(F.struct("above", "grant"), F.length("above")).alias("inherited"))
+        .agg(F.max_by(F.struct("above", "grant.license"), F.length("above")).alias("inherited"))
     )
     return (
         placed.join(own, F.col("_id").eqNullSafe(F.col("id")), "left")
@@ -184,7 +182,7 @@ def scan_licences(
         .select(
             F.col("_id").alias(id),
             "path",
-            F.coalesce("own.license", "inherited.grant").alias("license"),
+            F.coalesce("own.license", "inherited.license").alias("license"),
             F.col("own.score").alias("score"),
             F.col("own.line").alias("line"),
             F.when(F.col("own").isNotNull(), "header").when(F.col("inherited").isNotNull(), "directory").alias("origin"),

@@ -41,7 +41,9 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "documents").selectExpr(
         "doc_id", "text", f"concat_ws('/', source, doc_id div 1000, doc_id div 100, {name}) AS path"
     )
-    return license_scan.scan_licences(files).withColumn("score", F.round("score", 6))
+    found = license_scan.scan_licences(files)
+    # A number that may be missing as a double: the same in every client library.
+    return found.withColumns({"score": F.round("score", 6), "line": F.col("line").cast("double")})
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +125,68 @@ _BASE32 = " || ".join(
     for d in range(4)
 )
 
+_TERM = r"[\p{L}\p{N}]+"
+
+_LICENSES = ", ".join(f"('{name}', '{text}')" for name, text in license_scan.TEMPLATES.items())
+
 ORACLE_SQL = {
+    "op2_license_scan": f"""
+        WITH files AS (
+            SELECT doc_id, text, doc_id % 10 = 0 AS grants,
+                concat_ws('/', source, doc_id // 1000, doc_id // 100) AS directory,
+                concat_ws('/', source, doc_id // 1000, doc_id // 100,
+                    CASE WHEN doc_id % 10 = 0 THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END) AS path
+            FROM documents
+        ), lines AS (
+            SELECT * FROM (
+                SELECT doc_id, unnest(string_split(text, chr(10))) AS content,
+                    generate_subscripts(string_split(text, chr(10)), 1) AS line
+                FROM files)
+            WHERE regexp_matches(content, '{_TERM}')
+        ), terms AS (
+            SELECT doc_id, line, t, count(*) AS n
+            FROM (SELECT doc_id, line, unnest(regexp_extract_all(lower(content), '{_TERM}')) AS t FROM lines)
+            GROUP BY ALL
+        ), template AS (
+            SELECT license, t, count(*) AS n
+            FROM (SELECT license, unnest(regexp_extract_all(lower(body), '{_TERM}')) AS t
+                FROM (VALUES {_LICENSES}) AS v(license, body))
+            GROUP BY ALL
+        ), whole AS (SELECT count(*) AS total FROM lines),
+        weights AS (
+            SELECT t, ln((1 + any_value(total)) / (1 + count(terms.t))) + 1 AS w
+            FROM (SELECT DISTINCT t FROM template) LEFT JOIN terms USING (t), whole GROUP BY t
+        ), vectors AS (
+            SELECT license, t, n * w * w / sqrt(sum(n * w * n * w) OVER (PARTITION BY license)) AS part
+            FROM template JOIN weights USING (t)
+        ), norms AS (
+            SELECT doc_id, line, sqrt(sum(pow(n * coalesce(w, ln(1 + total) + 1), 2))) AS norm
+            FROM terms LEFT JOIN weights USING (t), whole GROUP BY ALL
+        ), scores AS (
+            SELECT doc_id, line, license, sum(n * part) / any_value(norm) AS score
+            FROM terms JOIN vectors USING (t) JOIN norms USING (doc_id, line) GROUP BY ALL
+        ), own AS (
+            SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, line, license) AS place
+            FROM scores WHERE score >= {license_scan.THRESHOLD}
+        ), found AS (
+            SELECT files.* EXCLUDE (text), line, license, score FROM files
+            LEFT JOIN (SELECT * FROM own WHERE place = 1) o ON files.doc_id = o.doc_id
+        ), granted AS (
+            SELECT directory AS above, license,
+                row_number() OVER (PARTITION BY directory ORDER BY round(score, 9) DESC, license) AS place
+            FROM found WHERE grants AND license IS NOT NULL
+        ), nearest AS (
+            SELECT d.directory, g.above, g.license AS inherited,
+                row_number() OVER (PARTITION BY d.directory ORDER BY length(g.above) DESC) AS place
+            FROM (SELECT DISTINCT directory FROM files) d
+            JOIN granted g ON g.place = 1 AND (d.directory = g.above OR starts_with(d.directory, g.above || '/'))
+        )
+        SELECT doc_id, path, coalesce(license, inherited) AS license, round(score, 6) AS score,
+            line::DOUBLE AS line,
+            CASE WHEN license IS NOT NULL THEN 'header' WHEN inherited IS NOT NULL THEN 'directory' END AS origin,
+            CASE WHEN license IS NULL THEN above END AS from_directory
+        FROM found LEFT JOIN (SELECT * FROM nearest WHERE place = 1) USING (directory)
+    """,
     "op4_warc": f"""
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS html, coalesce(url, '') AS url, sha1(coalesce(html, '')) AS h FROM pages
