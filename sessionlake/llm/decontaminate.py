@@ -63,16 +63,20 @@ def _windows(rows: DataFrame, words: str, at: str, lengths: list[int], keep: lis
     )
 
 
-def overlap_score() -> Column:
-    """The best stretch of the diagonal through a hit: equal words less different ones."""
-    pairs = """zip_with(
-        slice(words, greatest(at - place, 0) + 1, least(size(words) - greatest(at - place, 0),
-              size(item) - greatest(place - at, 0))),
-        slice(item, greatest(place - at, 0) + 1, least(size(words) - greatest(at - place, 0),
-              size(item) - greatest(place - at, 0))),
-        (a, b) -> IF(a = b, 1, -1))"""
+def _diagonal() -> list[Column]:
+    """The parts of ``words`` and ``item`` that lie on each other, ``shift`` words from the text's start."""
+    length = "least(size(words) - greatest(shift, 0), size(item) - greatest(-shift, 0))"
+    return [
+        F.expr(f"slice(words, greatest(shift, 0) + 1, {length})").alias("mine"),
+        F.expr(f"slice(item, greatest(-shift, 0) + 1, {length})").alias("theirs"),
+        F.expr("size(item)").alias("item_words"),
+    ]
+
+
+def best_stretch() -> Column:
+    """Of a diagonal: the most that equal words less different ones make up."""
     return F.expr(
-        f"""aggregate({pairs}, named_struct('run', 0, 'best', 0),
+        """aggregate(zip_with(mine, theirs, (a, b) -> IF(a = b, 1, -1)), named_struct('run', 0, 'best', 0),
             (s, x) -> named_struct('run', greatest(s.run + x, 0), 'best', greatest(s.best, s.run + x)), s -> s.best)"""
     )
 
@@ -87,9 +91,10 @@ def overlaps(
     share: float = SHARE,
     least: int = LEAST,
 ) -> DataFrame:
-    """One row per text and benchmark item found in it: ``doc_id``, ``item_id``, ``matched``, ``item_words``.
+    """One row per text and benchmark item found in it: the ids, ``matched``, ``item_words`` and ``hits``.
 
-    ``matched`` is the score of the best stretch. Items without words are in no text; items
+    ``matched`` is the score of the best stretch, ``hits`` counts the windows in common on the
+    diagonals that reach it. Items without words are in no text; items
     shorter than a mask are found only word for word. Null texts are empty. Texts and items
     that share an id count as one; a null id is an id too. An empty benchmark finds nothing.
     """
@@ -102,18 +107,32 @@ def overlaps(
         F.sum(F.size("item")).alias("words"),
         F.collect_set(F.when(F.size("item") < SPAN, F.size("item"))).alias("short"),
     ).first()
-    known = _windows(items, "item", "place", sorted(counted["short"]), ["item_id"])
-    if (counted["words"] or 0) <= BROADCAST_WORDS:
-        known = F.broadcast(known)
+    short = sorted(counted["short"])
+    known = _windows(items, "item", "place", short, ["item_id"])
     rows = docs.select(F.col(id).alias("doc_id"), tokens(text_of(text)).alias("words"))
-    hits = _windows(rows, "words", "at", sorted(counted["short"]), ["doc_id"]).join(known, "seed")
-    enough = F.greatest(F.ceil(share * F.size("item")), F.least(F.lit(least), F.size("item")))
+    windows = _windows(rows, "words", "at", short, ["doc_id"])
+    shift = (F.col("at") - F.col("place")).alias("shift")
+    # A text hit many times on one diagonal is compared once. Only the diagonals leave the
+    # stage that makes the windows: a window with its whole text would be a row of the
+    # text's size, as many times as the text has words.
+    if (counted["words"] or 0) <= BROADCAST_WORDS:
+        hits = windows.join(F.broadcast(known), "seed").select("doc_id", "item_id", "words", "item", shift)
+    else:
+        found = windows.drop("words").join(known.drop("item"), "seed").select("doc_id", "item_id", shift).distinct()
+        same = F.col("doc_id").eqNullSafe(F.col("hit_id"))
+        hits = rows.join(found.withColumnRenamed("doc_id", "hit_id"), same).join(items, "item_id")
+    enough = F.greatest(F.ceil(share * F.col("item_words")), F.least(F.lit(least), F.col("item_words")))
     return (
-        hits.select("doc_id", "item_id", overlap_score().alias("matched"), F.size("item").alias("item_words"), enough.alias("enough"))
-        .where("matched >= enough")
+        hits.select("doc_id", "item_id", *_diagonal())
+        .groupBy("doc_id", "item_id", "mine", "theirs", "item_words")
+        .agg(F.count("*").alias("hits"))
+        # Under this condition Spark can't move the comparison below, into the join, which would
+        # then no longer be compiled into one loop with the windows.
+        .withColumn("matched", F.when(F.col("hits") > 0, best_stretch()))
+        .where(F.col("matched") >= enough)
         .groupBy("doc_id", "item_id")
-        .agg(F.max("matched").alias("matched"), F.max("item_words").alias("item_words"))
-        .withColumnsRenamed({"doc_id": id, "item_id": item} if (id, item) != ("doc_id", "item_id") else {})
+        .agg(F.max("matched").alias("matched"), F.max("item_words").alias("item_words"), F.sum("hits").alias("hits"))
+        .withColumnsRenamed({"doc_id": id, "item_id": item})
     )
 
 
