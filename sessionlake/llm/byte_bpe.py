@@ -1,11 +1,13 @@
 """Byte-level BPE: encoding by ranked merges, and decoding.
 
 Texts are cut by the tokenizer's pattern and gathered into blocks with a list of their
-distinct words. Spark's higher-order functions fold the merges over the bytes of each distinct
-word: in every step the pair of neighbours with the lowest rank, the leftmost of equals, becomes
-one piece, until no pair has a rank. Ranks are a literal in the plan, a hash table of small
-maps, since Spark looks a key up in a map by going through it. The ids are then strung together
-along each text. Nothing is shuffled.
+distinct words. Blocks ask for the ids of their words, in compressed requests dealt out by the
+hash of the word, so that words meet and every distinct word is encoded once. Spark's
+higher-order functions fold the merges over the bytes of each distinct word: in every step the
+pair of neighbours with the lowest rank, the leftmost of equals, becomes one piece, until no
+pair has a rank. Ranks are a literal in the plan, a hash table of small maps, since Spark looks
+a key up in a map by going through it. The answers go back to the blocks, where the ids are
+strung together along each text. Occurrences of words are never shuffled one by one.
 
 Bytes are held as hex digits, two a byte, so that a piece is a string and joining is ``concat``.
 The fold takes time with the square of a word's length; words of more than ``LONG`` bytes are
@@ -19,9 +21,13 @@ import heapq
 import json
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +35,12 @@ from sessionlake.llm.blocks import by_frequency, in_chunks, packed, strung, unpa
 from sessionlake.llm.common import text_of
 
 LONG = 64
+#: Words in a block at most, unless one text has more.
+BLOCK_WORDS = 1_000_000
+#: Bytes of token ids that a task has unpacked at once.
+AT_ONCE = 2_000_000
+#: Before the number of a bucket; no block has such a name.
+BUCKET = "bucket "
 #: Small maps of the literal rank table.
 SLOTS = 16_384
 
@@ -106,26 +118,86 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in piece if p is not None]
 
 
-def _to_blocks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in source:
-        if not batch.num_rows:
-            continue
-        words = batch.column("words")
-        coded = words.flatten().dictionary_encode()
-        places, order = by_frequency(coded.indices.to_numpy(zero_copy_only=False), len(coded.dictionary))
-        counts = np.diff(words.offsets.to_numpy())
+#: One shuffle takes two kinds of rows to their ``target``: blocks, and requests of blocks to
+#: buckets of words.
+SENT = (
+    "target string NOT NULL, block string, ids array<long>, counts binary, places binary, answered binary, "
+    "lengths binary, size long, text binary"
+)
+
+
+def _dealt(words: list[bytes], buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places of its words), bucket by bucket."""
+    hashes = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+    order = np.argsort(hashes, kind="stable")
+    for places in np.split(order, np.flatnonzero(np.diff(hashes[order])) + 1) if len(order) else []:
+        yield int(hashes[places[0]]), places
+
+
+def _to_blocks(buckets: int) -> Callable:
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in SENT.split(", ")]
+        task, made = TaskContext.get().partitionId(), 0
+        types = [pa.string(), pa.string(), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int64(), pa.binary()]
+        for whole in source:
+            sizes = np.diff(whole.column("words").offsets.to_numpy())
+            for a, b in in_chunks(sizes, BLOCK_WORDS):
+                batch = whole.slice(a, b - a)
+                coded = batch.column("words").flatten().dictionary_encode()
+                places, order = by_frequency(coded.indices.to_numpy(zero_copy_only=False), len(coded.dictionary))
+                counts, places = packed(sizes[a:b]), packed(places)
+                words = [w.encode() for w in coded.dictionary.take(pa.array(order)).to_pylist()]
+                ids = batch.column("id").to_pylist()
+                # The same if the block is made again; blocks of other tasks may have the same content.
+                made += 1
+                content = xxhash.xxh128(repr(ids).encode() + counts + places + b"\n".join(words)).hexdigest()
+                name = f"{task}-{made}-{content}"
+                # Answers come bucket by bucket: where among them that for each word is.
+                dealt = list(_dealt(words, buckets))
+                answered = np.zeros(len(words), np.int64)
+                answered[np.concatenate([at for _, at in dealt] or [np.empty(0, np.int64)])] = np.arange(len(words))
+                rows = [(name, None, ids, counts, places, packed(answered), None, None, None)]
+                for bucket, at in dealt:
+                    asked = [words[i] for i in at.tolist()]
+                    text = b"".join(asked)
+                    lengths = packed(np.array([len(w) for w in asked]))
+                    zipped = pa.compress(text, codec="zstd", asbytes=True)
+                    rows.append((f"{BUCKET}{bucket}", name, None, None, None, None, lengths, len(text), zipped))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    return batches
+
+
+def _distinct(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per bucket: its distinct words, and the blocks with the places of the words they asked for."""
+
+    def requests() -> Iterator[dict]:
+        for batch in source:
+            asked = batch.select(["target", "block", "lengths", "size", "text"])
+            yield from asked.filter(pc.is_valid(asked.column("block"))).to_pylist()
+
+    for target, group in groupby(requests(), key=lambda r: r["target"]):
+        place: dict[bytes, int] = {}
+        blocks, asked = [], []
+        for r in group:
+            text = pa.decompress(r["text"], decompressed_size=r["size"], codec="zstd", asbytes=True)
+            ends = np.cumsum(unpacked(r["lengths"]), dtype=np.int64).tolist()
+            blocks.append(r["block"])
+            asked.append(
+                packed(np.array([place.setdefault(text[a:b], len(place)) for a, b in zip([0, *ends], ends)]))
+            )
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([batch.column("id").to_pylist()], pa.list_(pa.int64())),
-                pa.array([packed(counts)], pa.binary()),
-                pa.array([packed(places)], pa.binary()),
-                pa.array([coded.dictionary.take(pa.array(order)).to_pylist()], pa.list_(pa.string())),
+                pa.array([int(target.removeprefix(BUCKET))], pa.int32()),
+                pa.array([blocks], pa.list_(pa.string())),
+                pa.array([asked], pa.list_(pa.binary())),
+                pa.array([[w.decode() for w in place]], pa.list_(pa.string())),
             ],
-            ["ids", "counts", "places", "words"],
+            ["bucket", "blocks", "asked", "words"],
         )
 
 
-def _string(ranks: dict[bytes, int]) -> Callable:
+def _answers(ranks: dict[bytes, int]) -> Callable:
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for row in range(batch.num_rows):
@@ -140,25 +212,49 @@ def _string(ranks: dict[bytes, int]) -> Callable:
                     lengths[at] = [len(e) for e in extra]
                     starts[at] = len(tokens) + np.cumsum(lengths[at]) - lengths[at]
                     tokens = np.concatenate([tokens, *extra])
-                ids = batch.column("ids")[row].values
-                counts = unpacked(batch.column("counts")[row].as_py()).astype(np.int64)
-                places = unpacked(batch.column("places")[row].as_py())
-                ends = np.concatenate([[0], np.cumsum(counts)])
-                for a, b in in_chunks(counts):
-                    mine = places[ends[a] : ends[b]]
-                    flat = strung(tokens, starts, lengths, mine)
-                    inner = np.concatenate([[0], np.cumsum(lengths[mine])])[ends[a : b + 1] - ends[a]]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            ids.slice(a, b - a),
-                            pa.array([flat[x:y].tobytes() for x, y in zip(inner, inner[1:])], pa.binary()),
-                        ],
-                        ["id", "packed"],
-                    )
+                blocks = batch.column("blocks")[row].as_py()
+                places = [unpacked(a) for a in batch.column("asked")[row].as_py()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(blocks),
+                        pa.array([batch.column("bucket")[row].as_py()] * len(blocks), pa.int32()),
+                        pa.array([packed(lengths[p]) for p in places], pa.binary()),
+                        pa.array([packed(strung(tokens, starts, lengths, p)) for p in places], pa.binary()),
+                    ],
+                    ["name", "bucket", "lengths", "tokens"],
+                )
 
     return batches
 
 
+def _string(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids of every text, from its block and the answers the block got."""
+    for batch in source:
+        for row in np.flatnonzero(batch.column("ids").is_valid().to_numpy(zero_copy_only=False)).tolist():
+            answers = sorted(batch.column("answers")[row].as_py() or [], key=lambda a: a["bucket"])
+            none = [np.empty(0, "<u4")]
+            lengths = np.concatenate([unpacked(a["lengths"]) for a in answers] or none).astype(np.int64)
+            tokens = np.concatenate([unpacked(a["tokens"]) for a in answers] or none)
+            answered = unpacked(batch.column("answered")[row].as_py())
+            starts = (np.cumsum(lengths) - lengths)[answered]
+            lengths = lengths[answered]
+            ids = batch.column("ids")[row].values
+            counts = unpacked(batch.column("counts")[row].as_py()).astype(np.int64)
+            places = unpacked(batch.column("places")[row].as_py())
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            for a, b in in_chunks(counts, AT_ONCE // 16):
+                mine = places[ends[a] : ends[b]]
+                flat = strung(tokens, starts, lengths, mine)
+                inner = np.concatenate([[0], np.cumsum(lengths[mine])])[ends[a : b + 1] - ends[a]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids.slice(a, b - a),
+                        pa.array([flat[x:y].tobytes() for x, y in zip(inner, inner[1:])], pa.binary()),
+                    ],
+                    ["id", "packed"],
+                )
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row its id and ``packed``, the token ids as little-endian unsigned 32-bit integers.
 
@@ -167,21 +263,41 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id: str = "do
     """
     # In Java's patterns \\s means ASCII white space unless (?U) says all of Unicode's.
     words = F.regexp_extract_all(text_of(text), F.lit("(?U)" + pattern), F.lit(0))
-    blocks = docs.select(F.col(id).cast("long").alias("id"), words.alias("words")).mapInArrow(
-        _to_blocks, "ids array<long>, counts binary, places binary, words array<string>"
+    number = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(256, 4 * number)
+    # Both uses below take this one shuffle.
+    sent = (
+        docs.select(F.col(id).cast("long").alias("id"), words.alias("words"))
+        .mapInArrow(_to_blocks(buckets), SENT)
+        .repartition(number, "target")
+    )
+    asked = sent.sortWithinPartitions("target").mapInArrow(
+        _distinct, "bucket int, blocks array<string>, asked array<binary>, words array<string>"
     )
     short = f"octet_length(w) <= {LONG}"
     none = "CAST(array() AS array<int>)"
-    folded = blocks.withColumn("ranks", F.expr(literal(ranks))).select(
-        "ids",
-        "counts",
-        "places",
+    folded = asked.withColumn("ranks", F.expr(literal(ranks))).select(
+        "bucket",
+        "blocks",
+        "asked",
         F.expr(
             f"transform(transform(words, w -> IF({short}, hex(w), '')), h -> IF(h = '', {none}, {fold('h')}))"
         ).alias("tokens"),
         F.expr(f"filter(words, w -> NOT {short})").alias("long_words"),
     )
-    return folded.mapInArrow(_string(ranks), "id long, packed binary").withColumnRenamed("id", id)
+    answers = (
+        folded.mapInArrow(_answers(ranks), "name string, bucket int, lengths binary, tokens binary")
+        .groupBy("name")
+        .agg(F.collect_list(F.struct("bucket", "lengths", "tokens")).alias("answers"))
+    )
+    return (
+        sent.join(answers, F.col("target") == F.col("name"), "left")
+        # Requests are done with. On both sides, or Spark would filter below the shuffle and make
+        # two of it.
+        .where("ids IS NOT NULL OR answers IS NOT NULL")
+        .mapInArrow(_string, "id long, packed binary")
+        .withColumnRenamed("id", id)
+    )
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -195,13 +311,16 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     id = next(c for c in encoded.columns if c != "packed")
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            texts = [
-                strung(flat, starts, lengths, np.frombuffer(p, "<u4")).tobytes()
-                for p in batch.column("packed").to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(id), batch.column("packed"), pa.array(texts, pa.binary())], [id, "packed", "decoded"]
-            )
+        for whole in source:
+            sizes = pc.binary_length(whole.column("packed")).to_numpy(zero_copy_only=False)
+            for a, b in in_chunks(sizes, AT_ONCE):
+                batch = whole.slice(a, b - a)
+                texts = [
+                    strung(flat, starts, lengths, np.frombuffer(p, "<u4")).tobytes()
+                    for p in batch.column("packed").to_pylist()
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(id), batch.column("packed"), pa.array(texts, pa.binary())], [id, "packed", "decoded"]
+                )
 
     return encoded.select(id, "packed").mapInArrow(batches, f"`{id}` long, packed binary, decoded binary")

@@ -44,7 +44,8 @@ def test_as_the_library(spark):
         assert bytes(r.decoded) == text.encode()
 
 
-def test_real_texts(spark):
+def test_real_texts(spark, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "BLOCK_WORDS", 5000)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN).collect():
@@ -54,7 +55,7 @@ def test_real_texts(spark):
 def test_odd_rows(spark):
     assert encoded(spark, []) == []
     got = encoded(spark, [(None, "x y", ""), (1, "x y", ""), (1, "x y", "")])
-    assert [r.doc_id for r in got] == [None, 1, 1]
+    assert sorted(str(r.doc_id) for r in got) == ["1", "1", "None"]
     assert len({bytes(r.packed) for r in got}) == 1
 
 
