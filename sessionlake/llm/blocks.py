@@ -1,6 +1,6 @@
 """Blocks: many texts in one row, as places in a list of their distinct words.
 
-A block holds what one Arrow batch holds, so its size is bounded. Work on words is then done
+The texts of a block have a bounded size together. Work on words is then done
 once for each distinct word of a block, and without a shuffle of the words' occurrences.
 """
 
@@ -10,7 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
+#: Bytes of text in a block; a longer text is a block of its own.
+BLOCK = 8_000_000
 #: Words of which occurrences are expanded at once.
 CHUNK = 500_000
 
@@ -30,8 +33,8 @@ def unpacked(data: bytes) -> np.ndarray:
 def by_frequency(places: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Places renumbered so that frequent words come first, and the old place of each new one."""
     order = np.argsort(-np.bincount(places, minlength=size), kind="stable")
-    new = np.empty(size, np.int64)
-    new[order] = np.arange(size)
+    new = np.empty(size, np.int32)
+    new[order] = np.arange(size, dtype=np.int32)
     return new[places], order
 
 
@@ -42,6 +45,17 @@ def strung(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, places: np
     return flat[jump + np.arange(len(jump))]
 
 
+def in_blocks(source: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The rows of ``source`` in batches of the size of a block."""
+    for batch in source:
+        if batch.num_rows:
+            sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+            for a, b in in_chunks(sizes, BLOCK):
+                yield batch.slice(a, b - a)
+                # An idle worker would keep what a block took while Spark needs the memory.
+                pa.default_memory_pool().release_unused()
+
+
 def in_chunks(counts: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about ``most`` words each; a longer text has a range of its own."""
     start = total = 0

@@ -13,7 +13,7 @@ is a distribution over all words. The first factor, and the second for words of
 softmax layers over the state of a gated recurrent unit.
 
 Training is truncated backpropagation in numpy: the state goes on from window to window, the
-gradient does not. In each round every block trains on its share of texts from the same start,
+gradient does not. A window is longer where few texts are that long. In each round every block trains on its share of texts from the same start,
 and the results are averaged, weighted by tokens, in groups before they reach the driver; what
 the driver holds depends on the size of the model alone. Scoring carries the state through the
 whole of every text.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlake.llm.blocks import by_frequency, packed, unpacked
+from sessionlake.llm.blocks import by_frequency, in_blocks, packed, unpacked
 from sessionlake.llm.common import text_of
 from sessionlake.llm.ngram_jaccard import by_group, split_words
 from sessionlake.session import freeze
@@ -61,9 +61,7 @@ BLOCK = "block string, ids array<long>, held binary, counts binary, places binar
 
 
 def _to_blocks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in source:
-        if not batch.num_rows:
-            continue
+    for batch in in_blocks(source, "text"):
         places, distinct, counts = split_words(batch.column("text"))
         places, order = by_frequency(places, len(distinct))
         yield pa.RecordBatch.from_arrays(
@@ -197,9 +195,14 @@ def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e / z, (top + np.log(z))[:, 0]
 
 
+def entries(m: dict) -> np.ndarray:
+    """What each symbol brings to the gates."""
+    return m["embed"] @ m["into"] + m["bias"]
+
+
 def run_states(m: dict, inputs: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
     """States after each input; ``inputs`` is (time, lane). The gates are kept if asked for."""
-    x = (m["embed"] @ m["into"] + m["bias"])[inputs]
+    x = (entries(m) if m.get("entries") is None else m["entries"])[inputs]
     w, states, gates = WIDTH, np.empty((*inputs.shape, WIDTH), np.float32), []
     for t in range(len(inputs)):
         u = h @ m["again"]
@@ -277,38 +280,50 @@ def gradients(m: dict, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray
     return g, states[-1]
 
 
-def lanes(counts: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, int]]:
+def lanes(counts: np.ndarray, width: int) -> Iterator[np.ndarray]:
     """Groups of up to ``width`` texts of about one length, the longest first in each."""
     order = np.argsort(-counts, kind="stable")
     for a in range(0, len(order), width):
         group = order[a : a + width]
         if counts[group[0]]:
-            yield group, int(counts[group[0]])
+            yield group
 
 
-def _window(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, group: np.ndarray, t: int) -> tuple:
-    """Targets of a window for the texts that reach into it, the symbols before them, and which count."""
-    active = group[: int(np.searchsorted(-counts[group], -t, "left"))]
-    at = t + np.arange(WINDOW)[:, None]
+def _windows(flat: np.ndarray, counts: np.ndarray, group: np.ndarray, tokens: int, most: int) -> Iterator[tuple]:
+    """Of each window: the texts that reach into it, the symbols before the targets, the targets, which count.
+
+    A window has ``WINDOW`` steps, and where few texts are left up to ``most``, so that it has
+    about ``tokens`` targets.
+    """
+    starts, t = np.cumsum(counts) - counts, 0
+    while t < counts[group[0]]:
+        active = group[: int(np.searchsorted(-counts[group], -t, "left"))]
+        steps = min(most, max(WINDOW, tokens // len(active)))
+        yield active, *_window(flat, starts, counts, active, t, steps)
+        t += steps
+
+
+def _window(
+    flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, active: np.ndarray, t: int, steps: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at = t + np.arange(min(steps, int(counts[active[0]]) - t))[:, None]
     live = at < counts[active][None, :]
     place = starts[active][None, :] + np.minimum(at, counts[active][None, :] - 1)
     targets = flat[place]
     # Before the first token stands the end of an earlier text.
     inputs = np.where(at > 0, flat[np.maximum(place - 1, 0)], END)
-    return active, inputs, targets, live
+    return inputs, targets, live
 
 
 def train_on(m: dict, flat: np.ndarray, counts: np.ndarray) -> dict:
     """The model after one pass over some texts, with Adam."""
     m = {k: v.copy() for k, v in m.items()}
     mean, square = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
-    starts, step = np.cumsum(counts) - counts, 0
-    groups = list(lanes(counts, TRAIN_LANES))
+    step, groups = 0, list(lanes(counts, TRAIN_LANES))
     np.random.default_rng(11).shuffle(groups)
-    for group, longest in groups:
+    for group in groups:
         h = np.zeros((len(group), WIDTH), np.float32)
-        for t in range(0, longest, WINDOW):
-            active, inputs, targets, live = _window(flat, starts, counts, group, t)
+        for active, inputs, targets, live in _windows(flat, counts, group, TRAIN_LANES * WINDOW, 4 * WINDOW):
             g, h = gradients(m, inputs, targets, live, h[: len(active)])
             step += 1
             size = RATE * math.sqrt(1 - 0.99**step) / (1 - 0.9**step)
@@ -321,11 +336,10 @@ def train_on(m: dict, flat: np.ndarray, counts: np.ndarray) -> dict:
 
 def score_texts(m: dict, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Natural log-probability of every text as symbols; the state goes through all windows."""
-    scores, starts = np.zeros(len(counts)), np.cumsum(counts) - counts
-    for group, longest in lanes(counts, SCORE_LANES):
+    scores, m = np.zeros(len(counts)), m | {"entries": entries(m)}
+    for group in lanes(counts, SCORE_LANES):
         h = np.zeros((len(group), WIDTH), np.float32)
-        for t in range(0, longest, WINDOW):
-            active, inputs, targets, live = _window(flat, starts, counts, group, t)
+        for active, inputs, targets, live in _windows(flat, counts, group, SCORE_LANES * WINDOW, SCORE_LANES * WINDOW):
             states, _ = run_states(m, inputs, h[: len(active)], False)
             h = states[-1]
             where = np.flatnonzero(live.ravel())

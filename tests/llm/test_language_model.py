@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from plain import split
 
-from sessionlake.llm import gru_lm
+from sessionlake.llm import blocks, gru_lm
 
 HELD_OUT = "crc32(CAST(doc_id AS string)) % 7 = 2"
 
@@ -32,7 +32,9 @@ def scores(spark, docs, **options):
     return gru_lm.score_corpus(frame, HELD_OUT, **options).collect()
 
 
-def test_base_scores(spark):
+@pytest.mark.parametrize("block", [100, 12_000_000])
+def test_base_scores(spark, monkeypatch, block):
+    monkeypatch.setattr(blocks, "BLOCK", block)
     docs = [(i, f"the word{i % 7} Word{i % 7} w{i} ÉCOLE École\t\x0b") for i in range(60)]
     docs += [(60, ""), (61, None), (62, "x " * 3000), (63, "\n"), (64, "nowhere else " * 3)]
     got = scores(spark, docs, rounds=1)
