@@ -73,13 +73,16 @@ def salted(h: np.ndarray, salt: int) -> np.ndarray:
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Words of all texts, A-Z in lower case, as places in a list of distinct words, and words per text."""
-    if pa.types.is_string(texts.type):
-        texts = texts.cast(pa.large_string())
+    # A copy: the functions below go wrong on a slice of a larger array.
+    texts = pa.array(texts.to_pylist(), pa.string()) if texts.offset else texts
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    del texts
     flat, offsets = lists.flatten(), lists.offsets.to_numpy()
+    del lists
     full = pc.greater(pc.binary_length(flat), 0)
-    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
-    counts = before[offsets[1:]] - before[offsets[:-1]]
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False), dtype=np.int32)])
+    counts = (before[offsets[1:]] - before[offsets[:-1]]).astype(np.int64)
+    del before, offsets
     encoded = flat.filter(full).dictionary_encode()
     return encoded.indices.to_numpy(zero_copy_only=False), encoded.dictionary, counts
 
@@ -389,15 +392,14 @@ def _as_sets(n: int) -> Callable:
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             sets = ngram_sets(batch.column("text"), n)
+            right = [i for i, (s, d) in enumerate(zip(sets, batch.column("digest").to_pylist())) if _digest(s) == d]
+            chosen = batch.take(pa.array(right, pa.int64()))
             rows = [
-                (region, -1, True, wanted, s.tobytes())
-                for region, wanted, s in zip(
-                    batch.column("region").to_pylist(), batch.column("digest").to_pylist(), sets
-                )
-                if _digest(s) == wanted
+                (region, -1, True, digest, sets[i].tobytes())
+                for i, region, digest in zip(right, chosen.column("region").to_pylist(), chosen.column("digest").to_pylist())
             ]
             if rows:
-                yield _row_batch(rows)
+                yield _row_batch(rows).append_column("size", chosen.column("size"))
 
     return batches
 
@@ -622,18 +624,16 @@ def jaccard_join(
     counted = chosen.groupBy("region").agg(F.count("*").alias("size"))
     sized = freeze(chosen.join(counted.where("size > 1"), "region"))
 
-    def with_sets(some: DataFrame) -> DataFrame:
-        few = some.select(F.col("id").alias("_id"), "digest", "region").hint("shuffle_hash")
-        return (
-            rows.join(few, F.col("id").eqNullSafe(F.col("_id")))
-            .select("region", "digest", "text")
-            .mapInArrow(_as_sets(n), REGION)
-        )
-
-    linked = [freeze(_joined(with_sets(sized.where(F.col("size") <= limit)), num, den))]
-    large = sized.where(F.col("size") > limit)
+    few = sized.select(F.col("id").alias("_id"), "digest", "region", "size").hint("shuffle_hash")
+    sets = freeze(
+        rows.join(few, F.col("id").eqNullSafe(F.col("_id")))
+        .select("region", "size", "digest", "text")
+        .mapInArrow(_as_sets(n), f"{REGION}, size long")
+    )
+    linked = [freeze(_joined(sets.where(F.col("size") <= limit).drop("size"), num, den))]
+    large = sets.where(F.col("size") > limit).drop("size")
     depth = 0
-    regions = None if large.isEmpty() else freeze(with_sets(large).dropDuplicates(["digest"]))
+    regions = None if large.isEmpty() else freeze(large.dropDuplicates(["digest"]))
     while regions is not None:
         sizes = freeze(
             regions.groupBy("region")
