@@ -38,7 +38,7 @@ LONG = 64
 #: Words in a block at most, unless one text has more.
 BLOCK_WORDS = 1_000_000
 #: Bytes of token ids that a task has unpacked at once.
-AT_ONCE = 2_000_000
+AT_ONCE = 1_000_000
 #: Before the number of a bucket; no block has such a name.
 BUCKET = "bucket "
 #: Small maps of the literal rank table.
@@ -164,6 +164,10 @@ def _to_blocks(buckets: int) -> Callable:
                     zipped = pa.compress(text, codec="zstd", asbytes=True)
                     rows.append((f"{BUCKET}{bucket}", name, None, None, None, None, lengths, len(text), zipped))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                del batch, coded, places, words, rows
+            # An idle worker would keep what it took while Spark needs the memory.
+            del whole
+            pa.default_memory_pool().release_unused()
 
     return batches
 
@@ -231,6 +235,7 @@ def _string(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The ids of every text, from its block and the answers the block got."""
     for batch in source:
         for row in np.flatnonzero(batch.column("ids").is_valid().to_numpy(zero_copy_only=False)).tolist():
+            pa.default_memory_pool().release_unused()
             answers = sorted(batch.column("answers")[row].as_py() or [], key=lambda a: a["bucket"])
             none = [np.empty(0, "<u4")]
             lengths = np.concatenate([unpacked(a["lengths"]) for a in answers] or none).astype(np.int64)
@@ -314,6 +319,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
         for whole in source:
             sizes = pc.binary_length(whole.column("packed")).to_numpy(zero_copy_only=False)
             for a, b in in_chunks(sizes, AT_ONCE):
+                pa.default_memory_pool().release_unused()
                 batch = whole.slice(a, b - a)
                 texts = [
                     strung(flat, starts, lengths, np.frombuffer(p, "<u4")).tobytes()
