@@ -13,9 +13,10 @@ is a distribution over all words. The first factor, and the second for words of
 softmax layers over the state of a gated recurrent unit.
 
 Training is truncated backpropagation in numpy: the state goes on from window to window, the
-gradient does not. A window is longer where few texts are that long. In each round every block trains on its share of texts from the same start,
-and the results are averaged, weighted by tokens, in groups before they reach the driver; what
-the driver holds depends on the size of the model alone. Scoring carries the state through the
+gradient does not. A window is longer where few texts are that long. In each round every block
+trains on its share of texts from the same start, and the results are averaged, weighted by
+tokens, in groups before they reach the driver; what the driver holds depends on the size of the
+model alone. The rounds together train on every training text once. Scoring carries the state through the
 whole of every text.
 """
 
@@ -48,12 +49,11 @@ END = 0
 
 WIDTH = 16
 WINDOW = 16
-TRAIN_LANES = 64
+TRAIN_LANES = 128
 SCORE_LANES = 512
 RATE = 0.01
+#: A text trains in the round that its hash modulo the number of rounds names, so each trains once.
 ROUNDS = 2
-#: A text trains in round r if its hash modulo this is r.
-PARTS = 16
 #: Groups in which the models of blocks are summed.
 GROUPS = 64
 
@@ -276,7 +276,9 @@ def gradients(m: dict, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray
     flat = dx.reshape(-1, 3 * WIDTH)
     g["bias"] = flat.sum(0)
     g["into"] = m["embed"][inputs.ravel()].T @ flat
-    np.add.at(g["embed"], inputs.ravel(), flat @ m["into"].T)
+    order = np.argsort(inputs.ravel(), kind="stable")
+    seen, starts = np.unique(inputs.ravel()[order], return_index=True)
+    g["embed"][seen] = np.add.reduceat((flat @ m["into"].T)[order], starts)
     return g, states[-1]
 
 
@@ -365,14 +367,14 @@ def _mixed(ids: list, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _trainer(m: dict, turn: int) -> Callable:
+def _trainer(m: dict, turn: int, rounds: int = ROUNDS) -> Callable:
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for row in range(batch.num_rows):
                 ids = batch.column("ids")[row].as_py()
                 counts = unpacked(batch.column("counts")[row].as_py()).astype(np.int64)
                 held = np.frombuffer(batch.column("held")[row].as_py(), np.uint8) == 1
-                mine = ~held & (_mixed(ids, len(ids)) % np.uint64(PARTS) == turn)
+                mine = ~held & (_mixed(ids, len(ids)) % np.uint64(rounds) == turn)
                 if not mine.any():
                     continue
                 flat = unpacked(batch.column("trained")[row].as_py()).astype(np.int64)[np.repeat(mine, counts)]
@@ -413,7 +415,7 @@ MODEL = "group long, weight double, model binary"
 
 def train(coded: DataFrame, m: dict, rounds: int = ROUNDS) -> dict:
     for turn in range(rounds):
-        trained = coded.select("ids", "held", "counts", "trained").mapInArrow(_trainer(m, turn), MODEL)
+        trained = coded.select("ids", "held", "counts", "trained").mapInArrow(_trainer(m, turn, rounds), MODEL)
         # At most ``GROUPS`` models come to the driver.
         sums = trained.mapInArrow(_summed, MODEL).repartition("group").mapInArrow(_summed, MODEL).collect()
         weight = sum(r["weight"] for r in sums)

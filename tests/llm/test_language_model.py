@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from plain import split
 
@@ -115,3 +116,23 @@ def test_beats_the_base_on_texts_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     got = gru_lm.score_corpus(docs, HELD_OUT).where("held_out").selectExpr("sum(score)", "sum(base_score)").first()
     assert got[0] > 0.95 * got[1]
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_every_training_text_is_trained_on_once(monkeypatch, rounds):
+    """Texts are told apart by their one symbol; the held-out ones train nothing."""
+    seen = []
+    monkeypatch.setattr(gru_lm, "train_on", lambda m, flat, counts: seen.extend(flat.tolist()) or m)
+    n, held = 500, np.arange(500) % 7 == 2
+    block = pa.RecordBatch.from_pydict(
+        {
+            "ids": pa.array([list(range(n - 1)) + [None]], pa.list_(pa.int64())),
+            "held": [held.astype(np.uint8).tobytes()],
+            "counts": [blocks.packed(np.ones(n))],
+            "trained": [blocks.packed(np.arange(n))],
+        }
+    )
+    for turn in range(rounds):
+        options = {} if rounds == 2 else {"rounds": rounds}
+        list(gru_lm._trainer(model(), turn, **options)(iter([block])))
+    assert sorted(seen) == np.flatnonzero(~held).tolist()
