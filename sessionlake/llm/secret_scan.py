@@ -19,6 +19,16 @@ from pyspark.sql import functions as F
 from sessionlake.llm.common import beside, restored, text_of
 from sessionlake.session import freeze
 
+#: Of a private key: the label, then all up to the END line before the next label. Without one,
+#: the encryption headers and lines of base64 that follow; line breaks may be escaped ones.
+_BREAK = r"(?:\s|\\[rn])"
+_PEM = (
+    r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+    rf"|(?:{_BREAK}+(?:Proc-Type|DEK-Info):[^\n\\]*)*"
+    rf"(?:(?:{_BREAK}+[A-Za-z0-9+/]{{20,}}={{0,2}})+(?:{_BREAK}+[A-Za-z0-9+/]{{1,19}}={{0,2}}(?=[\x20\t]*(?:[\r\n\\]|\Z)))?)?)"
+)
+
 #: kind: pattern, group that is measured, characters it needs. Matches are leftmost and do
 #: not overlap within a kind; a match whose group is too short is dropped after matching.
 #: Letters of the first pattern's words stand for either case. Fixed values.
@@ -30,10 +40,10 @@ RULES = {
     ),
     "access": (r"AKIA[A-Z0-9]+", 0, 16),
     "hex": (r"[0-9a-f]{32,}", 0, 32),
-    "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    "pem": (_PEM, 0, 1),
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1),
 }
-RULE_VERSION = "1"
+RULE_VERSION = "1.1"
 
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 LEDGER = f"blob string, rule_version string, spans {SPANS}"

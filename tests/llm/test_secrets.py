@@ -64,3 +64,28 @@ def test_redaction(spark):
                 want += text[at:start] + "[SECRET]"
             at = max(at, end)
         assert got[id] == (text if text is None else want + text[at:])
+
+
+BODY = "\n".join(["MIIEpAIBAAKCAQEA7" + "aB3+/" * 9 + "xy"] * 3 + ["Qm9keQ=="])
+LABEL, LAST = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+HEAD = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00AA\n\n"
+
+
+def test_private_keys_go_whole(spark):
+    """Text and what is left of it."""
+    cases = [
+        (f"a\n{LABEL}\n{BODY}\n{LAST}\nb", "a\n[SECRET]\nb"),
+        (f"a\n{LABEL}\n{HEAD}{BODY}\n{LAST}\nb", "a\n[SECRET]\nb"),
+        (f"a {LABEL} {BODY} {LAST} b".replace("\n", " "), "a [SECRET] b"),
+        (f'k = "{LABEL}\n{BODY}\n{LAST}\n"'.replace("\n", "\\n"), 'k = "[SECRET]\\n"'),
+        (f"a\n{LABEL}\n{BODY}\n\nNo end follows.", "a\n[SECRET]\n\nNo end follows."),
+        (f"a\n{LABEL}\n{HEAD}{BODY}", "a\n[SECRET]"),
+        (f"a\n{LABEL}\n{BODY}\nb c".replace("\n", "\r\n"), "a\r\n[SECRET]\r\nb c"),
+        (f"{LABEL}\n{BODY}\n{LABEL}\n{BODY}\n{LAST}.", "[SECRET]\n[SECRET]."),
+        (f"The line {LABEL} starts a key.", "The line [SECRET] starts a key."),
+        (f"{LABEL}\n" * 3, "[SECRET]\n" * 3),
+    ]
+    docs = frame(spark, [(i, text) for i, (text, _) in enumerate(cases)])
+    found = secret_scan.findings(docs, secret_scan.scan_secrets(docs))
+    got = {r.doc_id: r.t for r in found.select("doc_id", secret_scan.redacted(F.col("text"), F.col("spans")).alias("t")).collect()}
+    assert got == {i: left for i, (_, left) in enumerate(cases)}
