@@ -1,20 +1,22 @@
-"""Benchmark decontamination by spaced seeds.
+"""Benchmark decontamination by seeds and local alignment.
 
-A seed mask looks at some of the words in a window and ignores the others, so a window still
-has the same hash after a substitution at an ignored place. Windows of all texts meet windows
-of all benchmark items on that hash. Around each hit text and item are compared along the
-diagonal, word by word: the best stretch, where an equal word counts one and a different one
-takes one away, must reach ``SHARE`` of the item's length. So an item with up to a fifth of its
-words substituted is found, and so is an unchanged part of three fifths.
+Runs of a few words of all texts meet those of all benchmark items on a hash. The region of the
+text around each hit is aligned with the whole item: an equal word counts one, a different, an
+added or a missing one takes one away, and the best alignment of a part of the region with a
+part of the item must reach ``SHARE`` of the item's length, or ``RUN``. So an item with up to a
+fifth of its words substituted is found, likewise one cut up by added or missing words, an
+unchanged part of three fifths, and any quotation of ``RUN`` words however long the item.
 
-Words are runs of letters and digits in lower case, compared by 64-bit hashes. The windows of a
+Words are runs of letters and digits in lower case, compared by 64-bit hashes. The seeds of a
 text are generated inside one stage and, where the benchmark is small enough to broadcast,
-looked up there too, so the windows of clean texts never leave it. The size of the benchmark is
+looked up there too, so the seeds of clean texts never leave it. The size of the benchmark is
 counted first; a larger one is joined by a shuffle, with the same result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +24,13 @@ from sessionlake.llm.common import beside, restored, text_of
 from sessionlake.session import freeze
 
 TOKEN = r"[\p{L}\p{N}]+"
-#: 1: the word counts, 0: it is ignored. The second mask fits items in which every fifth word,
-#: whichever it starts from, has been replaced.
-MASKS = ("1101100101", "1111011110")
-SPAN = 10
+#: Words of a seed, at most.
+SEED = 4
 SHARE = 0.6
-#: Matches that the best stretch needs beyond mismatches, unless the item is shorter.
+#: Matches that the best alignment needs beyond edits, unless the item is shorter.
 LEAST = 8
+#: Matches beyond edits that are enough in an item of any length.
+RUN = 25
 #: Words of a benchmark whose windows are broadcast; about 100 bytes for each.
 BROADCAST_WORDS = 300_000
 
@@ -39,18 +41,21 @@ def tokens(text: Column) -> Column:
     return F.transform(found, lambda w: F.xxhash64(w))
 
 
-def _seeds(words: str, at: str, lengths: list[int]) -> Column:
-    """Hashes of the windows that start at a place counted from zero; null beyond the end.
+def _needed(words: Column, share: float, least: int) -> Column:
+    """The score of an item of so many words, before ``RUN``."""
+    return F.greatest(F.ceil(share * words), F.least(F.lit(least), words)).cast("int")
 
-    Beside the masks there is a full window for each length of item that no mask fits.
-    """
+
+def _seed_words(words: Column, needed: Column) -> Column:
+    return F.least(F.lit(SEED), words)
+
+
+def _seeds(words: str, at: str, lengths: list[int]) -> Column:
+    """Hashes of the runs that start at a place counted from zero, by length; null beyond the end."""
     found = []
-    for number, mask in enumerate(MASKS):
-        picked = ", ".join(f"{words}[{at} + {i}]" for i, bit in enumerate(mask) if bit == "1")
-        found.append(f"IF({at} + {SPAN} <= size({words}), xxhash64({number}, {picked}), NULL)")
     for size in lengths:
         picked = ", ".join(f"{words}[{at} + {i}]" for i in range(size))
-        found.append(f"IF({at} + {size} <= size({words}), xxhash64(-{size}, {picked}), NULL)")
+        found.append(f"IF({at} + {size} <= size({words}), xxhash64({size}, {picked}), NULL)")
     return F.expr(f"array({', '.join(found)})")
 
 
@@ -63,21 +68,31 @@ def _windows(rows: DataFrame, words: str, at: str, lengths: list[int], keep: lis
     )
 
 
-def _diagonal() -> list[Column]:
-    """The parts of ``words`` and ``item`` that lie on each other, ``shift`` words from the text's start."""
-    length = "least(size(words) - greatest(shift, 0), size(item) - greatest(-shift, 0))"
-    return [
-        F.expr(f"slice(words, greatest(shift, 0) + 1, {length})").alias("mine"),
-        F.expr(f"slice(item, greatest(-shift, 0) + 1, {length})").alias("theirs"),
-        F.expr("size(item)").alias("item_words"),
-    ]
+#: Hits are gathered in cells of two items' length. An alignment that scores has fewer than twice
+#: the item's words, so that on either side is the region of all alignments with a hit in the cell.
+CELL = "CAST(floor(at / (2 * n)) AS int)"
+REGION = "slice(words, greatest(2 * n * (cell - 1), 0) + 1, 2 * n * least(3, cell + 2))"
 
 
-def best_stretch() -> Column:
-    """Of a diagonal: the most that equal words less different ones make up."""
+def best_alignment() -> Column:
+    """Of ``region`` and ``item``: the most that equal words less edits make up.
+
+    The table of scores is filled along its other diagonals, where no score depends on the next.
+    ``one`` and ``two`` are the last two of them, by place in the item, after a border of zero.
+    """
+    border = "array_repeat(CAST(NULL AS bigint), n)"
+    zeros = "array_repeat(0, n + 1)"
     return F.expr(
-        """aggregate(zip_with(mine, theirs, (a, b) -> IF(a = b, 1, -1)), named_struct('run', 0, 'best', 0),
-            (s, x) -> named_struct('run', greatest(s.run + x, 0), 'best', greatest(s.best, s.run + x)), s -> s.best)"""
+        f"""aggregate(
+            sequence(0, size(region) + n - 2),
+            named_struct('text', concat({border}, region, {border}), 'item', concat(array(CAST(NULL AS bigint)), item),
+                'one', {zeros}, 'two', {zeros}, 'best', 0),
+            (s, k) -> named_struct('text', s.text, 'item', s.item,
+                'one', transform(s.item, (w, j) -> IF(j = 0, 0, greatest(0,
+                    s.two[j - 1] + IF(s.text[k - j + 1 + n] = w, 1, -1), s.one[j] - 1, s.one[j - 1] - 1))),
+                'two', s.one,
+                'best', greatest(s.best, array_max(s.one))),
+            s -> greatest(s.best, array_max(s.one)))"""
     )
 
 
@@ -90,48 +105,59 @@ def overlaps(
     item_text: str = "text",
     share: float = SHARE,
     least: int = LEAST,
+    run: int = RUN,
 ) -> DataFrame:
     """One row per text and benchmark item found in it: the ids, ``matched``, ``item_words`` and ``hits``.
 
-    ``matched`` is the score of the best stretch, ``hits`` counts the windows in common on the
-    diagonals that reach it. Items without words are in no text; items
-    shorter than a mask are found only word for word. Null texts are empty. Texts and items
+    ``matched`` is the score of the best alignment, ``hits`` counts the hits that led to it, by
+    place where the benchmark is broadcast, else by cell. Items without words are in no text; items of up to ``least`` words are found
+    only word for word. Null texts are empty. Texts and items
     that share an id count as one; a null id is an id too. An empty benchmark finds nothing.
     """
+    n = F.size("item")
     items = freeze(
         benchmark.select(F.col(item).alias("item_id"), tokens(text_of(item_text)).alias("item"))
-        .where(F.size("item") > 0)
+        .where(n > 0)
         .distinct()
+        .select("item_id", "item", F.xxhash64("item").alias("key"), n.alias("n"), _needed(n, share, least).alias("needed"))
+        .withColumn("seed_words", _seed_words(F.col("n"), F.col("needed")))
+        .withColumn("needed", F.least("needed", F.lit(run)))
     )
-    counted = items.agg(
-        F.sum(F.size("item")).alias("words"),
-        F.collect_set(F.when(F.size("item") < SPAN, F.size("item"))).alias("short"),
-    ).first()
-    short = sorted(counted["short"])
-    known = _windows(items, "item", "place", short, ["item_id"])
+    counted = items.agg(F.sum("n").alias("words"), F.collect_set("seed_words").alias("lengths")).first()
+    lengths = sorted(counted["lengths"])
+    of_item = ["item_id", "key", "n", "needed"]
+    known = [_windows(items.where(F.col("seed_words") == size), "item", "place", [size], of_item) for size in lengths]
     rows = docs.select(F.col(id).alias("doc_id"), tokens(text_of(text)).alias("words"))
-    windows = _windows(rows, "words", "at", short, ["doc_id"])
-    shift = (F.col("at") - F.col("place")).alias("shift")
-    # A text hit many times on one diagonal is compared once. Only the diagonals leave the
-    # stage that makes the windows: a window with its whole text would be a row of the
-    # text's size, as many times as the text has words.
+    windows = _windows(rows, "words", "at", lengths or [SEED], ["doc_id"])
+    # An item that has a seed twice is hit once.
+    known = reduce(DataFrame.unionByName, known, _windows(items.limit(0), "item", "place", [SEED], of_item))
+    known = known.select("seed", *of_item, "item").distinct()
+    cell = F.expr(CELL).alias("cell")
+    # Only regions leave the stage that makes the windows: a window with its whole text would
+    # be a row of the text's size, as many times as the text has words.
     if (counted["words"] or 0) <= BROADCAST_WORDS:
-        hits = windows.join(F.broadcast(known), "seed").select("doc_id", "item_id", "words", "item", shift)
+        hits = windows.join(F.broadcast(known), "seed").select("doc_id", *of_item, "words", "item", cell)
     else:
-        found = windows.drop("words").join(known.drop("item"), "seed").select("doc_id", "item_id", shift).distinct()
+        found = windows.drop("words").join(known.drop("item"), "seed").select("doc_id", *of_item, cell).distinct()
         same = F.col("doc_id").eqNullSafe(F.col("hit_id"))
-        hits = rows.join(found.withColumnRenamed("doc_id", "hit_id"), same).join(items, "item_id")
-    enough = F.greatest(F.ceil(share * F.col("item_words")), F.least(F.lit(least), F.col("item_words")))
+        whole = items.select("key", "item").distinct()
+        hits = rows.join(found.withColumnRenamed("doc_id", "hit_id"), same).join(whole, "key")
+    regions = hits.select("doc_id", *of_item, "item", F.expr(REGION).alias("region"))
+    # As many equal words as the alignment needs must be there at all.
+    shared = F.expr("size(filter(item, w -> array_contains(region, w)))")
     return (
-        hits.select("doc_id", "item_id", *_diagonal())
-        .groupBy("doc_id", "item_id", "mine", "theirs", "item_words")
+        regions.groupBy("doc_id", *of_item, "item", "region")
         .agg(F.count("*").alias("hits"))
-        # Under this condition Spark can't move the comparison below, into the join, which would
-        # then no longer be compiled into one loop with the windows.
-        .withColumn("matched", F.when(F.col("hits") > 0, best_stretch()))
-        .where(F.col("matched") >= enough)
+        .withColumn("matched", F.when(shared >= F.col("needed"), best_alignment()).otherwise(0))
         .groupBy("doc_id", "item_id")
-        .agg(F.max("matched").alias("matched"), F.max("item_words").alias("item_words"), F.sum("hits").alias("hits"))
+        .agg(
+            F.max("matched").alias("matched"),
+            F.max("n").alias("item_words"),
+            F.sum("hits").alias("hits"),
+            F.max(F.col("matched") - F.col("needed")).alias("beyond"),
+        )
+        .where("beyond >= 0")
+        .drop("beyond")
         .withColumnsRenamed({"doc_id": id, "item_id": item})
     )
 

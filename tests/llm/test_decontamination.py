@@ -79,3 +79,36 @@ def test_odd_tables(spark):
     ids = spark.createDataFrame([(None, " ".join(ITEMS[0])), (None, "clean"), (1, "clean")], "doc_id long, text string")
     kept = decontaminate.without_overlaps(ids, frames(spark, docs(), ITEMS)[1])
     assert [r.doc_id for r in kept.collect()] == [1]
+
+
+def found(spark, texts, items):
+    rows, bench = frames(spark, {i: " ".join(t) for i, t in texts.items()}, items)
+    return {(r.doc_id, r.item_id): r.matched for r in decontaminate.overlaps(rows, bench).collect()}
+
+
+def edited(item, *inserted, missing=()):
+    """The item with a word before each place of ``inserted`` and without the ``missing`` ones."""
+    words = [[*(["added"] if i in inserted else []), *([] if i in missing else [w])] for i, w in enumerate(item)]
+    return [w for part in words for w in part]
+
+
+def test_added_and_missing_words(spark, monkeypatch):
+    items = {0: sentence(40), 1: sentence(30)}
+    texts = {
+        0: sentence(50) + edited(items[0], 20) + sentence(9),
+        1: edited(items[0], missing=[20]),
+        2: sentence(9) + edited(items[1], 10, 20) + sentence(5),
+        3: edited(items[1], 11, missing=[19]),
+        4: sentence(100) + edited(items[0], 8, 16, 24, 32) + sentence(700),
+        5: items[0][:15] + sentence(60) + items[0][15:30],
+    }
+    want = {(0, 0): 39, (1, 0): 38, (2, 1): 28, (3, 1): 27, (4, 0): 36}
+    for limit in (decontaminate.BROADCAST_WORDS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", limit)
+        assert found(spark, texts, items) == want
+
+
+def test_long_quotations(spark):
+    items = {0: sentence(45), 1: sentence(59), 2: sentence(200)}
+    texts = {0: items[0][9:35], 1: sentence(40) + items[1][:34], 2: items[2][50:150], 3: items[2][:24]}
+    assert found(spark, texts, items) == {(0, 0): 26, (1, 1): 34, (2, 2): 100}
