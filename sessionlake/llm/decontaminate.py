@@ -7,6 +7,11 @@ part of the item must reach ``SHARE`` of the item's length, or ``RUN``. So an it
 fifth of its words substituted is found, likewise one cut up by added or missing words, an
 unchanged part of three fifths, and any quotation of ``RUN`` words however long the item.
 
+A seed is as long as the longest run that every item of that length still has after as many
+substitutions as the share allows, ``SEED`` at most: with n words, e of them substituted, some
+run has (n - e) / (e + 1) words or more. So substitutions spread over an item never hide it from
+the seeds. Alignments with many added or missing words are found if they hold such a run.
+
 Words are runs of letters and digits in lower case, compared by 64-bit hashes. The seeds of a
 text are generated inside one stage and, where the benchmark is small enough to broadcast,
 looked up there too, so the seeds of clean texts never leave it. The size of the benchmark is
@@ -28,7 +33,7 @@ TOKEN = r"[\p{L}\p{N}]+"
 SEED = 4
 SHARE = 0.6
 #: Matches that the best alignment needs beyond edits, unless the item is shorter.
-LEAST = 8
+LEAST = 6
 #: Matches beyond edits that are enough in an item of any length.
 RUN = 25
 #: Words of a benchmark whose windows are broadcast; about 100 bytes for each.
@@ -47,7 +52,9 @@ def _needed(words: Column, share: float, least: int) -> Column:
 
 
 def _seed_words(words: Column, needed: Column) -> Column:
-    return F.least(F.lit(SEED), words)
+    """How long a run is left in an item that just reaches the score after substitutions."""
+    edits = F.floor((words - needed) / 2)
+    return F.least(F.lit(SEED), F.greatest(F.lit(1), F.ceil((words - edits) / (edits + 1)))).cast("int")
 
 
 def _seeds(words: str, at: str, lengths: list[int]) -> Column:

@@ -81,6 +81,17 @@ def test_odd_tables(spark):
     assert [r.doc_id for r in kept.collect()] == [1]
 
 
+def best_alignment(words, item):
+    """Smith and Waterman: an equal word counts one, every edit takes one away."""
+    above, best = [0] * (len(item) + 1), 0
+    for word in words:
+        row = [0]
+        for j, other in enumerate(item):
+            row.append(max(0, above[j] + (1 if word == other else -1), above[j + 1] - 1, row[j] - 1))
+        above, best = row, max(best, *row)
+    return best
+
+
 def found(spark, texts, items):
     rows, bench = frames(spark, {i: " ".join(t) for i, t in texts.items()}, items)
     return {(r.doc_id, r.item_id): r.matched for r in decontaminate.overlaps(rows, bench).collect()}
@@ -112,3 +123,19 @@ def test_long_quotations(spark):
     items = {0: sentence(45), 1: sentence(59), 2: sentence(200)}
     texts = {0: items[0][9:35], 1: sentence(40) + items[1][:34], 2: items[2][50:150], 3: items[2][:24]}
     assert found(spark, texts, items) == {(0, 0): 26, (1, 1): 34, (2, 2): 100}
+
+
+def test_random_substitutions(spark):
+    """Up to a fifth of the words, anywhere, against brute force."""
+    items = {n: sentence(n) for n in range(8, 31)}
+    texts = {}
+    for n, item in items.items():
+        for k in range(6):
+            at = set(DRAW.sample(range(n), n // 5))
+            texts[100 * n + k] = sentence(7) + ["other" if i in at else w for i, w in enumerate(item)] + sentence(5)
+    texts[1] = [w if i % 4 < 3 else "other" for i, w in enumerate(items[15])]
+    texts[2] = [w if i % 3 < 2 else "other" for i, w in enumerate(items[30])]
+    scores = {(d, i): best_alignment(text, item) for d, text in texts.items() for i, item in items.items()}
+    want = {(d, i): s for (d, i), s in scores.items() if s >= max(-(-6 * i // 10), decontaminate.LEAST)}
+    assert want.keys() == {(d, d // 100) for d in texts if d > 2} | {(1, 15)}
+    assert found(spark, texts, items) == want
