@@ -103,7 +103,7 @@ def best_alignment() -> Column:
     )
 
 
-def overlaps(
+def alignments(
     docs: DataFrame,
     benchmark: DataFrame,
     id: str = "doc_id",
@@ -114,13 +114,7 @@ def overlaps(
     least: int = LEAST,
     run: int = RUN,
 ) -> DataFrame:
-    """One row per text and benchmark item found in it: the ids, ``matched``, ``item_words`` and ``hits``.
-
-    ``matched`` is the score of the best alignment, ``hits`` counts the hits that led to it, by
-    place where the benchmark is broadcast, else by cell. Items without words are in no text; items of up to ``least`` words are found
-    only word for word. Null texts are empty. Texts and items
-    that share an id count as one; a null id is an id too. An empty benchmark finds nothing.
-    """
+    """``overlaps``, and ``first``: the place of the first hit, in words of the text from zero."""
     n = F.size("item")
     items = freeze(
         benchmark.select(F.col(item).alias("item_id"), tokens(text_of(item_text)).alias("item"))
@@ -143,24 +137,25 @@ def overlaps(
     # Only regions leave the stage that makes the windows: a window with its whole text would
     # be a row of the text's size, as many times as the text has words.
     if (counted["words"] or 0) <= BROADCAST_WORDS:
-        hits = windows.join(F.broadcast(known), "seed").select("doc_id", *of_item, "words", "item", cell)
+        hits = windows.join(F.broadcast(known), "seed").select("doc_id", *of_item, "words", "item", "at", cell)
     else:
-        found = windows.drop("words").join(known.drop("item"), "seed").select("doc_id", *of_item, cell).distinct()
+        found = windows.drop("words").join(known.drop("item"), "seed").groupBy("doc_id", *of_item, cell).agg(F.min("at").alias("at"))
         same = F.col("doc_id").eqNullSafe(F.col("hit_id"))
         whole = items.select("key", "item").distinct()
         hits = rows.join(found.withColumnRenamed("doc_id", "hit_id"), same).join(whole, "key")
-    regions = hits.select("doc_id", *of_item, "item", F.expr(REGION).alias("region"))
+    regions = hits.select("doc_id", *of_item, "item", "at", F.expr(REGION).alias("region"))
     # As many equal words as the alignment needs must be there at all.
     shared = F.expr("size(filter(item, w -> array_contains(region, w)))")
     return (
         regions.groupBy("doc_id", *of_item, "item", "region")
-        .agg(F.count("*").alias("hits"))
+        .agg(F.count("*").alias("hits"), F.min("at").alias("at"))
         .withColumn("matched", F.when(shared >= F.col("needed"), best_alignment()).otherwise(0))
         .groupBy("doc_id", "item_id")
         .agg(
             F.max("matched").alias("matched"),
             F.max("n").alias("item_words"),
             F.sum("hits").alias("hits"),
+            F.min(F.when(F.col("matched") >= F.col("needed"), F.col("at"))).alias("first"),
             F.max(F.col("matched") - F.col("needed")).alias("beyond"),
         )
         .where("beyond >= 0")
@@ -169,6 +164,27 @@ def overlaps(
     )
 
 
+def overlaps(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+    share: float = SHARE,
+    least: int = LEAST,
+    run: int = RUN,
+) -> DataFrame:
+    """One row per text and benchmark item found in it: the ids, ``matched``, ``item_words`` and ``hits``.
+
+    ``matched`` is the score of the best alignment, ``hits`` counts the hits that led to it, by
+    place where the benchmark is broadcast, else by cell. Items without words are in no text;
+    items of up to ``least`` words are found only word for word. Null texts are empty. Texts and items
+    that share an id count as one; a null id is an id too. An empty benchmark finds nothing.
+    """
+    return alignments(docs, benchmark, id, text, item, item_text, share, least, run).drop("first")
+
+
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", **options) -> DataFrame:
     """``docs`` less all rows whose id belongs to a text with a benchmark item in it."""
     found = overlaps(docs, benchmark, id=id, **options).select(F.col(id).alias("found")).distinct()

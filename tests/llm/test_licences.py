@@ -1,4 +1,5 @@
 import math
+import textwrap
 
 from pyspark.sql import functions as F
 
@@ -74,3 +75,42 @@ def test_scores_are_cosines(spark):
 
 def test_empty_table(spark):
     assert scan(spark, []) == {}
+
+
+def commented(text, mark, width):
+    return "\n".join(f"{mark} {line}" for line in textwrap.wrap(text, width))
+
+
+def test_whole_notices(spark):
+    """Licence texts, headers over several lines, and sentences that are wrapped or within a line."""
+    text = {}
+    for name, body in license_scan.NOTICES:
+        text.setdefault(name, []).append(body)
+    gpl = license_scan.TEMPLATES["GPL-3.0"]
+    rows = [
+        (1, "a/LICENSE", "MIT License\n\nCopyright (c) 2020 A B\n\n" + textwrap.fill(text["MIT"][0], 70)),
+        (2, "a/x.py", "nothing"),
+        (3, "b.c", "/*\n" + commented(text["GPL-3.0"][0], " *", 60) + "\n */\nint x;"),
+        (4, "c.c", commented(text["LGPL-3.0"][0].replace("program", "library"), "//", 72)),
+        (5, "d.py", "import x\n" * 30 + commented(text["Apache-2.0"][0], "#", 50)),
+        (6, "e/COPYING", "Copyright (c) 2020, X.\nAll rights reserved.\n\n" + textwrap.fill(text["BSD-3-Clause"][0], 75)),
+        (7, "f.py", "code\n\n" + "\n".join(textwrap.wrap(gpl, 45)) + "\nmore"),
+        (8, "g.py", f"All of this and all that belongs to it came here from far away. {gpl} Thank you, and please do read on."),
+        (9, "h.py", "word " * 3000 + "\n" + textwrap.fill(text["MPL-2.0"][0], 40)),
+        (10, "i/COPYING", text["GPL-3.0"][1].replace("Inc.", "Inc. <https://fsf.org/>\n") + "\nPreamble"),
+        (11, "j.py", text["MIT"][0][:300]),
+    ]
+    got = {id: (r.license, r.origin, r.line) for id, r in scan(spark, rows).items()}
+    assert got == {
+        1: ("MIT", "header", 5),
+        2: ("MIT", "directory", None),
+        3: ("GPL-3.0", "header", 2),
+        4: ("LGPL-3.0", "header", 1),
+        5: ("Apache-2.0", "header", 31),
+        6: ("BSD-3-Clause", "header", 4),
+        7: ("GPL-3.0", "header", 3),
+        8: ("GPL-3.0", "header", 1),
+        9: ("MPL-2.0", "header", 2),
+        10: ("GPL-3.0", "header", 1),
+        11: (None, None, None),
+    }
