@@ -15,6 +15,7 @@ from sessionlake.llm import (
     gru_lm,
     license_scan,
     ngram_jaccard,
+    packing,
     quality_rules,
     secret_scan,
     url_filter,
@@ -113,6 +114,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op13_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end=2)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

@@ -33,7 +33,7 @@ def rows(found: pa.Table) -> list[tuple]:
 
 
 def test_all_are_registered():
-    assert {int(q[2:].split("_")[0]) for q in driver.queries() if q.startswith("op")} == set(range(1, 11))
+    assert {int(q[2:].split("_")[0]) for q in driver.queries() if q.startswith("op")} == set(range(1, 14))
     assert "pipeline" in driver.queries()
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
