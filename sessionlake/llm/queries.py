@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sessionlake.llm import (
     byte_bpe,
     chat_format,
+    collocations,
     decontaminate,
     gru_lm,
     license_scan,
@@ -114,6 +115,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    return collocations.collocations(docs, least=10, most=3, inside=50, best=2000)
+
+
 def op13_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end=2)
@@ -252,6 +258,43 @@ ORACLE_SQL = {
     """,
 }
 
+ORACLE_SQL["op12_collocations"] = f"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang,
+            unnest(regexp_split_to_array(translate(text, '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+        FROM documents
+    ), worded AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+    totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+    occurrences AS (
+        SELECT lang, length, w[i:i + length - 1] AS words
+        FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded), (VALUES (1), (2), (3)) AS v(length)
+        WHERE i + length - 1 <= len(w)
+    ), counts AS (
+        SELECT lang, words, length, array_to_string(words, ' ') AS phrase, count(*) AS f FROM occurrences GROUP BY ALL
+        HAVING count(*) >= 10
+    ), halves AS (
+        SELECT lang, phrase, length, f AS a, k, array_to_string(words[1:k], ' ') AS first_part,
+            array_to_string(words[k + 1:length], ' ') AS rest
+        FROM counts, (VALUES (1), (2)) AS v(k) WHERE k < length
+    ), cuts AS (
+        SELECT h.*, l.f AS l, r.f AS r, ((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+        FROM halves h JOIN counts l ON l.lang = h.lang AND l.phrase = first_part
+        JOIN counts r ON r.lang = h.lang AND r.phrase = rest
+    ), lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    longer AS (
+        SELECT lang, phrase, max(f) AS f
+        FROM (SELECT lang, unnest([array_to_string(words[1:2], ' '), array_to_string(words[2:3], ' ')]) AS phrase, f
+            FROM counts WHERE length = 3)
+        GROUP BY ALL
+    ), ranked AS (
+        SELECT lowest.*, row_number() OVER (
+            PARTITION BY lang ORDER BY score DESC, a DESC, encode(lowest.phrase)) AS rank
+        FROM lowest LEFT JOIN longer USING (lang, phrase)
+        WHERE length = 3 OR longer.f IS NULL OR 100 * longer.f < 50 * a
+    )
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE_SQL)
