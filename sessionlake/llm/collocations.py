@@ -26,11 +26,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.llm.blocks import BLOCK, in_blocks, packed, unpacked
-from sessionlake.llm.common import beside, text_of
+from sessionlake.llm.common import best_rows, text_of
 from sessionlake.session import freeze
 
 #: Occurrences that a part is meant to have; its summary has a counter for every ``least`` of them.
@@ -38,8 +38,6 @@ PART = 16_000_000
 MOST_PARTS = 65_536
 #: The filter of surviving hashes has 16 bits for each of them, but at most 2 ** 27 (16 MB).
 FILTER_BITS = 27
-#: Groups of which the best rows are brought together in one task.
-FAN_IN = 64
 
 #: What ends a piece, as text and as a regular expression's class.
 PIECE_ENDS = ".,;:!?\n\v\f\r"
@@ -320,18 +318,6 @@ def _score(a: str, l: str, r: str) -> Column:
     return F.expr(f"(CAST(1000000 AS DECIMAL(7, 0)) * ({a} * {a})) DIV ({l} * {r})")
 
 
-def _best(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
-    """The first ``n`` rows of each group, with their rank; few rows of a group meet in one task."""
-    groups = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    while groups > 1:
-        df = df.withColumn("_some", F.pmod(F.xxhash64("phrase"), F.lit(groups)))
-        first = Window.partitionBy("group", "_some").orderBy(*order)
-        df = df.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= n).drop("_some", "rank")
-        groups = -(-groups // FAN_IN)
-    first = Window.partitionBy("group").orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(first).cast("long")).where(F.col("rank") <= n)
-
-
 def collocations(
     docs: DataFrame,
     least: int = 10,
@@ -382,9 +368,10 @@ def collocations(
             f"longer IS NULL OR 100 * longer < {int(inside)} * a"
         )
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    ranked = _best(scored.select("group", "phrase", "a", "cut.l", "cut.r", "cut.score"), best, order)
+    scored = scored.select("group", "phrase", "a", "cut.l", "cut.r", "cut.score")
+    ranked = best_rows(scored, best, ["group"], order, F.xxhash64("phrase"))
     # One row per group on this side.
     totals = counts.where("length = 0").select("group", F.col("a").alias("n"))
     return ranked.join(totals, "group").select(
-        F.col("group").alias(group), "rank", "phrase", "a", "l", "r", "n", "score"
+        F.col("group").alias(group), F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"
     )

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space, tab, line feed, vertical tab,
@@ -43,3 +44,24 @@ def restored(df: DataFrame, *made: str) -> DataFrame:
     names = {m.lower() for m in made}
     kept = [c for c in df.schema["row"].dataType.names if c.lower() not in names]
     return df.select(*(F.col(f"row.`{c}`") for c in kept), *made)
+
+
+def best_rows(df: DataFrame, n: int, keys: list[str], order: list[Column], spread: Column) -> DataFrame:
+    """The first ``n`` rows of each group, with ``rank`` from 1.
+
+    Groups are taken apart by ``spread``, a hash, and put together again in rounds of 64 parts to one, so
+    that no task gets more than 64 * ``n`` rows of a group after the first round.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while parts > 1:
+        df = df.withColumn("_part", F.pmod(spread, F.lit(parts)))
+        first = Window.partitionBy(*keys, "_part").orderBy(*order)
+        df = df.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= n).drop("_part", "rank")
+        parts = -(-parts // 64)
+    first = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= n)
+
+
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    """The type in which Arrow hands the column to Python. Reads no data."""
+    return df.sparkSession.createDataFrame([], df.select(F.col(f"`{column}`").alias("c")).schema).toArrow().schema[0].type

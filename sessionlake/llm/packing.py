@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sessionlake.llm.blocks import in_blocks, strung
-from sessionlake.llm.common import text_of
+from sessionlake.llm.common import arrow_type, text_of
 
 CAPACITY = 4096
 #: Windows that a task keeps open, each with up to ``CAPACITY`` ids in memory.
@@ -312,10 +312,7 @@ def pack(
     """
     free = powers_of_two(capacity) if free is None else sorted(free)
     rows = docs.select(F.col(f"`{id}`").alias("doc"), text_of(F.col(f"`{text}`")).alias("text"))
-    kind = rows.schema["doc"].dataType
-    sample = pa.array([], pa.int64()) if kind.simpleString() == "bigint" else rows.select("doc").limit(0).toArrow()["doc"]
-    schema = (
-        f"doc {kind.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    )
-    packed = rows.mapInArrow(_packed(path, end, capacity, free, open_windows, sample.type), schema)
+    kind = rows.schema["doc"].dataType.simpleString()
+    schema = f"doc {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    packed = rows.mapInArrow(_packed(path, end, capacity, free, open_windows, arrow_type(rows, "doc")), schema)
     return packed.withColumnRenamed("doc", id)

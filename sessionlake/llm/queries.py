@@ -14,6 +14,7 @@ from sessionlake.llm import (
     collocations,
     decontaminate,
     gru_lm,
+    lexical_search,
     license_scan,
     ngram_jaccard,
     packing,
@@ -115,6 +116,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(table(spark, sf_dir, "documents"))
+    return lexical_search.search(index, table(spark, sf_dir, "benchmark"), best=50)
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("lang", "text")
     return collocations.collocations(docs, least=10, most=3, inside=50, best=2000)
@@ -258,6 +264,32 @@ ORACLE_SQL = {
     """,
 }
 
+_SEARCH_TERMS = f"""
+    regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')
+"""
+
+ORACLE_SQL["op11_lexical_search"] = f"""
+    WITH held AS (
+        SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_SEARCH_TERMS}) AS term FROM documents)
+        GROUP BY ALL
+    ), docs AS (SELECT doc_id, sum(tf)::BIGINT AS terms FROM held GROUP BY doc_id),
+    whole AS (SELECT count(*) AS documents, sum(terms)::BIGINT AS occurrences FROM docs),
+    impacts AS (
+        SELECT doc_id, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * terms * documents) // occurrences)) AS impact, term
+        FROM held JOIN docs USING (doc_id), whole
+    ), weights AS (
+        SELECT term, floor(1000 * ln((2 * any_value(documents) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+        FROM held, whole GROUP BY term
+    ), asked AS (SELECT DISTINCT item_id, unnest({_SEARCH_TERMS}) AS term FROM benchmark),
+    scores AS (
+        SELECT item_id, doc_id, sum(w * impact)::BIGINT AS score
+        FROM asked JOIN impacts USING (term) JOIN weights USING (term) GROUP BY ALL
+    )
+    SELECT item_id, rank::INTEGER AS rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+    WHERE rank <= 50
+"""
+
 ORACLE_SQL["op12_collocations"] = f"""
     WITH pieces AS (
         SELECT coalesce(lang, 'und') AS lang,
