@@ -45,12 +45,12 @@ def strung(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, places: np
     return flat[jump + np.arange(len(jump))]
 
 
-def in_blocks(source: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The rows of ``source`` in batches of the size of a block."""
+def in_blocks(source: Iterator[pa.RecordBatch], text: str, size: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """The rows of ``source`` in batches of ``size`` bytes of text."""
     for batch in source:
         if batch.num_rows:
             sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-            for a, b in in_chunks(sizes, BLOCK):
+            for a, b in in_chunks(sizes, size):
                 yield batch.slice(a, b - a)
                 # An idle worker would keep what a block took while Spark needs the memory.
                 pa.default_memory_pool().release_unused()

@@ -29,10 +29,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionlake.llm.blocks import BLOCK, in_blocks, packed, unpacked
+from sessionlake.llm.blocks import in_blocks, packed, unpacked
 from sessionlake.llm.common import best_rows, text_of
 from sessionlake.session import freeze
 
+#: Bytes of text whose phrases are counted together.
+BLOCK = 3_000_000
 #: Occurrences that a part is meant to have; its summary has a counter for every ``least`` of them.
 PART = 16_000_000
 MOST_PARTS = 65_536
@@ -157,7 +159,7 @@ def _keys(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[str]]]:
-    for batch in in_blocks(source, "text"):
+    for batch in in_blocks(source, "text", BLOCK):
         texts = [t.encode() for t in batch.column("text").to_pylist()]
         groups = batch.column("group").to_pylist()
         if len(texts) == 1 and len(texts[0]) > BLOCK:
