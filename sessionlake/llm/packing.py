@@ -17,6 +17,7 @@ which is run again over the same rows makes the same sequences.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -33,8 +34,8 @@ from sessionlake.llm.common import arrow_type, text_of
 CAPACITY = 4096
 #: Windows that a task keeps open, each with up to ``CAPACITY`` ids in memory.
 OPEN_WINDOWS = 2048
-#: Words that a task remembers with their ids.
-REMEMBERED = 500_000
+#: Words that a worker remembers with their ids, in each of two generations.
+REMEMBERED = 300_000
 #: Bytes of a long text that are split into words at once, and of ids in a batch of pieces.
 AT_ONCE = 4_000_000
 
@@ -77,6 +78,7 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _coded(self, texts: list[str]) -> list[np.ndarray]:
         return [
@@ -104,8 +106,16 @@ class WordIds:
     def of(self, words: list[bytes]) -> list[bytes]:
         """The ids of each of some distinct words."""
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        self._learn([w for w in words if w not in self.known])
+            self.known, self.older = {}, self.known
+        new = []
+        for word in words:
+            if word not in self.known:
+                ids = self.older.get(word)
+                if ids is None:
+                    new.append(word)
+                else:
+                    self.known[word] = ids
+        self._learn(new)
         return [self.known[w] for w in words]
 
     def of_texts(self, texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -135,6 +145,12 @@ class WordIds:
         return np.concatenate(found)
 
 
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One for all tasks that a Python worker runs."""
+    return WordIds(path)
+
+
 #: doc, start of the piece in its document, its ids, ids of the whole document.
 Piece = tuple[int, int, bytes, int]
 
@@ -240,7 +256,7 @@ def cut(pieces: list[Piece], size: int) -> tuple[list[Piece], list[Piece]]:
 
 def _packed(path: str, end: int, capacity: int, free: list[int], open_windows: int, kind: pa.DataType) -> Callable:
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, windows = WordIds(path), Windows(capacity, free, open_windows)
+        words, windows = word_ids(path), Windows(capacity, free, open_windows)
         number = TaskContext.get().partitionId() << 32
         docs: dict[int, object] = {}  # of pieces that are not yet given out, by a running number
         left: dict[int, int] = {}
