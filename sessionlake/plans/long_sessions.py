@@ -20,7 +20,7 @@ def long_threshold(
     sessions: DataFrame, quantile: float = DEFAULT_QUANTILE, error: float = 0.0
 ) -> DataFrame:
     """One row, long_session_threshold: the duration from which a session is long."""
-    return quantile_of(sessions, "session_duration", quantile, error, "long_session_threshold")
+    return quantile_of(sessions, "session_duration", quantile, error, "long_session_threshold", whole=True)
 
 
 def split_at(sessions: DataFrame, threshold: Column | float) -> DataFrame:
@@ -119,7 +119,7 @@ def summarize_sessions(
         .agg(F.count("session_duration").alias("n"), F.count_if("longest").alias("users"))
     )
     # One row or, for no sessions at all, none: the aggregate makes that one row.
-    cut = at_ranks(counted, discrete_rank(quantile), counters=("n", "users"))
+    cut = at_ranks(counted, discrete_rank(quantile), counters=("n", "users"), whole=True)
     has_long = F.col("n_total") > 0
     return _result(
         cut.agg(

@@ -285,7 +285,7 @@ def long_threshold_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_threshold_interpolated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = interpolated_quantile(sessions(spark, sf_dir), "session_duration", QUANTILE)
+    found = interpolated_quantile(sessions(spark, sf_dir), "session_duration", QUANTILE, whole=True)
     return found.select(F.round("threshold", 6).alias("long_session_threshold"))
 
 
