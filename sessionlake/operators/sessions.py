@@ -119,6 +119,8 @@ def _cells(rows: DataFrame, tiles: DataFrame, hot_tile: int | None) -> tuple[Dat
     A cell is a tile, or a second of a crowded tile, or a slice of the plays at one moment in
     a crowded second. Tiles of plays without a time are sliced in any case. Of the plays at
     one moment only one has an earlier predecessor: the first of the first slice that has any.
+    So which slice a play is in must not change once that slice is known: the plays of crowded
+    seconds are written with it, and all else is derived from what is written.
     Seconds and moments are looked at only if a tile or a second is crowded at all.
     """
     none = F.lit(None).cast("bigint")
@@ -156,13 +158,20 @@ def _cells(rows: DataFrame, tiles: DataFrame, hot_tile: int | None) -> tuple[Dat
     packed = seconds.where((F.col("plays") > hot_tile)).select(
         "_key", "_second", F.col("previous_end").alias("_second_previous"), F.lit(True).alias("_packed")
     )
-    rows = rows.withColumn(
-        "_second", F.when(F.col("_tile_session").isNotNull(), epoch_second(F.col("_time")))
-    ).join(packed, ["_key", "_second"], "left")
+    rows = rows.withColumn("_second", F.when(F.col("_tile_session").isNotNull(), epoch_second(F.col("_time"))))
+    if packed.isEmpty():
+        by_second = seconds.select(
+            _cell(F.col("_key._user"), F.col("_key._tile"), F.col("_second"), none, F.lit(0)), "previous_end", "session_id"
+        )
+        rows = rows.withColumn("_cell", _cell(F.col("_user"), F.col("_tile"), F.col("_second"), none, part))
+        by_tile = whole.where((F.col("plays") <= hot_tile) | F.col("_cell.tile").isNull()).drop("plays")
+        return rows, by_tile.unionByName(by_second)
+
+    rows = rows.join(packed, ["_key", "_second"], "left")
+    crowd = freeze(rows.where("_packed"))
     in_second = Window.partitionBy("_key", "_second").orderBy("_time")
-    moments = freeze(
-        rows.where("_packed")
-        .groupBy("_key", "_second", "_time")
+    moments = (
+        crowd.groupBy("_key", "_second", "_time")
         .agg(
             F.min("_slice").alias("_first"),
             F.max("_second_previous").alias("_second_previous"),
@@ -181,10 +190,11 @@ def _cells(rows: DataFrame, tiles: DataFrame, hot_tile: int | None) -> tuple[Dat
         "previous_end", "session_id",
     )
     by_tile = whole.where((F.col("plays") <= hot_tile) | F.col("_cell.tile").isNull()).drop("plays")
-    packed_moment = F.when(F.col("_packed"), moment)
-    part = F.when(F.col("_packed") | ~timed, F.col("_slice")).otherwise(F.lit(0))
-    rows = rows.withColumn("_cell", _cell(F.col("_user"), F.col("_tile"), F.col("_second"), packed_moment, part))
-    return rows, by_tile.unionByName(by_second).unionByName(by_moment)
+    loose = rows.where(F.col("_packed").isNull()).withColumn(
+        "_cell", _cell(F.col("_user"), F.col("_tile"), F.col("_second"), none, part)
+    )
+    crowd = crowd.withColumn("_cell", _cell(F.col("_user"), F.col("_tile"), F.col("_second"), moment, F.col("_slice")))
+    return loose.unionByName(crowd), by_tile.unionByName(by_second).unionByName(by_moment)
 
 
 def sessionize(
@@ -202,7 +212,8 @@ def sessionize(
     is found inside the tile; for a tile's first play it comes from the tile table, joined on
     the same key, so the plays are not moved again. A task sorts at most ``hot_tile`` plays of
     one tile: a tile with more is cut into seconds, a second with more into moments, and the
-    plays at one moment into slices. With None nothing is cut. Results are the same.
+    plays at one moment into slices; the plays of such seconds are written first, with their
+    slice. With None nothing is cut. Results are the same.
 
     Columns that are not selected cost nothing: asking for session_id alone leaves
     a plain join without a window. The result's own column names may not be in ``plays``.

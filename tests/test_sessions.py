@@ -193,6 +193,37 @@ def test_sessionize_matches_plain_python(spark, gap, hot_tile):
     assert by_text(found) == by_text(brute.sessionized(plays, gap))
 
 
+@pytest.mark.parametrize("hot_tile", [None, 100, 1000])
+def test_crowded_moments_behind_a_shuffle(spark, hot_tile):
+    """The input's partitions differ from job to job: they follow from the columns that a job needs."""
+    keys = {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k",
+        "spark.sql.shuffle.partitions": "64",
+    }
+    before = {key: spark.conf.get(key) for key in keys}
+    for key, value in keys.items():
+        spark.conf.set(key, value)
+    try:
+        number = F.col("id")
+        moment = F.when(number < 5000, F.lit(10**9)).otherwise(F.lit(10**9) + 5000 * (number - 5000))
+        plays = spark.range(0, 20_000, 1, 8).select(
+            F.lit("a").alias("userid"), F.timestamp_seconds(moment).alias("timestamp"),
+            F.repeat(F.lit("x"), (number % 97).cast("int")).alias("wide"), (number % 400).alias("k"), number.alias("n"),
+        )
+        shuffled = plays.withColumn("row", F.row_number().over(Window.partitionBy("k").orderBy("n")))
+        found = sessionize(shuffled, hot_tile=hot_tile)
+        row = found.agg(F.sum("is_new_session"), F.max("session_id"), F.count("*"), F.count("time_diff")).first()
+        # The tied plays are one session, all others one each; only the very first has no predecessor.
+        assert tuple(row) == (15_000, 15_000, 20_000, 19_999)
+        gaps = found.groupBy("time_diff").count().collect()
+        assert {r.time_diff: r["count"] for r in gaps} == {None: 1, 0: 5000, 5000: 14_999}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_sessionize_without_untimed_plays_matches_plain_python(spark):
     plays = random_plays(12)
     found = [
