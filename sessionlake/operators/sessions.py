@@ -109,6 +109,11 @@ def _cell(*parts: Column) -> Column:
     return F.struct(*(part.alias(name) for part, name in zip(parts, names))).alias("_cell")
 
 
+def _slice_of_task() -> Column:
+    """The slice of the plays in a task; another one, maybe, when the plays are read again."""
+    return F.pmod(F.spark_partition_id(), F.lit(SLICES))
+
+
 def _slices() -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))
 
@@ -234,7 +239,7 @@ def sessionize(
     )
     extents = _extents(rows.select("_user", "_time", "_tile"), "_user", "_time")
     tiles = freeze(_in_sessions(extents, "_user", gap))
-    sliced = rows.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(SLICES)))
+    sliced = rows.withColumn("_slice", _slice_of_task())
     rows, cells = _cells(sliced, tiles, hot_tile)
     in_cell = Window.partitionBy("_cell").orderBy("_time")
     idle = seconds_between(F.col("previous_time"), F.col("_time"))
