@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.llm.blocks import by_frequency, in_chunks, packed, strung, unpacked
@@ -41,6 +41,8 @@ BLOCK_WORDS = 1_000_000
 AT_ONCE = 1_000_000
 #: Before the number of a bucket; no block has such a name.
 BUCKET = "bucket "
+#: Characters of a plan's description.
+PLAN_STRING, PLAN_TEXT = "spark.sql.maxPlanStringLength", 20_000
 #: Small maps of the literal rank table.
 SLOTS = 16_384
 
@@ -51,13 +53,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, file)}
 
 
-def literal(ranks: dict[bytes, int]) -> str:
-    """SQL for the rank table: an array of maps, each for the pieces with one hash."""
+def literal(ranks: dict[bytes, int]) -> Column:
+    """The rank table: an array of maps, each for the pieces with one hash."""
     slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
     for piece, rank in ranks.items():
         name = piece.hex().upper()
         slots[zlib.crc32(name.encode()) % SLOTS][name] = rank
-    return f"from_json('{json.dumps(slots, separators=(',', ':'))}', 'array<map<string,int>>')"
+    return F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<map<string,int>>")
+
+
+def _short_plans(spark: SparkSession) -> None:
+    """Without a limit of the user's own, Spark's descriptions of plans get one: the driver would keep
+    the whole rank table as text for every plan and stage."""
+    if int(spark.conf.get(PLAN_STRING)) > PLAN_TEXT:
+        spark.conf.set(PLAN_STRING, str(PLAN_TEXT))
 
 
 def _rank(piece: str) -> str:
@@ -276,12 +285,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id: str = "do
         .mapInArrow(_to_blocks(buckets), SENT)
         .repartition(number, "target")
     )
+    _short_plans(docs.sparkSession)
     asked = sent.sortWithinPartitions("target").mapInArrow(
         _distinct, "bucket int, blocks array<string>, asked array<binary>, words array<string>"
     )
     short = f"octet_length(w) <= {LONG}"
     none = "CAST(array() AS array<int>)"
-    folded = asked.withColumn("ranks", F.expr(literal(ranks))).select(
+    folded = asked.withColumn("ranks", literal(ranks)).select(
         "bucket",
         "blocks",
         "asked",
