@@ -43,6 +43,8 @@ AT_ONCE = 1_000_000
 BUCKET = "bucket "
 #: Characters of a plan's description.
 PLAN_STRING, PLAN_TEXT = "spark.sql.maxPlanStringLength", 20_000
+#: What Spark has where no limit is set, the longest array less 15.
+NO_LIMIT = str(2**31 - 16)
 #: Small maps of the literal rank table.
 SLOTS = 16_384
 
@@ -65,7 +67,7 @@ def literal(ranks: dict[bytes, int]) -> Column:
 def _short_plans(spark: SparkSession) -> None:
     """Without a limit of the user's own, Spark's descriptions of plans get one: the driver would keep
     the whole rank table as text for every plan and stage."""
-    if int(spark.conf.get(PLAN_STRING)) > PLAN_TEXT:
+    if spark.conf.get(PLAN_STRING).rstrip("b") == NO_LIMIT:
         spark.conf.set(PLAN_STRING, str(PLAN_TEXT))
 
 
