@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.functions.times import parse_play_time
+from sessionlake.sources.readers import MALFORMED
 
 
 class QualityError(AssertionError):
@@ -47,6 +48,15 @@ def rejected_rows(raw: DataFrame, text: str = "timestamp") -> DataFrame:
     )
 
 
+def malformed_lines(log: DataFrame, text: str = MALFORMED, user: str = "userid") -> DataFrame:
+    """How many lines of a log, read with that column, have too few or too many fields, or no user."""
+    return log.agg(
+        F.count("*").alias("total_rows"),
+        F.count(text).alias("malformed"),
+        F.count_if(F.col(user).isNull()).alias("rows_without_user"),
+    )
+
+
 def _ids_by_side(fact: DataFrame, user: str, dimension: DataFrame, key: str) -> DataFrame:
     """One row per distinct id of either side; a null id is an id.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionlake.operators import quality
@@ -185,19 +185,37 @@ def long_session_share(
 
 
 def _check_columns(raw: DataFrame) -> None:
-    if raw.columns != readers.PLAY_COLUMNS:
+    if [c for c in raw.columns if c != readers.MALFORMED] != readers.PLAY_COLUMNS:
         raise quality.QualityError(f"unexpected columns {raw.columns}")
 
 
+def _observed(raw: DataFrame) -> tuple[DataFrame, Observation]:
+    """``raw`` without the column of malformed lines, which are counted as the rows go by."""
+    seen = Observation()
+    malformed = F.count(readers.MALFORMED) if readers.MALFORMED in raw.columns else F.count_if(F.lit(False))
+    return raw.observe(seen, malformed.alias("malformed")).drop(readers.MALFORMED), seen
+
+
+def _check_lines(seen: Observation) -> None:
+    if seen.get["malformed"]:
+        raise quality.QualityError(f"{seen.get['malformed']} lines have too few or too many fields")
+
+
 def prepare_plays(raw: DataFrame, profiles: DataFrame, strict: bool = True) -> DataFrame:
-    """The play log with parsed times; ``strict`` first checks columns and users.
+    """The play log with parsed times; ``strict`` checks columns, lines and users.
 
-    That check reads the log's users; a whole job has them in its result (``run_job``).
+    The strict one reads the log once: the parsed plays are written to the shared folder when this
+    is called, malformed lines (of a log read with :data:`readers.MALFORMED`) are counted on the
+    way, and the users are those of what was written.
     """
-    if strict:
-        _check_columns(raw)
-        quality.enforce(quality.user_coverage(raw, profiles), "counts_match")
-    return readers.parse_plays(raw)
+    if not strict:
+        return readers.parse_plays(raw.drop(readers.MALFORMED))
+    _check_columns(raw)
+    watched, seen = _observed(raw)
+    plays = freeze(readers.parse_plays(watched))
+    _check_lines(seen)
+    quality.enforce(quality.user_coverage(plays, profiles), "counts_match")
+    return plays
 
 
 def run_job(
@@ -214,19 +232,23 @@ def run_job(
 ) -> DataFrame:
     """Reads the two files, checks and summarizes them, and writes the result row.
 
-    Returns the written row, read back. ``strict`` checks the columns first, and on the
-    finished row, before it replaces an earlier result, the number of users against the
-    profiles and the calibration. The log is read once.
+    Returns the written row, read back. ``strict`` counts lines with too few or too many
+    fields while the log is read, and on the finished row, before it replaces an earlier
+    result, checks that there were none, the number of users against the profiles, and the
+    calibration. The log is read once.
     """
-    raw = readers.load(spark, "track_sessions", play_log, quote=quote)
+    options = {"malformed": readers.MALFORMED} if strict else {}
+    raw = readers.load(spark, "track_sessions", play_log, quote=quote, **options)
     users = readers.load(spark, "userid_profiles", profiles, quote=quote)
     if strict:
         _check_columns(raw)
+        raw, seen = _observed(raw)
     summary = long_session_share(
         readers.parse_plays(raw), gap, quantile, drop_null_ts=drop_null_ts, error=error
     )
     if strict:
         summary = freeze(summary)
+        _check_lines(seen)
         known = quality.distinct_users(users, readers.PROFILE_ID).scalar()
         off = F.abs(1 - F.col("long_session_ratio") - F.lit(float(quantile)))
         checked = summary.withColumn("counts_match", F.col("total_users") == known).withColumn(

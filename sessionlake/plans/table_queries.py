@@ -26,6 +26,8 @@ GAP = 21600
 QUANTILE = 0.9
 ORDER_GAP = 30 * 86400
 EVENT = {"user": "user_id", "ts": "ts", "gap": GAP}
+# The known number of users of events, at scale factor 0.01.
+EXPECTED_USERS = 150
 SESSION_COLUMNS = ["user_id", "session_id", "start_time", "end_time", "session_duration", "plays"]
 EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 
@@ -156,6 +158,21 @@ def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rejected_rows(readers.read_play_log(spark, _log_file(spark, sf_dir, damaged=True)))
 
 
+def malformed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log in which the lines of errors end after two fields and those of signups have a seventh."""
+    fields = ["user_id", "ts", "event_id", "event_type", "value", "props"]
+    texts = [_iso(c) if c == "ts" else F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields]
+    line = (
+        F.when(F.col("event_type") == "error", F.concat_ws("\t", *texts[:2]))
+        .when(F.col("event_type") == "signup", F.concat_ws("\t", *texts, F.lit("more")))
+        .otherwise(F.concat_ws("\t", *texts))
+    )
+    path = fresh_path(spark, "damaged-log")
+    events(spark, sf_dir).select(line).write.text(path)
+    log = readers.load(spark, "track_sessions", path, quote="", malformed=readers.MALFORMED)
+    return quality.malformed_lines(log)
+
+
 def tsv_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files to result file: both inputs read, checked, summarized, written."""
     return plans.run_job(
@@ -275,6 +292,12 @@ def first_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_n_per_user(events(spark, sf_dir), 30, "user_id", "ts", ("event_id",))
 
 
+def first_plays_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 orders of each priority: more than Spark limits before it shuffles."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
+    return first_n_per_user(orders, 2000, "o_orderpriority", "o_orderdate", ("o_orderkey",))
+
+
 # -- thresholds and results ----------------------------------------------------
 
 
@@ -378,15 +401,14 @@ def schema_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.schema_report(events(spark, sf_dir), EVENT_COLUMNS, "ts")
 
 
-def expected_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events have a user for every tenth customer."""
-    expected = table(spark, sf_dir, "customer").count() // 10
+def expected_cardinality(spark: SparkSession, sf_dir: str, expected: int = EXPECTED_USERS) -> DataFrame:
+    """Are there as many users of events as are known to be?"""
     return quality.expected_cardinality(events(spark, sf_dir), expected, "user_id")
 
 
 def queries() -> dict[str, Query]:
     listed = [
-        scan_schema_tsv, scan_positional_tsv, scan_header_tsv, rejected_rows, prepared_plays,
+        scan_schema_tsv, scan_positional_tsv, scan_header_tsv, rejected_rows, malformed_lines, prepared_plays,
         tsv_job, sample_sink, sample_ties, summary_sink, summary_sink_csv,
         play_gaps, session_flags, session_ids, sessionize_missing_times,
         sessions_missing_times, sessions_timed_only,
@@ -401,7 +423,7 @@ def queries() -> dict[str, Query]:
         expected_cardinality,
     ]
     named = {query.__name__: query for query in listed}
-    return {**named, "session_summary": sessions, "first_n_per_user": first_plays}
+    return {**named, "session_summary": sessions, "first_n_per_user": first_plays, "first_n_many": first_plays_many}
 
 
 # -- the same in SQL -----------------------------------------------------------
@@ -481,6 +503,9 @@ WHERE place <= 30"""
         "rejected_rows": """SELECT count(*) AS total_rows,
   count(*) FILTER (WHERE event_type = 'error') AS missing,
   count(*) FILTER (WHERE event_type = 'signup') AS unparseable FROM events""",
+        "malformed_lines": """SELECT count(*) AS total_rows,
+  count(*) FILTER (WHERE event_type IN ('error', 'signup')) AS malformed,
+  count(*) FILTER (WHERE user_id IS NULL) AS rows_without_user FROM events""",
         "tsv_job": _share_sql(source=WHOLE_SECONDS) + RESULT_SQL,
         "sample_sink": f"""SELECT * EXCLUDE (place) FROM (
   SELECT *, row_number() OVER (PARTITION BY userid ORDER BY played_at, artistid) AS place
@@ -525,6 +550,10 @@ FROM sessions""",
         + "SELECT o_custkey, session_id, start_time, end_time, session_duration, plays FROM sessions",
         "order_session_ids": orders + "SELECT o_orderkey, o_custkey, session_id FROM ids",
         "first_n_per_user": first,
+        "first_n_many": """SELECT * EXCLUDE (place) FROM (
+  SELECT o_orderkey, o_orderpriority, o_orderdate,
+    row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS place FROM orders)
+WHERE place <= 2000""",
         "long_threshold_exact": share
         + "SELECT CAST(threshold AS BIGINT) AS long_session_threshold FROM cut",
         "long_threshold_interpolated": plays
@@ -582,7 +611,7 @@ FROM split""",
   (SELECT column_type FROM (DESCRIBE SELECT * FROM events) WHERE column_name = 'ts')
     = 'TIMESTAMP' AS time_is_timestamp,
   count(*) AS total_rows, count(*) FILTER (WHERE ts IS NULL) AS rows_without_time FROM events""",
-        "expected_cardinality": """SELECT users, expected, users = expected AS matches FROM (
+        "expected_cardinality": f"""SELECT users, expected, users = expected AS matches FROM (
   SELECT (SELECT count(*) FROM (SELECT DISTINCT user_id FROM events)) AS users,
-    (SELECT count(*) // 10 FROM customer) AS expected)""",
+    CAST({EXPECTED_USERS} AS BIGINT) AS expected)""",
     }

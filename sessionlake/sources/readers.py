@@ -14,6 +14,9 @@ from sessionlake.functions.times import parse_play_time
 PLAY_COLUMNS = ["userid", "timestamp", "artistid", "artistname", "traid", "traname"]
 PROFILE_ID = "#id"
 
+# The column for the text of lines that do not have one field for each column.
+MALFORMED = "_malformed"
+
 PLAY_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in PLAY_COLUMNS])
 
 
@@ -24,14 +27,29 @@ def schema_from_json(spark: SparkSession, path: str) -> T.StructType:
 
 
 def read_play_log(
-    spark: SparkSession, path: str, schema: T.StructType = PLAY_SCHEMA, quote: str = '"'
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType = PLAY_SCHEMA,
+    quote: str = '"',
+    malformed: str | None = None,
 ) -> DataFrame:
     """A TSV without header under a declared schema.
 
     A field that opens with ``quote`` runs to the next one, tabs included;
     ``quote=''`` takes quotes as text.
+
+    A line with too few or too many fields gives a row all the same, with nulls or without the
+    surplus. ``malformed`` names one more column, with the text of such lines and null for all
+    others; a query that uses it parses all fields of a line.
     """
-    return spark.read.schema(schema).csv(path, sep="\t", header=False, quote=quote)
+    if malformed is None:
+        return spark.read.schema(schema).csv(path, sep="\t", header=False, quote=quote)
+    wider = T.StructType([*schema.fields, T.StructField(malformed, T.StringType())])
+    # A parser that skips fields does not notice how many there are.
+    reader = spark.read.schema(wider).option("columnPruning", "false")
+    return reader.csv(
+        path, sep="\t", header=False, quote=quote, mode="PERMISSIVE", columnNameOfCorruptRecord=malformed
+    )
 
 
 def read_positional(

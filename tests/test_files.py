@@ -1,11 +1,15 @@
 """Readers, writers and the two jobs, on files."""
 
+from datetime import timedelta
+
 import pytest
+from pyspark.sql import functions as F
 
 import brute
+from sessionlake.operators import quality, sampling
 from sessionlake.operators.quality import QualityError
 from sessionlake.operators.sampling import first_n_per_user
-from sessionlake.plans.long_sessions import run_job, sample_job
+from sessionlake.plans.long_sessions import prepare_plays, run_job, sample_job
 from sessionlake.session import fresh_path, freeze
 from sessionlake.sources import readers, sinks
 from test_sessions import E1, EPOCH, log, random_plays, timeline
@@ -104,9 +108,77 @@ def test_job_options(spark, folder):
         assert row.total_users == total
 
 
-def test_sample_needs_a_limit_that_spark_keeps(spark):
-    with pytest.raises(ValueError, match="windowGroupLimitThreshold"):
-        first_n_per_user(log(spark, [("a", "t1")]), 5000)
+@pytest.mark.parametrize("n", [1, 30, 150, 5000])
+@pytest.mark.parametrize("as_text", [False, True])
+def test_any_n_matches_plain_python(spark, n, as_text, monkeypatch):
+    """By counts of hours and seconds, whatever n is; with ties, untimed plays and a null user."""
+    monkeypatch.setattr(sampling, "LIMIT_SETTING", "sessionlake.none")
+    plays = [(u, t, i) for i, (u, t) in enumerate(random_plays(81, plays=2400) + [("u0", 5 * 10**12)] * 200)]
+    rows = [(u, None if t is None else EPOCH + timedelta(microseconds=t), i) for u, t, i in plays]
+    frame = spark.createDataFrame(rows, "userid string, timestamp timestamp_ntz, _order int").repartition(5)
+    if as_text:
+        frame = frame.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    spark.conf.set("sessionlake.none", "0")
+    try:
+        found = first_n_per_user(frame, n, tie_breakers=("_order",))
+        assert found.columns == frame.columns
+        kept = sorted(r["_order"] for r in found.collect())
+    finally:
+        spark.conf.unset("sessionlake.none")
+    want = []
+    for user in {u for u, _, _ in plays}:
+        own = sorted((brute.order_key(t), i) for u, t, i in plays if u == user)
+        want += [i for _, i in own[:n]]
+    assert kept == sorted(want)
+
+
+def test_malformed_lines(spark, folder):
+    path = folder("odd.tsv", ODD + lines(E1) + "u\t2009-01-01T00:00:00Z\ta\tb\tc\td\te\n")
+    options = {"malformed": readers.MALFORMED, "quote": ""}
+    log_rows = readers.load(spark, "track_sessions", path, **options)
+    assert tuple(quality.malformed_lines(log_rows).first()) == (len(E1) + 3, 2, 0)
+    assert sorted(r[0] for r in log_rows.select(readers.MALFORMED, "userid").dropna().collect()) == [
+        "u\t2009-01-01T00:00:00Z\ta\tb\tc\td\te",
+        "u2\t2009-01-01T00:00:00Z",
+    ]
+    # The rows are those that come without the column.
+    assert sorted(map(str, log_rows.drop(readers.MALFORMED).collect())) == sorted(
+        map(str, readers.read_play_log(spark, path, quote="").collect())
+    )
+
+
+def test_strict_jobs_notice_malformed_lines(spark, folder):
+    rows = [(f"u{i % 7}", f"2009-01-{1 + i % 28:02d}T00:{i % 60:02d}:00Z") for i in range(40)]
+    users = folder("users.tsv", "#id\tx\n" + "".join(f"u{i}\t1\n" for i in range(7)))
+    result = folder.path / "result"
+    five = folder("five.tsv", "".join("\t".join([*r, "a", "b", "c"]) + "\n" for r in rows))
+    for path, count in ((five, 40), (folder("one.tsv", lines(rows) + "u1\t2009-01-01T00:00:00Z\n"), 1)):
+        with pytest.raises(QualityError, match=f"^{count} lines"):
+            run_job(spark, path, users, str(result))
+        raw = readers.load(spark, "track_sessions", path, malformed=readers.MALFORMED)
+        with pytest.raises(QualityError, match=f"^{count} lines"):
+            prepare_plays(raw, readers.load(spark, "userid_profiles", users))
+        assert prepare_plays(raw, raw, strict=False).columns == readers.PLAY_COLUMNS
+    assert not result.exists()
+    fine = readers.load(spark, "track_sessions", folder("fine.tsv", lines(rows)), malformed=readers.MALFORMED)
+    plays = prepare_plays(fine, readers.load(spark, "userid_profiles", users))
+    assert plays.columns == readers.PLAY_COLUMNS and plays.count() == 40
+    # What comes back was written on the only reading of the log.
+    assert not any("fine.tsv" in f for f in plays.inputFiles())
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_a_failing_write_leaves_the_result(spark, tmp_path, fmt):
+    path = str(tmp_path / "result")
+    frame = spark.createDataFrame([(1,), (2,)], "n bigint")
+    sinks.write_summary(frame.limit(1), path, fmt)
+    broken = frame.repartition(2).selectExpr("n div (n - 2) AS n")
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO|zero"):
+        sinks.write_summary(broken, path, fmt)
+    assert [r.n for r in spark.read.schema("n bigint").options(header=True).format(fmt).load(path).collect()] == [1]
+    sinks.write_summary(frame, path, fmt)
+    assert spark.read.schema("n bigint").options(header=True).format(fmt).load(path).count() == 2
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["result"]
 
 
 def test_sample_job(spark, folder):
