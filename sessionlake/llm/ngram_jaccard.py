@@ -535,7 +535,7 @@ def _split(regions: DataFrame, sizes: DataFrame, allowed: float, limit: int) ->
     together = pivots.unionByName(rows).withColumn("slice", F.xxhash64("region", "n"))
     return (
         together.repartition("slice")
-        .sortWithinPartitions("slice", F.col("place") < 0)
+        .sortWithinPartitions("slice", F.col("place") < 0, "place")
         .select("region", "home", "digest", "grams", "place", "slice")
         .mapInArrow(_split_region(allowed), REGION)
     )
