@@ -78,7 +78,35 @@ def test_one_of_each_group_stays(spark):
     assert {r.doc_id for r in kept.collect()} == {c for _, c, _ in jaccard_classes(docs, 5, 4, 5).values()}
 
 
-def test_components_of_a_long_chain(spark):
-    edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1002, 1001), (5, 5)]
-    got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
-    assert {r.node: r.component for r in got} == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000, 1002: 1000}
+def plain_components(edges):
+    """By repeated minima over all edges."""
+    label = {x: x for e in edges for x in e if e[0] != e[1]}
+    while True:
+        before = dict(label)
+        for x, y in edges:
+            if x != y:
+                label[x] = label[y] = min(label[x], label[y])
+        if label == before:
+            return label
+
+
+@pytest.mark.parametrize("task", [10, 60, 10**6])
+def test_components_equal_plain_ones_in_any_number_of_rounds(spark, task):
+    """A chain, a hub, random edges, loops and repeated edges."""
+    draw = random.Random(task)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1002, 1001), (5, 5), (7777, 7777), (5, 6)]
+    edges += [(2000, 2001 + i) for i in range(200)]
+    edges += [(3000 + draw.randrange(300), 3000 + draw.randrange(300)) for _ in range(140)]
+    draw.shuffle(edges)
+    found = components.components(spark.createDataFrame(edges, "a long, b long").repartition(6), task).collect()
+    assert {r.node: r.component for r in found} == plain_components(edges)
+    assert len(found) == len({r.node for r in found})
+
+
+def test_components_of_binary_nodes_and_of_no_edges(spark):
+    edges = [(bytes([200, i]), bytes([200, i + 1])) for i in range(40)] + [(b"", bytes([255]))]
+    for task in (8, 1000):
+        found = components.components(spark.createDataFrame(edges, "a binary, b binary"), task).collect()
+        assert {bytes(r.node): bytes(r.component) for r in found} == plain_components(edges)
+    none = components.components(spark.createDataFrame([], "a long, b long"))
+    assert none.columns == ["node", "component"] and none.count() == 0
