@@ -1,4 +1,6 @@
+import math
 import random
+from itertools import combinations
 
 from plain import best_stretch, tokens
 from pyspark.sql import functions as F
@@ -139,3 +141,46 @@ def test_random_substitutions(spark):
     want = {(d, i): s for (d, i), s in scores.items() if s >= max(-(-6 * i // 10), decontaminate.LEAST)}
     assert want.keys() == {(d, d // 100) for d in texts if d > 2} | {(1, 15)}
     assert found(spark, texts, items) == want
+
+
+def test_substitutions_cannot_hide_an_item_from_its_mask():
+    """Against all ways to substitute words of short items; in longer ones more are needed than allowed."""
+    for mask in decontaminate.MASKS:
+        found = decontaminate.fewest(mask, 60)
+        for n in range(1, 12):
+            places = [{at + o for o in mask} for at in range(n - mask[-1])]
+            hides = [k for k in range(n + 1) if any(all(p & set(c) for p in places) for c in combinations(range(n), k))]
+            assert found[n] == min(hides)
+    for share, least in ((0.6, 6), (0.8, 3), (0.4, 6)):
+        numbers = decontaminate.mask_numbers(share, least)
+        for n in range(1, 181):
+            mask = decontaminate.MASKS[numbers[min(n, decontaminate.LONG)]]
+            edits = (n - max(math.ceil(share * n), min(least, n))) // 2
+            assert decontaminate.fewest(mask, n)[n] > edits
+    numbers = decontaminate.mask_numbers(decontaminate.SHARE, decontaminate.LEAST)
+    assert all(len(decontaminate.MASKS[k]) == 5 for k in numbers[22:])
+
+
+def test_both_joins_give_equal_rows_and_columns(spark, monkeypatch):
+    """Also for different texts of one id, repeated rows and items that share an id or a text."""
+    texts = [*docs().items(), (0, " ".join(ITEMS[3])), (0, " ".join(ITEMS[3])), (None, " ".join(ITEMS[0])), (5, "clean")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = [(i, " ".join(w)) for i, w in ITEMS.items()]
+    bench = spark.createDataFrame([*bench, (60, bench[0][1]), (0, bench[1][1]), (None, bench[5][1])], "item_id long, text string")
+    results = []
+    for limit in (decontaminate.BROADCAST_WORDS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", limit)
+        found = decontaminate.alignments(rows, bench)
+        results.append((found.columns, sorted(map(str, found.collect()))))
+    assert results[0] == results[1]
+    assert len(results[0][1]) > 12
+
+
+def test_a_very_long_item(spark, monkeypatch):
+    items = {0: sentence(20_000), 1: sentence(30)}
+    texts = {0: sentence(30) + items[0][9000:9040] + sentence(30), 1: sentence(400), 2: items[1]}
+    for limit in (decontaminate.BROADCAST_WORDS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", limit)
+        got = found(spark, texts, items)
+        assert got.keys() == {(0, 0), (2, 1)}
+        assert got[0, 0] == best_alignment(texts[0], items[0])
