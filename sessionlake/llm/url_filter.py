@@ -2,8 +2,8 @@
 
 A rule such as ``example.net/en/`` names a host and the start of a path. It fits its
 host and all subdomains, where the url's path starts with the rule's. Every url is
-expanded into expressions, one for each suffix of its host and each beginning of its
-path that is as long as some rule's path. Expressions and rules meet in an equi-join on
+expanded into expressions, one for each suffix of its host that has as many labels as
+some rule's host and each beginning of its path that is as long as some rule's path. Expressions and rules meet in an equi-join on
 the first four bytes of a SHA-256, the full digest confirms, and the longest rule wins.
 
 Urls are first reduced to distinct pairs of host and path, so that a hot url is expanded
@@ -38,12 +38,14 @@ def _digested(expression: Column) -> list[Column]:
     return [digest.alias("_digest"), F.substring(digest, 1, 8).alias("_short")]
 
 
-def _expressions(urls: DataFrame, lengths: list[int]) -> DataFrame:
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
+def _labels(host: str) -> Column:
+    """How many parts between dots."""
+    return F.length(host) - F.length(F.replace(F.col(host), F.lit("."), F.lit(""))) + 1
+
+
+def _expressions(urls: DataFrame, labels: list[int], lengths: list[int]) -> DataFrame:
+    known = F.filter(F.array(*map(F.lit, labels)), lambda n: n <= _labels("host"))
+    suffixes = F.transform(known, lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))
     fitting = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path"))
     starts = F.transform(fitting, lambda n: F.substring(F.col("path"), F.lit(1), n))
     return (
@@ -73,13 +75,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     lengths = sorted(r[0] for r in rules.select(F.length("_rule_path")).distinct().limit(MAX_RULE_PATH + 1).collect())
     if lengths and lengths[-1] > MAX_RULE_PATH:
         raise ValueError(f"a rule's path has more than {MAX_RULE_PATH} characters")
+    labels = sorted(r[0] for r in rules.select(_labels("_rule_host")).distinct().collect())
     parsed = beside(pages, host=host_of(F.col(url)), path=path_of(F.col(url)))
     made = ("host", "path", "rule", "verdict")
     if not lengths:
         return restored(parsed.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)}), *made)
     confirmed = rules.select("rule", "action", "_rule_host", *_digested(F.concat("_rule_host", "_rule_path")))
     hits = (
-        _expressions(parsed.select("host", "path").distinct(), lengths)
+        _expressions(parsed.select("host", "path").distinct(), labels, lengths)
         .join(confirmed.withColumnRenamed("_digest", "_full"), "_short")
         .where(F.col("_digest") == F.col("_full"))
     )

@@ -55,3 +55,13 @@ def test_extra_columns(spark):
     pages = spark.createDataFrame([("http://x.net/", 1, 2)], "url string, row int, _digest int")
     rules = spark.createDataFrame(URL_RULES, "rule string, action string")
     assert url_filter.judge_urls(pages, rules).select("row", "_digest", F.col("verdict")).first() == (1, 2, "block")
+
+
+def test_hosts_of_very_many_labels(spark):
+    """Only suffixes with the label counts of rules are made; empty labels and a closing dot count."""
+    rules = [("net/", "block"), ("a.a.net/en/", "allow"), ("a..b.org/", "block"), ("x.com./", "block")]
+    long = "a." * 100_000
+    urls = [f"http://{long}net/x", f"http://{long}net/en/", f"http://{long}org/", "h://q.a..b.org/", "h://y.x.com./1", "h://x.com/"]
+    got = {u: (rule, verdict) for u, _, _, rule, verdict in judged(spark, urls, rules)}
+    want = [("net/", "block"), ("a.a.net/en/", "allow"), (None, "allow"), ("a..b.org/", "block"), ("x.com./", "block"), (None, "allow")]
+    assert got == dict(zip(urls, want))
