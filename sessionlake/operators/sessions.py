@@ -5,7 +5,8 @@ one task. Time is cut into tiles of at most ``gap + 1`` seconds. Two plays in on
 tile are at most ``gap`` seconds apart, hence always in the same session, and a
 tile can be reduced to its first time, last time and number of plays by a plain
 hash aggregate, which combines before the shuffle. Only tiles, at most one per
-``gap + 1`` seconds of history, are brought together per user.
+``gap + 1`` seconds of history, are brought together per user; with a small gap, which
+makes many, only blocks of tiles are.
 """
 
 from __future__ import annotations
@@ -26,6 +27,12 @@ HOT_TILE = 1_000_000
 # Parts into which plays without a time, and plays at one crowded moment, are dealt.
 SLICES = 64
 
+# With smaller gaps a user's tiles are scanned in blocks. From here on ten years have 1,050,000 tiles at most.
+SPREAD_GAP = 300
+
+# Tiles, and sessions of a user, in a block at most.
+BLOCK = 65_536
+
 RESULT_COLUMNS = ("previous_time", "time_diff", "is_new_session", "session_id")
 
 
@@ -44,24 +51,60 @@ def _extents(tiled: DataFrame, user: str, ts: str) -> DataFrame:
     )
 
 
-def _in_sessions(tiles: DataFrame, user: str, gap: int) -> DataFrame:
-    """The tiles with the end of the tile before them and the number of their session.
+def _scanned(tiles: DataFrame, group: str, gap: int) -> DataFrame:
+    """The tiles with the end of the tile before them in their group and the number of their session.
 
     Plays without a time share the null tile, which sorts first. Each of them
     counts as a session start, so that tile's session number is its play count
     and the user's first timed session gets the number after it.
     """
-    history = Window.partitionBy(user).orderBy("_tile")
+    history = Window.partitionBy(group).orderBy("_tile")
     idle = seconds_between(F.col("previous_end"), F.col("start_time"))
+    starts = (
+        F.when(F.col("_tile").isNull(), F.col("plays"))
+        .when(F.coalesce(idle > gap, F.lit(True)), F.lit(1))
+        .otherwise(F.lit(0))
+    )
     return (
         tiles.withColumn("previous_end", F.lag("end_time").over(history))
-        .withColumn(
-            "starts",
-            F.when(F.col("_tile").isNull(), F.col("plays"))
-            .when(F.coalesce(idle > gap, F.lit(True)), F.lit(1))
-            .otherwise(F.lit(0)),
+        .withColumn("_starts", starts)
+        .withColumn("session_id", F.sum("_starts").over(history))
+        .drop("_starts")
+    )
+
+
+def _in_sessions(tiles: DataFrame, user: str, gap: int) -> DataFrame:
+    """The tiles with the end of the user's tile before them and the number of their session.
+
+    With a small gap a user may have a tile for every few seconds. Tiles are then scanned in
+    blocks of time, each as if it were a user's whole history; then blocks, one row each, are put in
+    order to learn how each block's first tile follows on the block before and how many sessions
+    start earlier. Both ways give the same.
+    """
+    if gap >= SPREAD_GAP:
+        return _scanned(tiles, user, gap)
+    # In a struct a null equals a null, in joining too. Plays without a time are the null block.
+    block = F.col("_tile") - F.pmod("_tile", F.lit(BLOCK * (gap + 1)))
+    key = F.struct(F.col(user).alias("user"), block.alias("block")).alias("_block")
+    scanned = _scanned(tiles.withColumn("_block", key), "_block", gap)
+    history = Window.partitionBy("_block.user").orderBy("_block.block")
+    follows = F.coalesce(seconds_between(F.col("_block_previous"), F.col("_from")) <= gap, F.lit(False))
+    blocks = (
+        scanned.groupBy("_block")
+        .agg(
+            F.min("start_time").alias("_from"),
+            F.max("end_time").alias("_to"),
+            F.max("session_id").alias("_starts"),
         )
-        .withColumn("session_id", F.sum("starts").over(history))
+        .withColumn("_block_previous", F.lag("_to").over(history))
+        .withColumn("_new", F.col("_starts") - follows.cast("int"))
+        .select("_block", "_block_previous", (F.sum("_new").over(history) - F.col("_starts")).alias("_earlier"))
+    )
+    return (
+        scanned.join(blocks, "_block")
+        .withColumn("previous_end", F.coalesce("previous_end", "_block_previous"))
+        .withColumn("session_id", F.col("session_id") + F.col("_earlier"))
+        .drop("_block", "_block_previous", "_earlier")
     )
 
 
@@ -78,7 +121,8 @@ def session_summary(
     a time form one session of null duration, unless ``drop_null_ts`` removes them.
 
     Plays are shuffled once, combined to tiles; tiles once, by user. The session
-    aggregate reuses the partitioning by user.
+    aggregate reuses the partitioning by user. With a gap under ``SPREAD_GAP`` tiles are
+    shuffled by user and block instead, and sessions, combined, by user and number.
     """
     gap = _whole_gap(gap)
     if drop_null_ts:
@@ -259,11 +303,25 @@ def sessionize(
     )
 
 
-def number_within_user(sessions: DataFrame, user: str = "userid") -> DataFrame:
+def number_within_user(sessions: DataFrame, user: str = "userid", gap: float = DEFAULT_GAP) -> DataFrame:
     """Adds user_session_number: 1, 2, ... over each user's sessions.
 
     Straight after :func:`session_summary` this needs no further shuffle. A user
-    has at most one session per ``gap + 1`` seconds of history.
+    has at most one session per ``gap + 1`` seconds of history; with a gap under
+    ``SPREAD_GAP`` sessions are numbered within blocks, and the blocks' sizes added up. Session
+    numbers must then be unique within a user and not null.
     """
-    order = Window.partitionBy(user).orderBy("session_id")
-    return sessions.withColumn("user_session_number", F.row_number().over(order).cast("bigint"))
+    if _whole_gap(gap) >= SPREAD_GAP:
+        order = Window.partitionBy(user).orderBy("session_id")
+        return sessions.withColumn("user_session_number", F.row_number().over(order).cast("bigint"))
+    block = F.col("session_id") - F.pmod("session_id", F.lit(BLOCK))
+    keyed = sessions.withColumn("_block", F.struct(F.col(user).alias("user"), block.alias("block")))
+    earlier = Window.partitionBy("_block.user").orderBy("_block.block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = keyed.groupBy("_block").agg(F.count("*").alias("_size"))
+    before = sizes.select("_block", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_block").orderBy("session_id"))
+    return (
+        keyed.withColumn("_own", own)
+        .join(before, "_block")
+        .select(*sessions.columns, (F.col("_before") + F.col("_own")).cast("bigint").alias("user_session_number"))
+    )

@@ -350,3 +350,44 @@ def test_result_at_another_threshold(spark):
 
     nobody = summarize_at(sessions.where("false"), 900).first()
     assert tuple(nobody) == (0, 0, None, 900.0, 0, 0, None)
+
+
+def busy_history(seed):
+    """One user active nearly every second, others with a few plays, some without a time, a null user."""
+    draw = random.Random(seed)
+    plays = [("hot", 1_000_000 * s + draw.randrange(1_000_000)) for s in range(-300, 900) if draw.random() < 0.8]
+    plays += [("hot", None)] * 3 + [("late", None), (None, 5_000_000), (None, None), (None, 6_000_000)]
+    return plays + [(draw.choice("ab"), draw.randrange(-50, 400) * 1_000_000) for _ in range(150)]
+
+
+@pytest.mark.parametrize("gap, block", [(0, 1), (0, 64), (1, 3), (7, 64)])
+def test_histories_in_blocks(spark, monkeypatch, gap, block):
+    plays = busy_history(gap)
+    monkeypatch.setattr(sessions, "BLOCK", block)
+    df = timeline(spark, plays)
+    got = [(r.userid, micros(r.timestamp), micros(r.previous_time), r.time_diff, r.is_new_session, r.session_id)
+           for r in sessionize(df, gap=gap).collect()]
+    assert by_text(got) == by_text(brute.sessionized(plays, gap))
+    summary = session_summary(df, gap=gap)
+    got = [(r.userid, r.session_id, micros(r.start_time), micros(r.end_time), r.session_duration, r.plays)
+           for r in summary.collect()]
+    assert by_text(got) == by_text(brute.summarized(plays, gap))
+    whole = number_within_user(summary).collect()
+    assert by_text(number_within_user(summary, gap=gap).collect()) == by_text(whole)
+
+
+def test_no_block_is_larger_than_said(spark, monkeypatch):
+    """A user active every second for long: no window of tiles gets more than a block."""
+    monkeypatch.setattr(sessions, "BLOCK", 1000)
+    seconds = spark.range(20_000).select(F.lit("hot").alias("userid"), F.timestamp_seconds("id").alias("timestamp"))
+    seen = []
+    scanned = sessions._scanned
+
+    def watched(tiles, group, gap):
+        seen.append(tiles.groupBy(group).count().agg(F.max("count")).first()[0])
+        return scanned(tiles, group, gap)
+
+    monkeypatch.setattr(sessions, "_scanned", watched)
+    summary = session_summary(seconds, gap=0)
+    assert seen == [1000]
+    assert summary.agg(F.count("*"), F.max("session_id"), F.countDistinct("session_id")).first() == (20_000, 20_000, 20_000)
