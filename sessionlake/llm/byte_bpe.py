@@ -47,6 +47,8 @@ PLAN_STRING, PLAN_TEXT = "spark.sql.maxPlanStringLength", 20_000
 NO_LIMIT = str(2**31 - 16)
 #: Small maps of the literal rank table.
 SLOTS = 16_384
+#: Distinct words and requested words that a row of a bucket holds, unless one request has more.
+ROW_WORDS, ROW_ASKED = 100_000, 2_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -184,32 +186,45 @@ def _to_blocks(buckets: int) -> Callable:
 
 
 def _distinct(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per bucket: its distinct words, and the blocks with the places of the words they asked for."""
+    """Distinct words of a bucket, and the blocks with the places of the words they asked for.
+
+    One row per bucket, or several where the bucket's words or requests are many; a word is
+    then encoded once per row.
+    """
 
     def requests() -> Iterator[dict]:
         for batch in source:
             asked = batch.select(["target", "block", "lengths", "size", "text"])
-            yield from asked.filter(pc.is_valid(asked.column("block"))).to_pylist()
+            asked = asked.filter(pc.is_valid(asked.column("block")))
+            for row in range(asked.num_rows):
+                yield from asked.slice(row, 1).to_pylist()
+
+    def row(target: str, blocks: list[str], asked: list[bytes], place: dict[bytes, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([int(target.removeprefix(BUCKET))], pa.int32()),
+                pa.array([blocks], pa.list_(pa.string())),
+                pa.array([asked], pa.list_(pa.binary())),
+                pa.array([[w.decode() for w in place]], pa.list_(pa.string())),
+            ],
+            ["bucket", "blocks", "asked", "words"],
+        )
 
     for target, group in groupby(requests(), key=lambda r: r["target"]):
         place: dict[bytes, int] = {}
-        blocks, asked = [], []
+        blocks, asked, held = [], [], 0
         for r in group:
             text = pa.decompress(r["text"], decompressed_size=r["size"], codec="zstd", asbytes=True)
             ends = np.cumsum(unpacked(r["lengths"]), dtype=np.int64).tolist()
+            if blocks and (len(place) > ROW_WORDS or held + len(ends) > ROW_ASKED):
+                yield row(target, blocks, asked, place)
+                place, blocks, asked, held = {}, [], [], 0
+            held += len(ends)
             blocks.append(r["block"])
             asked.append(
                 packed(np.array([place.setdefault(text[a:b], len(place)) for a, b in zip([0, *ends], ends)]))
             )
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([int(target.removeprefix(BUCKET))], pa.int32()),
-                pa.array([blocks], pa.list_(pa.string())),
-                pa.array([asked], pa.list_(pa.binary())),
-                pa.array([[w.decode() for w in place]], pa.list_(pa.string())),
-            ],
-            ["bucket", "blocks", "asked", "words"],
-        )
+        yield row(target, blocks, asked, place)
 
 
 def _answers(ranks: dict[bytes, int]) -> Callable:
@@ -293,13 +308,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id: str = "do
     )
     short = f"octet_length(w) <= {LONG}"
     none = "CAST(array() AS array<int>)"
-    folded = asked.withColumn("ranks", literal(ranks)).select(
+    # Bound to a variable, the table occurs once in the plan. Spark would copy a column of literals
+    # to every place that names it, and describes each to the listeners whenever a plan changes.
+    tokens = f"transform(transform(words, w -> IF({short}, hex(w), '')), h -> IF(h = '', {none}, {fold('h')}))"
+    folded = asked.withColumn("tables", F.array(literal(ranks))).select(
         "bucket",
         "blocks",
         "asked",
-        F.expr(
-            f"transform(transform(words, w -> IF({short}, hex(w), '')), h -> IF(h = '', {none}, {fold('h')}))"
-        ).alias("tokens"),
+        F.expr(f"element_at(transform(tables, ranks -> {tokens}), 1)").alias("tokens"),
         F.expr(f"filter(words, w -> NOT {short})").alias("long_words"),
     )
     answers = (

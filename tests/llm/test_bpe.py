@@ -1,5 +1,6 @@
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -62,3 +63,39 @@ def test_odd_rows(spark):
 @pytest.mark.parametrize("word", ["a" * 300, "ababababab" * 30, "thethethe" * 20, "é" * 90, "x"])
 def test_heap(word):
     assert byte_bpe.merge_long(word.encode(), RANKS) == LIBRARY.encode_ordinary(word)
+
+
+def requests(bucket, blocks):
+    rows = [
+        {"target": f"{byte_bpe.BUCKET}{bucket}", "block": name, "lengths": byte_bpe.packed(np.array([len(w) for w in words])),
+         "size": len(b"".join(words)), "text": pa.compress(b"".join(words), codec="zstd", asbytes=True)}
+        for name, words in blocks
+    ]
+    kinds = [("target", pa.string()), ("block", pa.string()), ("lengths", pa.binary()), ("size", pa.int64()), ("text", pa.binary())]
+    return pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
+
+
+@pytest.mark.parametrize("limit, rows", [(1, 3), (3, 2), (100, 1)])
+def test_rows_of_a_bucket_are_bounded(monkeypatch, limit, rows):
+    blocks = [("x", [b"a", b"b"]), ("y", [b"b", b"c"]), ("z", [b"a"])]
+    monkeypatch.setattr(byte_bpe, "ROW_ASKED", limit)
+    made = [r for b in byte_bpe._distinct(iter([requests(7, blocks), requests(8, [])])) for r in b.to_pylist()]
+    assert len(made) == rows and {r["bucket"] for r in made} == {7}
+    answers = {
+        name: [r["words"][i].encode() for i in byte_bpe.unpacked(places).tolist()]
+        for r in made
+        for name, places in zip(r["blocks"], r["asked"])
+    }
+    assert answers == dict(blocks)
+
+
+def test_plan_describes_the_table_once(spark):
+    """Spark describes every plan and each change of it; the rank table may not be in there many times."""
+    docs = spark.createDataFrame([(1, "x y")], "doc_id long, text string")
+    coded = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+
+    def longest(node):
+        return max([len(node.simpleString(25))] + [longest(node.children().apply(i)) for i in range(node.children().size())])
+
+    once = sum(2 * len(piece) + 8 for piece in RANKS) + 30 * byte_bpe.SLOTS
+    assert longest(coded._jdf.queryExecution().sparkPlan()) < 1.5 * once
