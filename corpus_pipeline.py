@@ -48,7 +48,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, checked by decoding them."""
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    coded = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    coded = byte_bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
     return coded.select(
         "doc_id",
         (F.octet_length("packed") / 4).cast("long").alias("n_tokens"),

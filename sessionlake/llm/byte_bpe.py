@@ -286,12 +286,8 @@ def _string(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row its id and ``packed``, the token ids as little-endian unsigned 32-bit integers.
-
-    A null or empty text has no tokens. No special tokens are recognised: their strings are
-    ordinary text. Rows with a null id and repeated rows are encoded as any other.
-    """
+def _answered(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id: str, text: str) -> DataFrame:
+    """The blocks, each with the ids of its words."""
     # In Java's patterns \\s means ASCII white space unless (?U) says all of Unicode's.
     words = F.regexp_extract_all(text_of(text), F.lit("(?U)" + pattern), F.lit(0))
     number = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -328,20 +324,42 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id: str = "do
         # Requests are done with. On both sides, or Spark would filter below the shuffle and make
         # two of it.
         .where("ids IS NOT NULL OR answers IS NOT NULL")
-        .mapInArrow(_string, "id long, packed binary")
-        .withColumnRenamed("id", id)
     )
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``encoded`` with ``decoded``, the pieces of all ids put together. Its columns are an id and ``packed``."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row its id and ``packed``, the token ids as little-endian unsigned 32-bit integers.
+
+    A null or empty text has no tokens. No special tokens are recognised: their strings are
+    ordinary text. Rows with a null id and repeated rows are encoded as any other.
+    """
+    blocks = _answered(docs, ranks, pattern, id, text)
+    return blocks.mapInArrow(_string, "id long, packed binary").withColumnRenamed("id", id)
+
+
+def round_trip(
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``decode(encode(docs))``, with the ids decoded in the worker that strung them together.
+
+    A task then has one Python worker instead of two, and the ids don't go through the JVM between.
+    """
+    back = _decoder(ranks, "id")
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return back(_string(source))
+
+    blocks = _answered(docs, ranks, pattern, id, text)
+    return blocks.mapInArrow(batches, "id long, packed binary, decoded binary").withColumnRenamed("id", id)
+
+
+def _decoder(ranks: dict[bytes, int], id: str) -> Callable:
     pieces = sorted(ranks.items(), key=lambda item: item[1])
     if [rank for _, rank in pieces] != list(range(len(pieces))):
         raise ValueError("ranks must be 0, 1, 2 and so on")
     flat = np.frombuffer(b"".join(p for p, _ in pieces), np.uint8)
     lengths = np.array([len(p) for p, _ in pieces])
     starts = np.cumsum(lengths) - lengths
-    id = next(c for c in encoded.columns if c != "packed")
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in source:
@@ -357,4 +375,11 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                     [batch.column(id), batch.column("packed"), pa.array(texts, pa.binary())], [id, "packed", "decoded"]
                 )
 
-    return encoded.select(id, "packed").mapInArrow(batches, f"`{id}` long, packed binary, decoded binary")
+    return batches
+
+
+def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """``encoded`` with ``decoded``, the pieces of all ids put together. Its columns are an id and ``packed``."""
+    id = next(c for c in encoded.columns if c != "packed")
+    made = f"`{id}` long, packed binary, decoded binary"
+    return encoded.select(id, "packed").mapInArrow(_decoder(ranks, id), made)

@@ -45,6 +45,15 @@ def test_as_the_library(spark):
         assert bytes(r.decoded) == text.encode()
 
 
+def test_round_trip(spark):
+    rows = [(i, t, "mine") for i, t in enumerate(TEXTS)] + [(None, "x y", ""), (3, "x y", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, packed string")
+    got = byte_bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN)
+    assert got.columns == ["doc_id", "packed", "decoded"]
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, encoded(spark, rows)))
+    assert byte_bpe.round_trip(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
 def test_real_texts(spark, monkeypatch):
     monkeypatch.setattr(byte_bpe, "BLOCK_WORDS", 5000)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
