@@ -269,6 +269,12 @@ def session_user_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("user_id", "session_id", "user_session_number")
 
 
+def session_user_number_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions with a gap of a minute, for which a user's history is scanned in blocks."""
+    found = sessions(spark, sf_dir, 60)
+    return number_within_user(found, "user_id", 60).select(*SESSION_COLUMNS, "user_session_number")
+
+
 def ordered_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(spark, sf_dir).orderBy("user_id", "session_id")
 
@@ -412,7 +418,7 @@ def queries() -> dict[str, Query]:
         tsv_job, sample_sink, sample_ties, summary_sink, summary_sink_csv,
         play_gaps, session_flags, session_ids, sessionize_missing_times,
         sessions_missing_times, sessions_timed_only,
-        session_global_number, order_global_number, session_user_number, ordered_sessions, session_preview,
+        session_global_number, order_global_number, session_user_number, session_user_number_minute, ordered_sessions, session_preview,
         order_sessions, order_session_ids,
         long_threshold_exact, long_threshold_interpolated, long_threshold_approx,
         approx_threshold_error,
@@ -542,6 +548,10 @@ WHERE place <= 3""",
         "session_user_number": plays
         + """SELECT user_id, session_id,
   row_number() OVER (PARTITION BY user_id ORDER BY session_id) AS user_session_number
+FROM sessions""",
+        "session_user_number_minute": _plays_sql(gap=60)
+        + f"""SELECT {columns},
+  row_number() OVER (PARTITION BY user_id ORDER BY session_id) AS user_session_number
 FROM sessions""",
         "ordered_sessions": plays + f"SELECT {columns} FROM sessions ORDER BY user_id, session_id",
         "session_preview": plays
