@@ -6,16 +6,55 @@ once for each distinct word of a block, and without a shuffle of the words' occu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK = 8_000_000
 #: Words of which occurrences are expanded at once.
 CHUNK = 500_000
+#: Spark's setting of bytes in a batch, and what it becomes: about a block. Its own 64 MB are held twice or
+#: more by the JVM and by each worker at once.
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 7_500_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Without a limit of the user's own, batches for Python get one of about a block."""
+    if spark.conf.get(BATCH_LIMIT, None) is None:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Returns the memory that this worker has free to the system, where the system can take it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(batches: Callable) -> Callable:
+    """``batches``, a function for mapInArrow, whose worker gives back memory after each batch and in the end.
+
+    Workers of a task, and those of the last one, wait beside others and the JVM, and would keep it all.
+    """
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = batches(source)
+        for batch in made:
+            size = batch.nbytes
+            yield batch
+            del batch
+            if size > BATCH_BYTES // 8:
+                give_back()
+        del made
+        give_back()
+
+    return run
 
 
 def packed(values: np.ndarray) -> bytes:

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionlake.llm.blocks import lean
 from sessionlake.llm.common import arrow_type
 from sessionlake.session import freeze
 
@@ -62,7 +63,7 @@ def components(edges: DataFrame, task: int = TASK) -> DataFrame:
     form = f"node {edges.schema[a].dataType.simpleString()}, top {edges.schema[a].dataType.simpleString()}"
 
     def united(pairs: DataFrame, loops: bool = False) -> DataFrame:
-        return freeze(pairs.mapInArrow(_unite(kind, loops, task), form))
+        return freeze(pairs.mapInArrow(lean(_unite(kind, loops, task)), form))
 
     left = united(edges.select(F.col(a).alias("node"), F.col(b).alias("top")).where("node <> top"))
     merged = []

@@ -36,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionlake.llm.blocks import in_blocks, lean, small_batches
 from sessionlake.llm.common import beside, restored, text_of
 from sessionlake.llm.components import components
 from sessionlake.session import freeze
@@ -250,7 +251,7 @@ def _chunks(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
 def _pack(n: int, num: int, den: int, buckets: int) -> Callable:
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in source:
+        for batch in in_blocks(source, "text"):
             sets = ngram_sets(batch.column(1), n)
             ids = batch.column(0)
             docs = np.zeros(len(sets), DOC)
@@ -390,7 +391,7 @@ def _as_sets(n: int) -> Callable:
     """Sets of the chosen texts; a text that only shares the id of the chosen one is left out."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in in_blocks(source, "text"):
             sets = ngram_sets(batch.column("text"), n)
             right = [i for i, (s, d) in enumerate(zip(sets, batch.column("digest").to_pylist())) if _digest(s) == d]
             chosen = batch.take(pa.array(right, pa.int64()))
@@ -537,7 +538,7 @@ def _split(regions: DataFrame, sizes: DataFrame, allowed: float, limit: int) ->
         together.repartition("slice")
         .sortWithinPartitions("slice", F.col("place") < 0, "place")
         .select("region", "home", "digest", "grams", "place", "slice")
-        .mapInArrow(_split_region(allowed), REGION)
+        .mapInArrow(lean(_split_region(allowed)), REGION)
     )
 
 
@@ -555,7 +556,7 @@ def _blocks(regions: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def _joined(regions: DataFrame, num: int, den: int) -> DataFrame:
     return (
-        regions.repartition("region").sortWithinPartitions("region").mapInArrow(_join_region(num, den), LINKED)
+        regions.repartition("region").sortWithinPartitions("region").mapInArrow(lean(_join_region(num, den)), LINKED)
     )
 
 
@@ -602,13 +603,14 @@ def jaccard_join(
     takes part, but only gives its component a name if no row there has an id.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     buckets = max(1024, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id).cast("long").alias("id"), text_of(text).alias("text"))
     seen = freeze(
-        rows.mapInArrow(_pack(n, num, den, buckets), PACKED)
+        rows.mapInArrow(lean(_pack(n, num, den, buckets)), PACKED)
         .repartition("bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(_unpack, UNPACKED)
+        .mapInArrow(lean(_unpack), UNPACKED)
     )
     known = seen.where(F.col("kind") == DOCS).select(
         F.col("a").alias("id"), F.col("b").alias("node"), F.col("n").alias("n_shingles"), "digest"
@@ -628,7 +630,7 @@ def jaccard_join(
     sets = freeze(
         rows.join(few, F.col("id").eqNullSafe(F.col("_id")))
         .select("region", "size", "digest", "text")
-        .mapInArrow(_as_sets(n), f"{REGION}, size long")
+        .mapInArrow(lean(_as_sets(n)), f"{REGION}, size long")
     )
     linked = [freeze(_joined(sets.where(F.col("size") <= limit).drop("size"), num, den))]
     large = sets.where(F.col("size") > limit).drop("size")

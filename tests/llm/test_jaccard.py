@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from plain import jaccard_classes
 
-from sessionlake.llm import components, ngram_jaccard
+from sessionlake.llm import blocks, components, ngram_jaccard
 
 
 def corpus(seed, groups=12, copies=9):
@@ -110,3 +112,26 @@ def test_components_of_binary_nodes_and_of_no_edges(spark):
         assert {bytes(r.node): bytes(r.component) for r in found} == plain_components(edges)
     none = components.components(spark.createDataFrame([], "a long, b long"))
     assert none.columns == ["node", "component"] and none.count() == 0
+
+
+def test_batches_are_cut_by_bytes(monkeypatch):
+    """However many texts come at once, a worker holds the words of about a block."""
+    held = []
+    monkeypatch.setattr(blocks, "BLOCK", 40_000)
+    monkeypatch.setattr(ngram_jaccard.in_blocks, "__defaults__", (40_000,))
+    monkeypatch.setattr(ngram_jaccard, "ngram_sets", lambda t, n, f=ngram_jaccard.ngram_sets: held.append(t.nbytes) or f(t, n))
+    texts = [f"text {i} of some words " * 50 for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array(texts)], ["id", "text"])
+    made = list(ngram_jaccard._pack(5, 4, 5, 8)(iter([batch])))
+    assert sum(np.frombuffer(p, ngram_jaccard.DOC).size for b in made for k, p in zip(b["kind"].to_pylist(), b["packed"].to_pylist()) if k == ngram_jaccard.DOCS) == 400
+    assert len(held) > 5 and max(held) < 50_000
+
+
+def test_batches_for_python_are_small_unless_the_user_says_otherwise(spark):
+    spark.conf.unset(blocks.BATCH_LIMIT)
+    blocks.small_batches(spark)
+    assert spark.conf.get(blocks.BATCH_LIMIT) == str(blocks.BATCH_BYTES)
+    spark.conf.set(blocks.BATCH_LIMIT, "20m")
+    blocks.small_batches(spark)
+    assert spark.conf.get(blocks.BATCH_LIMIT) == "20m"
+    spark.conf.unset(blocks.BATCH_LIMIT)
