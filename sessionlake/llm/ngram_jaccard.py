@@ -55,6 +55,9 @@ OUTSIDE = PIVOTS
 RATIO = 1.43
 #: N-grams handled at once in a task.
 CHUNK = 1_000_000
+#: An element in more than one set of so many, and in more than so many, is common. Rows and columns of a matrix
+#: of sets and common elements that are multiplied at once.
+COMMON, STRIP, COLUMNS = 20, 1_024, 4_096
 #: Seeds tried before empty parts count as parts.
 SEEDS = 32
 
@@ -406,19 +409,34 @@ def _as_sets(n: int) -> Callable:
 
 
 def overlaps(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
-    """For each set, how many elements it has in common with each of ``sets``."""
+    """For each set, how many elements it has in common with each of ``sets``.
+
+    Elements in many of the sets, as near copies have them, are counted by a product of matrices; going
+    through the sets of each would take the square of their number.
+    """
     sizes = [len(s) for s in sets]
     _, term = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
+    held = np.bincount(term)
+    common = (held * COMMON > len(sets)) & (held > COMMON)
+    number = np.cumsum(common) - 1
     order = np.argsort(term, kind="stable")
-    posting, ends = owner[order], np.concatenate([[0], np.cumsum(np.bincount(term))])
-    at = 0
-    for size in sizes:
-        mine = term[at : at + size]
-        at += size
-        lengths = ends[mine + 1] - ends[mine]
-        jump = np.repeat(ends[mine] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-        yield np.bincount(posting[jump + np.arange(lengths.sum())], minlength=len(sets))
+    posting, ends = owner[order], np.concatenate([[0], np.cumsum(held)])
+    for a in range(0, len(sets), STRIP):
+        strip = np.zeros((min(STRIP, len(sets) - a), len(sets)), np.int64)
+        for c in range(0, int(common.sum()), COLUMNS):
+            here = common[term] & (number[term] >= c) & (number[term] < c + COLUMNS)
+            matrix = np.zeros((len(sets), min(COLUMNS, int(common.sum()) - c)), np.float32)
+            matrix[owner[here], number[term[here]] - c] = 1
+            strip += (matrix[a : a + STRIP] @ matrix.T).astype(np.int64)
+        at = sum(sizes[:a])
+        for k, size in enumerate(sizes[a : a + STRIP]):
+            mine = term[at : at + size]
+            at += size
+            mine = mine[~common[mine]]
+            lengths = ends[mine + 1] - ends[mine]
+            jump = np.repeat(ends[mine] - (np.cumsum(lengths) - lengths), lengths)
+            yield strip[k] + np.bincount(posting[jump + np.arange(lengths.sum())], minlength=len(sets))
 
 
 def _join_region(num: int, den: int) -> Callable:
@@ -447,26 +465,22 @@ def _join_region(num: int, den: int) -> Callable:
             sizes = np.array([len(s) for s in sets])
             lead, links = np.arange(len(rows)), np.zeros(len(rows), np.int64)
 
-            def root(i: int) -> int:
-                while lead[i] != i:
-                    lead[i] = lead[lead[i]]
-                    i = lead[i]
-                return i
-
             for i, common in enumerate(overlaps(sets)):
                 later = common[i + 1 :]
                 near = den * later >= num * (sizes[i] + sizes[i + 1 :] - later)
                 near &= home[i] & ((side[i] < 0) | (side[i] != side[i + 1 :]))
-                for j in (np.flatnonzero(near) + i + 1).tolist():
-                    links[i] += 1
-                    links[j] += 1
-                    lead[max(root(i), root(j))] = min(root(i), root(j))
+                at = np.flatnonzero(near) + i + 1
+                links[i] += len(at)
+                links[at] += 1
+                tops = np.unique(np.append(lead[at], lead[i]))
+                if len(tops) > 1:
+                    lead[np.isin(lead, tops)] = tops[0]
             linked = np.flatnonzero(links).tolist()
             if linked:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([digests[i] for i in linked], pa.binary()),
-                        pa.array([digests[root(i)] for i in linked], pa.binary()),
+                        pa.array([digests[lead[i]] for i in linked], pa.binary()),
                         pa.array(links[linked]),
                     ],
                     ["digest", "lead", "links"],
@@ -567,7 +581,13 @@ def _agreeing(seen: DataFrame) -> DataFrame:
     as either of its nodes has large regions. Only nodes with as many large regions as they
     need agreements can be linked through those alone, and only these are united there.
     """
-    members = seen.where(F.col("kind") == MEMBERS).select(F.col("a").alias("key"), F.col("b").alias("node"), "need").distinct()
+    # Dealt by node once, for all of the steps that go by it: a node has only so many parts.
+    members = (
+        seen.where(F.col("kind") == MEMBERS)
+        .select(F.col("a").alias("key"), F.col("b").alias("node"), "need")
+        .repartition("node")
+        .distinct()
+    )
     crowded = members.groupBy("node").agg(F.count_distinct("key").alias("k"), F.min("need").alias("need"))
     alone = members.join(crowded.where("k >= need").select("node"), "node").select("key", "node")
     leads = alone.groupBy("key").agg(F.min("node").alias("lead"))
