@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.llm.blocks import by_frequency, in_chunks, packed, strung, unpacked
+from sessionlake.llm.blocks import by_frequency, give_back, in_chunks, lean, packed, small_batches, strung, unpacked
 from sessionlake.llm.common import text_of
 
 LONG = 64
@@ -180,7 +180,7 @@ def _to_blocks(buckets: int) -> Callable:
                 del batch, coded, places, words, rows
             # An idle worker would keep what it took while Spark needs the memory.
             del whole
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return batches
 
@@ -289,18 +289,19 @@ def _string(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _answered(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id: str, text: str) -> DataFrame:
     """The blocks, each with the ids of its words."""
     # In Java's patterns \\s means ASCII white space unless (?U) says all of Unicode's.
+    small_batches(docs.sparkSession)
     words = F.regexp_extract_all(text_of(text), F.lit("(?U)" + pattern), F.lit(0))
     number = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(256, 4 * number)
     # Both uses below take this one shuffle.
     sent = (
         docs.select(F.col(id).cast("long").alias("id"), words.alias("words"))
-        .mapInArrow(_to_blocks(buckets), SENT)
+        .mapInArrow(lean(_to_blocks(buckets)), SENT)
         .repartition(number, "target")
     )
     _short_plans(docs.sparkSession)
     asked = sent.sortWithinPartitions("target").mapInArrow(
-        _distinct, "bucket int, blocks array<string>, asked array<binary>, words array<string>"
+        lean(_distinct), "bucket int, blocks array<string>, asked array<binary>, words array<string>"
     )
     short = f"octet_length(w) <= {LONG}"
     none = "CAST(array() AS array<int>)"
@@ -315,7 +316,7 @@ def _answered(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id: str, t
         F.expr(f"filter(words, w -> NOT {short})").alias("long_words"),
     )
     answers = (
-        folded.mapInArrow(_answers(ranks), "name string, bucket int, lengths binary, tokens binary")
+        folded.mapInArrow(lean(_answers(ranks)), "name string, bucket int, lengths binary, tokens binary")
         .groupBy("name")
         .agg(F.collect_list(F.struct("bucket", "lengths", "tokens")).alias("answers"))
     )
@@ -334,7 +335,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id: str = "do
     ordinary text. Rows with a null id and repeated rows are encoded as any other.
     """
     blocks = _answered(docs, ranks, pattern, id, text)
-    return blocks.mapInArrow(_string, "id long, packed binary").withColumnRenamed("id", id)
+    return blocks.mapInArrow(lean(_string), "id long, packed binary").withColumnRenamed("id", id)
 
 
 def round_trip(
@@ -350,7 +351,7 @@ def round_trip(
         return back(_string(source))
 
     blocks = _answered(docs, ranks, pattern, id, text)
-    return blocks.mapInArrow(batches, "id long, packed binary, decoded binary").withColumnRenamed("id", id)
+    return blocks.mapInArrow(lean(batches), "id long, packed binary, decoded binary").withColumnRenamed("id", id)
 
 
 def _decoder(ranks: dict[bytes, int], id: str) -> Callable:
@@ -382,4 +383,4 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """``encoded`` with ``decoded``, the pieces of all ids put together. Its columns are an id and ``packed``."""
     id = next(c for c in encoded.columns if c != "packed")
     made = f"`{id}` long, packed binary, decoded binary"
-    return encoded.select(id, "packed").mapInArrow(_decoder(ranks, id), made)
+    return encoded.select(id, "packed").mapInArrow(lean(_decoder(ranks, id)), made)

@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 
-from sessionlake.llm import byte_bpe
+from sessionlake.llm import blocks, byte_bpe
 
 RANKS = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
@@ -108,3 +108,10 @@ def test_plan_describes_the_table_once(spark):
 
     once = sum(2 * len(piece) + 8 for piece in RANKS) + 30 * byte_bpe.SLOTS
     assert longest(coded._jdf.queryExecution().sparkPlan()) < 1.5 * once
+
+
+def test_batches_for_workers_are_small(spark):
+    spark.conf.unset(blocks.BATCH_LIMIT)
+    byte_bpe.encode(spark.createDataFrame([(1, "x y")], "doc_id long, text string"), RANKS, public_tokenizers.PATTERN)
+    assert spark.conf.get(blocks.BATCH_LIMIT) == str(blocks.BATCH_BYTES)
+    spark.conf.unset(blocks.BATCH_LIMIT)
