@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlake.llm.blocks import by_frequency, in_blocks, packed, unpacked
+from sessionlake.llm.blocks import by_frequency, in_blocks, lean, packed, small_batches, unpacked
 from sessionlake.llm.common import text_of
 from sessionlake.llm.ngram_jaccard import by_group, split_words
 from sessionlake.session import freeze
@@ -415,7 +415,7 @@ MODEL = "group long, weight double, model binary"
 
 def train(coded: DataFrame, m: dict, rounds: int = ROUNDS) -> dict:
     for turn in range(rounds):
-        trained = coded.select("ids", "held", "counts", "trained").mapInArrow(_trainer(m, turn, rounds), MODEL)
+        trained = coded.select("ids", "held", "counts", "trained").mapInArrow(lean(_trainer(m, turn, rounds)), MODEL)
         # At most ``GROUPS`` models come to the driver.
         sums = trained.mapInArrow(_summed, MODEL).repartition("group").mapInArrow(_summed, MODEL).collect()
         weight = sum(r["weight"] for r in sums)
@@ -457,14 +457,15 @@ def score_corpus(docs: DataFrame, held_out: str, id: str = "doc_id", text: str =
     end. A null text is empty: one end. Without training texts every token is unknown.
     Repeated rows train and are scored each.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(
         F.col(id).cast("long").alias("id"),
         F.coalesce(F.expr(held_out), F.lit(False)).alias("held"),
         text_of(text).alias("text"),
     )
-    blocks = freeze(rows.mapInArrow(_to_blocks, BLOCK))
+    blocks = freeze(rows.mapInArrow(lean(_to_blocks), BLOCK))
     found = blocks.select("block", "held", "counts", "places", "words").mapInArrow(
-        _occurrences, "block string, place int, word string, n long"
+        lean(_occurrences), "block string, place int, word string, n long"
     )
     totals = freeze(found.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"))
     whole = totals.agg(F.sum("c").alias("tokens"), F.count("*").alias("distinct")).first()
@@ -488,7 +489,7 @@ def score_corpus(docs: DataFrame, held_out: str, id: str = "doc_id", text: str =
         .agg(F.collect_list(F.struct("place", "c", "symbol")).alias("lexicon"))
     )
     coded = freeze(
-        blocks.drop("words").join(looked_up, "block").mapInArrow(_coder(total, distinct, masses), CODED)
+        blocks.drop("words").join(looked_up, "block").mapInArrow(lean(_coder(total, distinct, masses)), CODED)
     )
     weights = np.zeros(SYMBOLS)
     for symbol, mass in masses.items():
@@ -496,7 +497,7 @@ def score_corpus(docs: DataFrame, held_out: str, id: str = "doc_id", text: str =
     weights[UNKNOWN] = weights[SHORTLIST] / 2
     weights[SHORTLIST] -= weights[UNKNOWN]
     m = train(coded, start_model(weights), rounds)
-    return coded.drop("trained").mapInArrow(_scorer(m), SCORES).select(
+    return coded.drop("trained").mapInArrow(lean(_scorer(m)), SCORES).select(
         F.col("id").alias(id),
         F.col("held").alias("held_out"),
         "n_tokens",

@@ -136,3 +136,11 @@ def test_every_training_text_is_trained_on_once(monkeypatch, rounds):
         options = {} if rounds == 2 else {"rounds": rounds}
         list(gru_lm._trainer(model(), turn, **options)(iter([block])))
     assert sorted(seen) == np.flatnonzero(~held).tolist()
+
+
+def test_batches_for_workers_are_small(spark):
+    spark.conf.unset(blocks.BATCH_LIMIT)
+    got = gru_lm.score_corpus(spark.createDataFrame([(1, "a b a")], "doc_id long, text string"), "false").collect()
+    assert [(r.doc_id, r.n_tokens) for r in got] == [(1, 4)]
+    assert spark.conf.get(blocks.BATCH_LIMIT) == str(blocks.BATCH_BYTES)
+    spark.conf.unset(blocks.BATCH_LIMIT)
