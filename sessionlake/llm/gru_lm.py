@@ -23,11 +23,11 @@ whole of every text.
 from __future__ import annotations
 
 import math
-import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,23 +51,26 @@ WIDTH = 16
 WINDOW = 16
 TRAIN_LANES = 128
 SCORE_LANES = 512
+#: Targets whose probabilities are computed at once.
+AT_ONCE = 4096
 RATE = 0.01
 #: A text trains in the round that its hash modulo the number of rounds names, so each trains once.
 ROUNDS = 2
 #: Groups in which the models of blocks are summed.
 GROUPS = 64
 
-BLOCK = "block string, ids array<long>, held binary, counts binary, places binary, words array<string>"
+BLOCK = "block long, ids array<long>, held binary, counts binary, places binary, words array<string>"
 
 
 def _to_blocks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in in_blocks(source, "text"):
+    task = TaskContext.get().partitionId()
+    for made, batch in enumerate(in_blocks(source, "text")):
         places, distinct, counts = split_words(batch.column("text"))
         places, order = by_frequency(places, len(distinct))
         yield pa.RecordBatch.from_arrays(
             [
-                # Written once, so the name may be drawn.
-                pa.array([os.urandom(16).hex()]),
+                # Written once, so the task and a number within it name the block.
+                pa.array([task << 32 | made], pa.int64()),
                 pa.array([batch.column("id").to_pylist()], pa.list_(pa.int64())),
                 pa.array([batch.column("held").to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()], pa.binary()),
                 pa.array([packed(counts)], pa.binary()),
@@ -92,7 +95,7 @@ def _occurrences(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 some = words.slice(a, 50_000)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([name] * len(some)),
+                        pa.array(np.full(len(some), name)),
                         pa.array(np.arange(a, a + len(some), dtype=np.int32)),
                         some.cast(pa.string()),
                         pa.array(n[a : a + len(some)]),
@@ -100,7 +103,7 @@ def _occurrences(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ["block", "place", "word", "n"],
                 )
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.array([-1], pa.int32()), pa.nulls(1, pa.string()), pa.array([int(trains.sum())])],
+                [pa.array([name], pa.int64()), pa.array([-1], pa.int32()), pa.nulls(1, pa.string()), pa.array([int(trains.sum())])],
                 ["block", "place", "word", "n"],
             )
 
@@ -183,102 +186,162 @@ def start_model(weights: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    """Of each column, in place; returns the logarithm of what it was divided by."""
+    top = logits.max(0)
+    logits -= top
+    np.exp(logits, out=logits)
+    z = logits.sum(0)
+    logits /= z
+    return top + np.log(z)
 
 
-def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities, and the logarithm of what they were divided by."""
-    top = logits.max(1, keepdims=True)
-    e = np.exp(logits - top)
-    z = e.sum(1, keepdims=True)
-    return e / z, (top + np.log(z))[:, 0]
+def _with_ones(columns: np.ndarray) -> np.ndarray:
+    """One more row, so that a bias is one more row of the weights."""
+    return np.concatenate([columns, np.ones((1, columns.shape[1]), columns.dtype)])
 
 
-def entries(m: dict) -> np.ndarray:
-    """What each symbol brings to the gates."""
-    return m["embed"] @ m["into"] + m["bias"]
+def run_states(m: dict, inputs: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, tuple]:
+    """States after each input; ``inputs`` is (time, lane), states are (time, lane, feature).
 
-
-def run_states(m: dict, inputs: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-    """States after each input; ``inputs`` is (time, lane). The gates are kept if asked for."""
-    x = (entries(m) if m.get("entries") is None else m["entries"])[inputs]
-    w, states, gates = WIDTH, np.empty((*inputs.shape, WIDTH), np.float32), []
-    for t in range(len(inputs)):
-        u = h @ m["again"]
-        zr = _sigmoid(x[t, :, : 2 * w] + u[:, : 2 * w])
-        z, r = zr[:, :w], zr[:, w:]
-        n = np.tanh(x[t, :, 2 * w :] + r * u[:, 2 * w :])
-        if keep:
-            gates.append((h, z, r, n, u[:, 2 * w :]))
-        h = n + z * (h - n)
-        states[t] = h
-    return states, gates
+    If asked for, also what ``gradients`` needs: what the inputs bring, states before, gates, new
+    contents and the recurrent part of these, each (time, feature, lane), as they lie in memory.
+    """
+    w, steps, kind = WIDTH, len(inputs), m["again"].dtype
+    # sigmoid(x) = (tanh(x / 2) + 1) / 2
+    half = np.repeat(np.array([0.5, 0.5, 1], kind), w)
+    brought = m["embed"].take(inputs, 0).transpose(0, 2, 1)
+    x = np.matmul((m["into"] * half).T, brought)
+    x += (m["bias"] * half)[:, None]
+    again, h = (m["again"] * half).T, h.T
+    lanes = inputs.shape[1]
+    states = np.empty((steps + 1, w, lanes), kind)
+    states[0] = h
+    u = np.empty((steps if keep else 1, 3 * w, lanes), kind)
+    for t in range(steps):
+        now = u[t if keep else 0]
+        np.matmul(again, states[t], out=now)
+        zr, n, s = x[t, : 2 * w], x[t, 2 * w :], states[t + 1]
+        zr += now[: 2 * w]
+        np.tanh(zr, out=zr)
+        zr += 1
+        zr *= 0.5
+        np.multiply(zr[w:], now[2 * w :], out=s)
+        n += s
+        np.tanh(n, out=n)
+        np.subtract(states[t], n, out=s)
+        s *= zr[:w]
+        s += n
+    kept = (brought, states[:-1], x[:, : 2 * w], x[:, 2 * w :], u[:, 2 * w :]) if keep else ()
+    return states[1:].transpose(0, 2, 1), kept
+
+
+def live_states(states: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The states that count, a column each, and their places."""
+    where = np.flatnonzero(live.ravel())
+    columns = states.transpose(2, 0, 1).reshape(WIDTH, -1)
+    return columns if len(where) == live.size else columns.take(where, 1), where
 
 
-def word_groups(targets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(class, where in ``targets``, word within the class) for the words of the model."""
+def word_groups(targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Where the words of the model are in ``targets``, by class; the word within it; class and range of each."""
     at = np.flatnonzero(targets < SHORTLIST)
-    cls = targets[at] // PER_CLASS
-    order = np.argsort(cls, kind="stable")
-    at, cls = at[order], cls[order]
-    for c in np.unique(cls).tolist():
-        a, b = np.searchsorted(cls, [c, c + 1])
-        yield c, at[a:b], targets[at[a:b]] % PER_CLASS
+    cls = (targets[at] // PER_CLASS).astype(np.uint8 if CLASSES <= 256 else np.int64)
+    at = at[np.argsort(cls, kind="stable")]
+    ends = np.cumsum(np.bincount(cls, minlength=CLASSES)).tolist()
+    ranges = [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
+    return at, targets[at] % PER_CLASS, ranges
 
 
 def log_probabilities(m: dict, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Natural logarithms; of words outside the model, that of their class."""
-    logits = states @ m["classes"] + m["class_bias"]
-    top = logits.max(1)
-    found = logits[np.arange(len(targets)), class_of(targets)] - top
-    found -= np.log(np.exp(logits - top[:, None]).sum(1))
-    for c, at, word in word_groups(targets):
-        inner = states[at] @ m["words"][c] + m["word_bias"][c]
-        top = inner.max(1)
-        found[at] += inner[np.arange(len(at)), word] - top - np.log(np.exp(inner - top[:, None]).sum(1))
+    """Natural logarithms; of words outside the model, that of their class. ``states`` has a row for each target."""
+    columns = _with_ones(states.T)
+    classes, words = _with_biases(m)
+    logits = classes.T @ columns
+    found = logits[class_of(targets), np.arange(len(targets))]
+    found -= _softmax(logits)
+    at, word, ranges = word_groups(targets)
+    mine, inner = columns.take(at, 1), np.empty((PER_CLASS, len(at)), columns.dtype)
+    for c, a, b in ranges:
+        np.matmul(words[c].T, mine[:, a:b], out=inner[:, a:b])
+    chosen = inner[word, np.arange(len(at))]
+    found[at] += chosen - _softmax(inner)
     return found
 
 
+def _with_biases(m: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of the classes and of the words in each class, with a row of biases."""
+    return (
+        np.concatenate([m["classes"], m["class_bias"][None]]),
+        np.concatenate([m["words"], m["word_bias"][:, None]], 1),
+    )
+
+
 def gradients(m: dict, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
     """Of the mean loss in one window, and the last state. ``live`` marks the (time, lane) that count."""
-    states, gates = run_states(m, inputs, h, True)
-    g = {k: np.zeros_like(v) for k, v in m.items()}
-    where = np.flatnonzero(live.ravel())
-    s, y = states.reshape(-1, WIDTH)[where], targets.ravel()[where]
-    scale = 1 / max(1, len(where))
-    p, _ = _softmax(s @ m["classes"] + m["class_bias"])
-    p[np.arange(len(y)), class_of(y)] -= 1
+    w, kind = WIDTH, m["again"].dtype
+    states, (brought, before, zr, n, un) = run_states(m, inputs, h, True)
+    columns, where = live_states(states, live)
+    columns, y = _with_ones(columns), targets.ravel()[where]
+    scale = kind.type(1 / max(1, len(where)))
+    classes, words = _with_biases(m)
+    p = classes.T @ columns
+    _softmax(p)
+    p[class_of(y), np.arange(len(y))] -= 1
     p *= scale
-    g["classes"], g["class_bias"] = s.T @ p, p.sum(0)
-    ds = p @ m["classes"].T
-    for c, at, word in word_groups(y):
-        q, _ = _softmax(s[at] @ m["words"][c] + m["word_bias"][c])
-        q[np.arange(len(at)), word] -= 1
-        q *= scale
-        g["words"][c], g["word_bias"][c] = s[at].T @ q, q.sum(0)
-        ds[at] += q @ m["words"][c].T
-    d_states = np.zeros((states.shape[0] * states.shape[1], WIDTH), np.float32)
-    d_states[where] = ds
-    d_states = d_states.reshape(states.shape)
-    dx = np.empty((*inputs.shape, 3 * WIDTH), np.float32)
-    dh = np.zeros_like(h)
+    g_classes = columns @ p.T
+    ds = m["classes"] @ p
+    at, word, ranges = word_groups(y)
+    mine, q = columns.take(at, 1), np.empty((PER_CLASS, len(at)), kind)
+    for c, a, b in ranges:
+        np.matmul(words[c].T, mine[:, a:b], out=q[:, a:b])
+    _softmax(q)
+    q[word, np.arange(len(at))] -= 1
+    q *= scale
+    g_words, inner = np.zeros_like(words), np.empty((w, len(at)), kind)
+    for c, a, b in ranges:
+        np.matmul(mine[:, a:b], q[:, a:b].T, out=g_words[c])
+        np.matmul(m["words"][c], q[:, a:b], out=inner[:, a:b])
+    ds[:, at] += inner
+    if len(where) < live.size:
+        d_states = np.zeros((w, live.size), kind)
+        d_states[:, where] = ds
+    else:
+        d_states = ds
+    d_states = d_states.reshape(w, *inputs.shape).transpose(1, 0, 2)
+    z, r = zr[:, :w], zr[:, w:]
+    to_n = (1 - z) * (1 - n * n)
+    to_z = (before - n) * z * (1 - z)
+    to_r = un * r * (1 - r)
+    d, dn = np.empty((len(inputs), 3 * w, inputs.shape[1]), kind), np.empty_like(to_n)
+    dh, back = np.zeros((w, inputs.shape[1]), kind), np.empty((w, inputs.shape[1]), kind)
     for t in range(len(inputs) - 1, -1, -1):
-        before, z, r, n, un = gates[t]
-        dh = dh + d_states[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before - n) * z * (1 - z)
-        dr = dn * un * r * (1 - r)
-        du = np.concatenate([dz, dr, dn * r], 1)
-        dx[t] = np.concatenate([dz, dr, dn], 1)
-        g["again"] += before.T @ du
-        dh = dh * z + du @ m["again"].T
-    flat = dx.reshape(-1, 3 * WIDTH)
-    g["bias"] = flat.sum(0)
-    g["into"] = m["embed"][inputs.ravel()].T @ flat
-    order = np.argsort(inputs.ravel(), kind="stable")
-    seen, starts = np.unique(inputs.ravel()[order], return_index=True)
-    g["embed"][seen] = np.add.reduceat((flat @ m["into"].T)[order], starts)
+        dh += d_states[t]
+        np.multiply(dh, to_n[t], out=dn[t])
+        np.multiply(dh, to_z[t], out=d[t, :w])
+        np.multiply(dn[t], to_r[t], out=d[t, w : 2 * w])
+        np.multiply(dn[t], r[t], out=d[t, 2 * w :])
+        dh *= z[t]
+        dh += np.matmul(m["again"], d[t], out=back)
+    g_again = np.matmul(before, d.transpose(0, 2, 1)).sum(0)
+    d[:, 2 * w :] = dn
+    entered = np.matmul(d.transpose(0, 2, 1), m["into"].T).reshape(-1, w)
+    symbols = inputs.ravel().astype(np.int16 if SYMBOLS < 2**15 else np.int64)
+    order = np.argsort(symbols, kind="stable")
+    symbols = symbols[order]
+    starts = np.concatenate([[0], np.flatnonzero(symbols[1:] != symbols[:-1]) + 1])
+    g_embed = np.zeros_like(m["embed"])
+    g_embed[symbols[starts]] = np.add.reduceat(entered.take(order, 0), starts)
+    g = {
+        "embed": g_embed,
+        "into": np.matmul(brought, d.transpose(0, 2, 1)).sum(0),
+        "bias": d.sum(2).sum(0),
+        "again": g_again,
+        "classes": g_classes[:w],
+        "class_bias": g_classes[w],
+        "words": g_words[:, :w],
+        "word_bias": g_words[:, w],
+    }
     return g, states[-1]
 
 
@@ -319,35 +382,47 @@ def _window(
 
 def train_on(m: dict, flat: np.ndarray, counts: np.ndarray) -> dict:
     """The model after one pass over some texts, with Adam."""
-    m = {k: v.copy() for k, v in m.items()}
-    mean, square = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
+    # One array for all weights, of which the model's are views.
+    whole = _flattened(m)
+    m = _shaped(m, whole)
+    mean, square, move = np.zeros_like(whole), np.zeros_like(whole), np.empty_like(whole)
     step, groups = 0, list(lanes(counts, TRAIN_LANES))
     np.random.default_rng(11).shuffle(groups)
     for group in groups:
         h = np.zeros((len(group), WIDTH), np.float32)
         for active, inputs, targets, live in _windows(flat, counts, group, TRAIN_LANES * WINDOW, 4 * WINDOW):
             g, h = gradients(m, inputs, targets, live, h[: len(active)])
+            slope = _flattened({k: g[k] for k in m})
             step += 1
             size = RATE * math.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-            for k, v in g.items():
-                mean[k] += 0.1 * (v - mean[k])
-                square[k] += 0.01 * (v * v - square[k])
-                m[k] -= size * mean[k] / (np.sqrt(square[k]) + 1e-8)
+            np.subtract(slope, mean, out=move)
+            move *= 0.1
+            mean += move
+            slope *= slope
+            slope -= square
+            slope *= 0.01
+            square += slope
+            np.sqrt(square, out=move)
+            move += 1e-8
+            np.divide(mean, move, out=move)
+            move *= size
+            whole -= move
     return m
 
 
 def score_texts(m: dict, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Natural log-probability of every text as symbols; the state goes through all windows."""
-    scores, m = np.zeros(len(counts)), m | {"entries": entries(m)}
+    scores = np.zeros(len(counts))
     for group in lanes(counts, SCORE_LANES):
         h = np.zeros((len(group), WIDTH), np.float32)
         for active, inputs, targets, live in _windows(flat, counts, group, SCORE_LANES * WINDOW, SCORE_LANES * WINDOW):
             states, _ = run_states(m, inputs, h[: len(active)], False)
             h = states[-1]
-            where = np.flatnonzero(live.ravel())
-            found = log_probabilities(m, states.reshape(-1, WIDTH)[where], targets.ravel()[where])
-            lane = where % len(active)
-            scores[active] += np.bincount(lane, found.astype(np.float64), minlength=len(active))
+            columns, where = live_states(states, live)
+            targets, lane = targets.ravel()[where], where % len(active)
+            for a in range(0, len(where), AT_ONCE):
+                found = log_probabilities(m, columns[:, a : a + AT_ONCE].T, targets[a : a + AT_ONCE])
+                scores[active] += np.bincount(lane[a : a + AT_ONCE], found.astype(np.float64), minlength=len(active))
     return scores
 
 
@@ -358,7 +433,7 @@ def _flattened(m: dict) -> np.ndarray:
 def _shaped(m: dict, flat: np.ndarray) -> dict:
     ends = np.cumsum([v.size for v in m.values()])
     return {
-        k: part.reshape(v.shape).astype(np.float32) for (k, v), part in zip(m.items(), np.split(flat, ends[:-1]))
+        k: part.reshape(v.shape).astype(np.float32, copy=False) for (k, v), part in zip(m.items(), np.split(flat, ends[:-1]))
     }
 
 
@@ -465,7 +540,7 @@ def score_corpus(docs: DataFrame, held_out: str, id: str = "doc_id", text: str =
     )
     blocks = freeze(rows.mapInArrow(lean(_to_blocks), BLOCK))
     found = blocks.select("block", "held", "counts", "places", "words").mapInArrow(
-        lean(_occurrences), "block string, place int, word string, n long"
+        lean(_occurrences), "block long, place int, word string, n long"
     )
     totals = freeze(found.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"))
     whole = totals.agg(F.sum("c").alias("tokens"), F.count("*").alias("distinct")).first()
@@ -484,7 +559,8 @@ def score_corpus(docs: DataFrame, held_out: str, id: str = "doc_id", text: str =
     masses = {r["symbol"]: r["mass"] for r in lexicon.groupBy("symbol").agg(F.sum("c").alias("mass")).collect()}
     looked_up = (
         found.select("block", "place", "word")
-        .join(lexicon.withColumnRenamed("word", "_word"), F.col("word").eqNullSafe(F.col("_word")), "left")
+        # Hashing the distinct words of a partition takes less than sorting all that blocks hold of them.
+        .join(lexicon.withColumnRenamed("word", "_word").hint("shuffle_hash"), F.col("word").eqNullSafe(F.col("_word")), "left")
         .groupBy("block")
         .agg(F.collect_list(F.struct("place", "c", "symbol")).alias("lexicon"))
     )
