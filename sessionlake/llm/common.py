@@ -63,5 +63,5 @@ def best_rows(df: DataFrame, n: int, keys: list[str], order: list[Column], sprea
 
 
 def arrow_type(df: DataFrame, column: str) -> pa.DataType:
-    """The type in which Arrow hands the column to Python. Reads no data."""
-    return df.sparkSession.createDataFrame([], df.select(F.col(f"`{column}`").alias("c")).schema).toArrow().schema[0].type
+    """The type in which Arrow hands the column to Python. Reads no data, and starts no worker."""
+    return df.select(F.col(f"`{column}`").alias("c")).limit(0).toArrow().schema[0].type

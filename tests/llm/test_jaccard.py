@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from plain import jaccard_classes
 
-from sessionlake.llm import blocks, components, ngram_jaccard
+from sessionlake.llm import blocks, common, components, ngram_jaccard
 
 
 def corpus(seed, groups=12, copies=9):
@@ -164,3 +164,17 @@ def test_batches_for_python_are_small_unless_the_user_says_otherwise(spark):
     blocks.small_batches(spark)
     assert spark.conf.get(blocks.BATCH_LIMIT) == "20m"
     spark.conf.unset(blocks.BATCH_LIMIT)
+
+
+def test_types_are_known_without_workers(spark):
+    """A frame made of rows of Python starts a second family of workers in every executor."""
+    edges = spark.range(9).selectExpr("cast(string(id) AS binary) AS a", "array(named_struct('x', id)) AS b", "cast(id AS decimal(9, 2)) AS `c.d`")
+    want = pa.binary(), pa.list_(pa.field("element", pa.struct({"x": pa.int64()}))), pa.decimal128(9, 2)
+    context = spark.sparkContext
+    context.setJobGroup("types", "")
+    found = [common.arrow_type(edges, c) for c in edges.columns]
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert [str(f).replace(" not null", "") for f in found] == [str(w) for w in want]
+    jobs = context.statusTracker().getJobIdsForGroup("types")
+    tracker = context.statusTracker()
+    assert not any(tracker.getStageInfo(s) and tracker.getStageInfo(s).numTasks for j in jobs for s in tracker.getJobInfo(j).stageIds)
